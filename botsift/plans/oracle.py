@@ -116,3 +116,77 @@ USER_FEATURES = with_(USERS, STATUSES, OPEN_TIMELINE, _features_sql("tl", "creat
 SQL: dict[str, str] = {
     "user_features": USER_FEATURES,
 }
+
+DAY = "floor(created_ms / 86400000)"
+_US = with_(USERS, STATUSES)
+
+SQL.update({
+    "user_features_daily": with_(USERS, STATUSES, OPEN_TIMELINE, _features_sql("tl", DAY)) + "SELECT * FROM feat",
+    "profile_features": _US + """
+SELECT user_id AS id, label,
+       CASE WHEN is_protected THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS isProtected,
+       CASE WHEN is_verified THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS isVerified,
+       CAST(length(screen_name) AS BIGINT) AS screenNameLength,
+       (CAST(followers_count AS DOUBLE) + 1) / ((CAST(followers_count AS DOUBLE) + 1) + CAST(friends_count AS DOUBLE)) AS followerRatio
+FROM users""",
+    "status_entity_counts": _US + """
+SELECT status_id, user_id, CAST(n_urls AS BIGINT) AS n_urls, CAST(n_hashtags AS BIGINT) AS n_hashtags,
+       CAST(n_mentions AS BIGINT) AS n_mentions, n_urls > 0 AS has_url
+FROM statuses""",
+    "status_ratios": _US + """
+SELECT user_id, count(*) AS n_statuses,
+       CAST(sum(CASE WHEN n_urls > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS urlRatio,
+       CAST(sum(n_hashtags) AS DOUBLE) / count(*) AS hashtagRatio,
+       CAST(sum(n_mentions) AS DOUBLE) / count(*) AS mentionRatio
+FROM statuses GROUP BY user_id""",
+    "device_counts": _US + """
+SELECT user_id, source, count(*) AS n FROM statuses
+WHERE source IS NOT NULL AND source <> '' GROUP BY user_id, source""",
+    "main_device": _US + """,
+dc AS (SELECT user_id, source, count(*) AS n FROM statuses
+       WHERE source IS NOT NULL AND source <> '' GROUP BY user_id, source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, source) AS rn FROM dc),
+md AS (SELECT user_id, count(*) AS uniqueDevices, max(n) AS mainDeviceCount,
+              max(CASE WHEN rn = 1 THEN source END) AS mainDevice FROM ranked GROUP BY user_id),
+cnt AS (SELECT user_id, count(*) AS n FROM statuses GROUP BY user_id)
+SELECT u.user_id AS id,
+       CAST(coalesce(md.uniqueDevices, 0) AS BIGINT) AS uniqueDevices,
+       coalesce(md.mainDevice, 'NA') AS mainDevice,
+       CAST(CASE WHEN cnt.n IS NULL THEN 0 WHEN md.mainDeviceCount IS NULL THEN -1
+                 ELSE md.mainDeviceCount END AS BIGINT) AS mainDeviceCount
+FROM users u LEFT JOIN cnt ON cnt.user_id = u.user_id LEFT JOIN md ON md.user_id = u.user_id""",
+    "tweet_buckets": _US + """
+SELECT user_id, created_ms AS bucket, count(*) AS n FROM statuses
+WHERE created_ms IS NOT NULL GROUP BY user_id, created_ms""",
+    "tweet_rate_exact": _US + """,
+bk AS (SELECT user_id, created_ms AS bucket, count(*) AS n FROM statuses
+       WHERE created_ms IS NOT NULL GROUP BY user_id, created_ms)
+SELECT user_id, CAST(sum(n) AS DOUBLE) / count(*) AS tweetRate, max(n) AS maxTweetRate
+FROM bk GROUP BY user_id""",
+    "tweet_rate_daily": _US + f""",
+bk AS (SELECT user_id, {DAY} AS bucket, count(*) AS n FROM statuses
+       WHERE created_ms IS NOT NULL GROUP BY ALL)
+SELECT user_id, CAST(sum(n) AS DOUBLE) / count(*) AS tweetRate, max(n) AS maxTweetRate
+FROM bk GROUP BY user_id""",
+    "mean_interarrival": _US + """
+SELECT user_id,
+       CASE WHEN count(created_ms) >= 2
+            THEN CAST(max(created_ms) - min(created_ms) AS DOUBLE) / (count(created_ms) - 1)
+            ELSE CAST(-1 AS DOUBLE) END AS meanIA
+FROM statuses GROUP BY user_id""",
+    "timeline_gate": _US + """
+SELECT status_id, user_id FROM statuses
+WHERE user_id IN (SELECT user_id FROM users WHERE NOT is_protected)""",
+    "timeline_topk": with_(USERS, STATUSES, OPEN_TIMELINE) + """
+SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl""",
+    "interarrivals": with_(USERS, STATUSES, OPEN_TIMELINE) + """
+SELECT user_id, status_id, created_ms,
+       created_ms - lead(created_ms) OVER (PARTITION BY user_id ORDER BY created_ms DESC, status_id DESC) AS gap_ms
+FROM tl WHERE created_ms IS NOT NULL""",
+    "statuses_by_user": with_(USERS, STATUSES, OPEN_TIMELINE) + """
+SELECT user_id, count(*) AS n_posts,
+       string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS status_ids,
+       max(created_ms) AS newest_ms
+FROM tl GROUP BY user_id""",
+    "feature_preview": USER_FEATURES + " ORDER BY id LIMIT 20",
+})

@@ -31,3 +31,105 @@ def q_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.user_features(
         fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK
     )
+
+
+# ---------------------------------------------------------------- components
+from pyspark.sql import functions as F  # noqa: E402
+
+from botsift.operators import timeline as tl  # noqa: E402
+
+
+def _users_statuses(spark, sf_dir):
+    return fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+
+
+@register("profile_features")
+def q_profile_features(spark, sf_dir):
+    """Screen-name length, protected/verified flags, follower ratio."""
+    return fx.profile_features(fix.users(spark, sf_dir))
+
+
+@register("status_entity_counts")
+def q_status_entity_counts(spark, sf_dir):
+    return fx.status_entity_counts(fix.statuses(spark, sf_dir))
+
+
+@register("status_ratios")
+def q_status_ratios(spark, sf_dir):
+    return fx.status_ratios(fix.statuses(spark, sf_dir))
+
+
+@register("device_counts")
+def q_device_counts(spark, sf_dir):
+    return fx.device_counts(fix.statuses(spark, sf_dir))
+
+
+@register("main_device")
+def q_main_device(spark, sf_dir):
+    u, s = _users_statuses(spark, sf_dir)
+    return fx.main_device_with_sentinels(u, s)
+
+
+@register("tweet_buckets")
+def q_tweet_buckets(spark, sf_dir):
+    return fx.tweet_buckets(fix.statuses(spark, sf_dir), "exact")
+
+
+@register("tweet_rate_exact")
+def q_tweet_rate_exact(spark, sf_dir):
+    return fx.tweet_rates(fx.tweet_buckets(fix.statuses(spark, sf_dir), "exact"))
+
+
+@register("tweet_rate_daily")
+def q_tweet_rate_daily(spark, sf_dir):
+    return fx.tweet_rates(fx.tweet_buckets(fix.statuses(spark, sf_dir), "day"))
+
+
+@register("mean_interarrival")
+def q_mean_interarrival(spark, sf_dir):
+    return fx.mean_interarrival(fix.statuses(spark, sf_dir))
+
+
+@register("timeline_gate")
+def q_timeline_gate(spark, sf_dir):
+    u, s = _users_statuses(spark, sf_dir)
+    return tl.gate_protected(s, u).select("status_id", "user_id")
+
+
+@register("timeline_topk")
+def q_timeline_topk(spark, sf_dir):
+    u, s = _users_statuses(spark, sf_dir)
+    return tl.timeline(s, u, TIMELINE_N_CHECK).select("user_id", "status_id", "rank")
+
+
+@register("interarrivals")
+def q_interarrivals(spark, sf_dir):
+    u, s = _users_statuses(spark, sf_dir)
+    return tl.interarrivals(tl.timeline(s, u, TIMELINE_N_CHECK))
+
+
+@register("statuses_by_user")
+def q_statuses_by_user(spark, sf_dir):
+    """Nested per-account timeline, flattened to text for comparison."""
+    u, s = _users_statuses(spark, sf_dir)
+    g = tl.statuses_by_user(tl.timeline(s, u, TIMELINE_N_CHECK))
+    return g.select(
+        "user_id",
+        F.size("statuses").cast("bigint").alias("n_posts"),
+        F.array_join(F.transform("statuses", lambda x: x["sid"].cast("string")), " ").alias("status_ids"),
+        F.col("statuses")[0]["created_ms"].alias("newest_ms"),
+    )
+
+
+@register("feature_preview")
+def q_feature_preview(spark, sf_dir):
+    """The first 20 feature rows by id (the reference's table preview)."""
+    return q_user_features(spark, sf_dir).orderBy("id").limit(20)
+
+
+@register("user_features_daily")
+def q_user_features_daily(spark, sf_dir):
+    """Feature rows with the documented per-day tweet rate."""
+    return fx.user_features(
+        fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK, bucket="day"
+    )
