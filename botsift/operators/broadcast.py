@@ -1,0 +1,19 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows.
+
+    The check scans at most max_rows + 1 rows (a LIMIT, not a full count).
+    Above the bound the plain DataFrame is returned and the planner (AQE,
+    from runtime statistics) chooses a sort-merge or shuffled hash join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

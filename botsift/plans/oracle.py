@@ -190,3 +190,178 @@ SELECT user_id, count(*) AS n_posts,
 FROM tl GROUP BY user_id""",
     "feature_preview": USER_FEATURES + " ORDER BY id LIMIT 20",
 })
+
+# ------------------------------------------------------------ sources (A)
+LINES = """
+listed AS (
+  SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS ids, count(*) AS n
+  FROM (SELECT user_id, event_id,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) x
+  WHERE rn <= 20 GROUP BY user_id
+),
+lines AS (
+  SELECT l.user_id, u.label, l.ids, l.n, l.user_id % 10 AS m
+  FROM listed l JOIN users u ON u.user_id = l.user_id
+)"""
+
+REQ = """
+req AS (SELECT p_partkey AS user_id, p_size < 20 AS first_pass FROM part),
+reqa AS (SELECT r.user_id, r.first_pass, u.user_id IS NOT NULL AS acct, u.label
+         FROM req r LEFT JOIN users u ON u.user_id = r.user_id)"""
+
+EVENTS = """
+ev AS (SELECT o_orderkey AS seq, o_custkey AS user_id,
+              CASE WHEN o_orderkey % 2 = 0 THEN 'human' ELSE 'bot' END AS label FROM orders),
+cur AS (SELECT user_id, label, seq FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM ev) x
+        WHERE rn = 1)"""
+
+DEV_INDEX = """
+dev AS (SELECT mainDevice,
+               CAST(row_number() OVER (ORDER BY count(*) DESC, mainDevice) - 1 AS DOUBLE) AS indexedMainDevice
+        FROM feat GROUP BY mainDevice)"""
+
+_FEAT = [USERS, STATUSES, OPEN_TIMELINE, _features_sql("tl", "created_ms")]
+
+SQL.update({
+    "read_labelled": with_(USERS, LINES) + """
+SELECT label, user_id, n AS n_status_ids, ids AS status_ids FROM lines WHERE m NOT IN (3, 7, 9)""",
+    "labelled_quarantine": with_(USERS, LINES) + """
+SELECT CASE m WHEN 3 THEN 'non_numeric' WHEN 7 THEN 'blank' ELSE 'empty_token' END AS reason,
+       CASE m WHEN 3 THEN label || ' u' || CAST(user_id AS VARCHAR) || ' ' || ids
+              WHEN 7 THEN ''
+              ELSE label || '  ' || CAST(user_id AS VARCHAR) || ' ' || ids END AS line
+FROM lines WHERE m IN (3, 7, 9)""",
+    "training_statuses": with_(USERS, STATUSES) + """,
+firsts AS (SELECT user_id, event_id,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+SELECT f.event_id AS status_id, f.user_id, u.label, CAST(f.rn - 1 AS INTEGER) AS position,
+       s.user_id AS author_id, s.created_ms, s.source
+FROM firsts f JOIN users u ON u.user_id = f.user_id JOIN statuses s ON s.status_id = f.event_id
+WHERE f.rn <= 10 AND f.user_id % 10 NOT IN (3, 7, 9)""",
+    "resolve_users": with_(USERS, LINES) + """
+SELECT l.user_id, l.label, u.screen_name, u.followers_count, u.friends_count
+FROM lines l JOIN users u ON u.user_id = l.user_id WHERE l.m NOT IN (3, 7, 9)""",
+    "read_status_json": with_(USERS, STATUSES) + """
+SELECT s.status_id, s.user_id, u.screen_name,
+       (epoch_us(e.ts) // 1000000) * 1000 AS created_ms, s.source,
+       CAST(s.n_urls AS BIGINT) AS n_urls, CAST(s.n_hashtags AS BIGINT) AS n_hashtags,
+       CAST(s.n_mentions AS BIGINT) AS n_mentions
+FROM statuses s JOIN events e ON e.event_id = s.status_id JOIN users u ON u.user_id = s.user_id
+WHERE s.status_id % 13 <> 0 AND s.status_id % 17 <> 0""",
+    "profile_store_lookup": with_(USERS, REQ) + """
+SELECT user_id, CASE WHEN NOT first_pass THEN 'unseen' WHEN acct THEN 'found' ELSE 'missing' END AS state
+FROM reqa""",
+    "missing_users": with_(USERS, REQ) + """
+SELECT DISTINCT user_id, 'missing' AS state FROM reqa WHERE NOT acct""",
+    "known_users": with_(USERS, REQ) + """
+SELECT user_id FROM reqa WHERE first_pass AND acct""",
+    "profile_store_upsert": with_(USERS, REQ) + """
+SELECT user_id, CASE WHEN acct THEN 'found' ELSE 'missing' END AS state, label,
+       CAST(CASE WHEN NOT first_pass THEN 2
+                 WHEN acct AND user_id IN (SELECT user_id FROM events) THEN 2
+                 ELSE 1 END AS BIGINT) AS version
+FROM reqa""",
+    "ingest_coverage": with_(USERS, REQ) + """
+SELECT count(*) AS n_requested,
+       count(*) FILTER (WHERE first_pass AND acct) AS n_cached,
+       count(*) FILTER (WHERE first_pass AND NOT acct) AS n_tombstoned,
+       count(*) FILTER (WHERE NOT first_pass) AS n_unseen,
+       count(*) FILTER (WHERE NOT first_pass AND acct) AS n_retrieved,
+       count(*) FILTER (WHERE NOT first_pass AND NOT acct) AS n_not_found
+FROM reqa""",
+    "profile_json_roundtrip": with_(*_FEAT) + """,
+tls AS (SELECT user_id, count(*) AS n,
+               string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS ids
+        FROM tl GROUP BY user_id)
+SELECT u.user_id, u.label, u.screen_name, u.followers_count, f.meanIA, f.mainDevice,
+       coalesce(t.n, 0) AS n_timeline, coalesce(t.ids, '') AS timeline_ids
+FROM users u LEFT JOIN feat f ON f.id = u.user_id LEFT JOIN tls t ON t.user_id = u.user_id""",
+    "feature_table": with_(*_FEAT, DEV_INDEX) + """
+SELECT f.*, d.indexedMainDevice FROM feat f JOIN dev d ON d.mainDevice = f.mainDevice""",
+    "index_device": with_(*_FEAT, DEV_INDEX) + "SELECT mainDevice, indexedMainDevice FROM dev",
+    "index_label": with_(USERS) + """
+SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUBLE) AS indexedLabel
+FROM users GROUP BY label""",
+    "train_test_split": with_(USERS) + """
+SELECT user_id AS id,
+       CASE WHEN CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 6
+            THEN 'train' ELSE 'test' END AS split
+FROM users""",
+    "confusion_matrix": with_(*_FEAT) + """
+SELECT label, CASE WHEN followerRatio < 0.5 THEN 'bot' ELSE 'human' END AS prediction, count(*) AS n
+FROM feat GROUP BY ALL""",
+    "attach_label": with_(USERS, EVENTS) + """
+SELECT u.user_id, u.screen_name, c.label FROM users u JOIN cur c ON c.user_id = u.user_id""",
+    "dedupe_last_wins": with_(EVENTS) + "SELECT user_id, seq, label FROM cur",
+    "effective_labels": with_(USERS, EVENTS) + """
+SELECT u.user_id, coalesce(c.label, u.label) AS label,
+       CASE WHEN c.label IS NOT NULL THEN 'override' ELSE 'file' END AS label_source
+FROM users u LEFT JOIN cur c ON c.user_id = u.user_id""",
+    "label_upsert": with_(USERS, REQ, EVENTS) + """,
+st AS (SELECT user_id, label FROM reqa WHERE first_pass AND acct)
+SELECT coalesce(st.user_id, cur.user_id) AS user_id, coalesce(cur.label, st.label) AS label,
+       CASE WHEN st.user_id IS NULL THEN 'created' WHEN cur.label IS NOT NULL THEN 'updated'
+            ELSE 'unchanged' END AS origin
+FROM st FULL OUTER JOIN cur ON cur.user_id = st.user_id""",
+    "feature_reuse": with_(*_FEAT) + """
+SELECT *, CASE WHEN id % 3 = 0 THEN 'stored' ELSE 'computed' END AS origin FROM feat""",
+})
+
+# ------------------------------------------------------------ spam and text
+TEXT = """
+ts AS (
+  SELECT d.doc_id AS status_id, CASE WHEN l.toxic = 1 THEN 'bot' ELSE 'human' END AS label,
+         d.text, p.url
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+  LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
+),
+th AS (
+  SELECT url,
+         CASE WHEN page_id % 7 = 3 THEN 'UNWANTED_SOFTWARE'
+              WHEN page_id % 2 = 0 THEN 'MALWARE' ELSE 'SOCIAL_ENGINEERING' END AS threat_type,
+         CASE WHEN page_id % 7 = 5 THEN 'LINUX' ELSE 'WINDOWS' END AS platform_type,
+         'URL' AS threat_entry_type
+  FROM pages WHERE page_id % 7 IN (0, 3, 5)
+),
+flag AS (
+  SELECT DISTINCT url, threat_type FROM th
+  WHERE threat_type IN ('MALWARE', 'SOCIAL_ENGINEERING') AND platform_type = 'WINDOWS'
+    AND threat_entry_type = 'URL'
+)"""
+
+WS = "[ \\t\\n\\x0B\\f\\r]"
+
+
+def _tokens(text: str) -> str:
+    """Spark ML Tokenizer in SQL: lower-case, split on single whitespace
+    characters, trailing empty tokens dropped (Java split semantics)."""
+    return f"unnest(string_split_regex(regexp_replace(lower({text}), '{WS}+$', ''), '{WS}'))"
+
+
+SQL.update({
+    "status_urls": with_(TEXT) + "SELECT DISTINCT label, url FROM ts WHERE url IS NOT NULL",
+    "spam_urls": with_(TEXT) + """
+SELECT u.url, f.threat_type FROM (SELECT DISTINCT url FROM ts WHERE url IS NOT NULL) u
+JOIN flag f ON f.url = u.url""",
+    "labelled_statuses": with_(TEXT) + """,
+last AS (SELECT label, url, status_id, text FROM (
+           SELECT *, row_number() OVER (PARTITION BY label, url ORDER BY status_id DESC) AS rn
+           FROM ts WHERE url IS NOT NULL) x WHERE rn = 1)
+SELECT CASE WHEN label = 'human' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS label,
+       url, status_id, text AS statusText
+FROM last WHERE url IN (SELECT url FROM flag)""",
+    "spam_counts": with_(TEXT) + """
+SELECT label, count(DISTINCT status_id) AS n_statuses, count(DISTINCT url) AS n_urls,
+       count(DISTINCT CASE WHEN url IN (SELECT url FROM flag) THEN url END) AS n_spam_urls
+FROM ts WHERE url IS NOT NULL GROUP BY label""",
+    "tokenize": f"""
+SELECT doc_id, token, count(*) AS n
+FROM (SELECT doc_id, {_tokens('text')} AS token FROM documents) x
+GROUP BY doc_id, token""",
+    "idf_tokens": with_(TEXT) + f""",
+tok AS (SELECT DISTINCT status_id, token FROM (SELECT status_id, {_tokens('text')} AS token FROM ts) x)
+SELECT token, count(*) AS df,
+       round(ln((CAST((SELECT count(*) FROM ts) AS DOUBLE) + 1) / (CAST(count(*) AS DOUBLE) + 1)), 9) AS idf
+FROM tok GROUP BY token""",
+})

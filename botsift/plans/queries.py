@@ -133,3 +133,264 @@ def q_user_features_daily(spark, sf_dir):
     return fx.user_features(
         fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK, bucket="day"
     )
+
+
+# ------------------------------------------------------------ sources (A)
+from botsift.operators import dedupe, feedback, resolve  # noqa: E402
+from botsift.operators import model as ml  # noqa: E402
+from botsift.operators import spam, text  # noqa: E402
+from botsift.session import scratch_path  # noqa: E402
+from botsift.sources import labelled as lb  # noqa: E402
+from botsift.sources import profile_store as ps  # noqa: E402
+from botsift.sources import sinks  # noqa: E402
+from botsift.sources import status_json as sj  # noqa: E402
+from botsift import schemas  # noqa: E402
+
+
+def _labelled_file(spark, sf_dir):
+    """Write the adapter's labelled lines as a text file and read it back."""
+    path = lb.write_lines(fix.labelled_lines(spark, sf_dir), scratch_path(spark, "labelled"))
+    return lb.read_labelled(spark, path, mode="quarantine")
+
+
+def _ids_text(col):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
+
+
+@register("read_labelled")
+def q_read_labelled(spark, sf_dir):
+    acc, _ = _labelled_file(spark, sf_dir)
+    return acc.select(
+        "label", "user_id",
+        F.size("status_ids").cast("bigint").alias("n_status_ids"),
+        _ids_text("status_ids").alias("status_ids"),
+    )
+
+
+@register("labelled_quarantine")
+def q_labelled_quarantine(spark, sf_dir):
+    _, bad = _labelled_file(spark, sf_dir)
+    return bad
+
+
+@register("training_statuses")
+def q_training_statuses(spark, sf_dir):
+    acc, _ = _labelled_file(spark, sf_dir)
+    return resolve.training_statuses(acc, fix.statuses(spark, sf_dir))
+
+
+@register("resolve_users")
+def q_resolve_users(spark, sf_dir):
+    acc, _ = _labelled_file(spark, sf_dir)
+    return resolve.resolve_users(acc, fix.users(spark, sf_dir)).select(
+        "user_id", "label", "screen_name", "followers_count", "friends_count"
+    )
+
+
+@register("read_status_json")
+def q_read_status_json(spark, sf_dir):
+    """Posts rendered to JSON lines (some without an author, some corrupt),
+    then read back with the explicit schema."""
+    s = fix.statuses(spark, sf_dir).withColumn(
+        "user_id", F.when(F.col("status_id") % 13 != 0, F.col("user_id"))
+    )
+    lines = sj.to_status_json(s, fix.users(spark, sf_dir)).withColumn("_id", F.get_json_object("value", "$.id"))
+    lines = lines.select(
+        F.when(F.col("_id").cast("bigint") % 17 == 0, F.substring("value", 1, 25))
+        .otherwise(F.col("value")).alias("value")
+    )
+    path = scratch_path(spark, "status-json")
+    lines.write.mode("overwrite").text(path)
+    return sj.read_status_json(spark, path)
+
+
+def _store_pass1(spark, sf_dir):
+    """Earlier ingest: resolve the first-pass requests into a fresh store."""
+    root = scratch_path(spark, "profile-store")
+    req = fix.lookup_requests(spark, sf_dir)
+    ps.write_version(ps.resolve(req.filter("first_pass"), fix.users(spark, sf_dir)), root, 1)
+    return root, req
+
+
+@register("profile_store_lookup")
+def q_profile_store_lookup(spark, sf_dir):
+    root, req = _store_pass1(spark, sf_dir)
+    return ps.lookup(req, ps.read_store(spark, root))
+
+
+@register("missing_users")
+def q_missing_users(spark, sf_dir):
+    return ps.missing(fix.lookup_requests(spark, sf_dir), fix.users(spark, sf_dir))
+
+
+@register("known_users")
+def q_known_users(spark, sf_dir):
+    root, req = _store_pass1(spark, sf_dir)
+    return ps.known(req, ps.read_store(spark, root))
+
+
+@register("profile_store_upsert")
+def q_profile_store_upsert(spark, sf_dir):
+    """Second ingest: fetch unseen ids and refresh stored accounts that post;
+    write them as version 2; read back the latest row per account."""
+    root, req = _store_pass1(spark, sf_dir)
+    users = fix.users(spark, sf_dir)
+    lk = ps.lookup(req, ps.read_store(spark, root))
+    active = fix.statuses(spark, sf_dir).select("user_id")
+    refresh = lk.filter("state = 'found'").join(active, "user_id", "left_semi")
+    todo = lk.filter("state = 'unseen'").select("user_id").unionByName(refresh.select("user_id"))
+    ps.write_version(ps.resolve(todo, users), root, 2)
+    return ps.read_store(spark, root).select("user_id", "state", "label", "version")
+
+
+@register("ingest_coverage")
+def q_ingest_coverage(spark, sf_dir):
+    """Lookup coverage counts of an ingest, one row."""
+    root, req = _store_pass1(spark, sf_dir)
+    lk = ps.lookup(req, ps.read_store(spark, root))
+    ids = fix.users(spark, sf_dir).select("user_id", F.lit(True).alias("_acct"))
+    j = lk.join(ids, "user_id", "left")
+    unseen = F.col("state") == "unseen"
+    return j.agg(
+        F.count(F.lit(1)).alias("n_requested"),
+        F.count(F.when(F.col("state") == "found", 1)).alias("n_cached"),
+        F.count(F.when(F.col("state") == "missing", 1)).alias("n_tombstoned"),
+        F.count(F.when(unseen, 1)).alias("n_unseen"),
+        F.count(F.when(unseen & F.col("_acct"), 1)).alias("n_retrieved"),
+        F.count(F.when(unseen & F.col("_acct").isNull(), 1)).alias("n_not_found"),
+    )
+
+
+@register("profile_json_roundtrip")
+def q_profile_json_roundtrip(spark, sf_dir):
+    """Profiles encoded to JSON documents, written, read and decoded."""
+    users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+    feats = fx.user_features(users, st, n=TIMELINE_N_CHECK)
+    tline = tl.timeline(st, users, TIMELINE_N_CHECK)
+    docs = ps.encode_profiles(users, feats, tline)
+    path = scratch_path(spark, "profiles-json")
+    docs.select(F.col("profile_json").alias("value")).write.mode("overwrite").text(path)
+    back = ps.decode_profiles(spark.read.text(path))
+    return back.select(
+        "user_id", "label", "screen_name", "followers_count",
+        F.col("features.meanIA").alias("meanIA"),
+        F.col("features.mainDevice").alias("mainDevice"),
+        F.size("timeline").cast("bigint").alias("n_timeline"),
+        F.array_join(F.transform("timeline", lambda s: s["id"].cast("string")), " ").alias("timeline_ids"),
+    )
+
+
+def _features(spark, sf_dir):
+    return fx.user_features(fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK)
+
+
+def _indexed_features(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return ml.device_indexer(f).transform(f)
+
+
+@register("feature_table")
+def q_feature_table(spark, sf_dir):
+    """The 16-column feature table written as CSV with a header, read back."""
+    from pyspark.sql import types as T
+
+    cols = schemas.FEATURE_COLUMNS[:-1] + ["mainDevice", "indexedMainDevice"]
+    df = _indexed_features(spark, sf_dir).select(*cols)
+    path = sinks.write_csv(df, scratch_path(spark, "feature-csv"))
+    schema = T.StructType([*schemas.FEATURES.fields, T.StructField("indexedMainDevice", T.DoubleType())])
+    return sinks.read_csv(spark, path, schema)
+
+
+@register("index_device")
+def q_index_device(spark, sf_dir):
+    return _indexed_features(spark, sf_dir).select("mainDevice", "indexedMainDevice").distinct()
+
+
+@register("index_label")
+def q_index_label(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return ml.label_indexer(f).transform(f).select("label", "indexedLabel").distinct()
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return _features(spark, sf_dir).select("id", ml.split_flag("id").alias("split"))
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    """Confusion counts over a fixed rule prediction (bot when followerRatio < 0.5)."""
+    f = _features(spark, sf_dir).withColumn(
+        "predictedLabel", F.when(F.col("followerRatio") < 0.5, "bot").otherwise("human")
+    )
+    return ml.confusion_matrix(f)
+
+
+# ------------------------------------------------------------ joins, labels
+@register("attach_label")
+def q_attach_label(spark, sf_dir):
+    cur = resolve.current_labels(fix.label_events(spark, sf_dir))
+    return resolve.attach_label(fix.users(spark, sf_dir), cur).select("user_id", "screen_name", "label")
+
+
+@register("dedupe_last_wins")
+def q_dedupe_last_wins(spark, sf_dir):
+    return dedupe.last_wins(fix.label_events(spark, sf_dir), "user_id", "seq")
+
+
+@register("effective_labels")
+def q_effective_labels(spark, sf_dir):
+    cur = resolve.current_labels(fix.label_events(spark, sf_dir))
+    return resolve.effective_labels(fix.users(spark, sf_dir), cur)
+
+
+@register("label_upsert")
+def q_label_upsert(spark, sf_dir):
+    root, _ = _store_pass1(spark, sf_dir)
+    return feedback.label_upsert(ps.read_store(spark, root), fix.label_events(spark, sf_dir))
+
+
+@register("feature_reuse")
+def q_feature_reuse(spark, sf_dir):
+    """Features of accounts with id % 3 == 0 were stored by an earlier run;
+    they are reused, the rest are computed, and both are unioned."""
+    users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+    earlier = fx.user_features(users.filter(F.col("user_id") % 3 == 0), st, n=TIMELINE_N_CHECK)
+    path = scratch_path(spark, "stored-features")
+    earlier.write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(schemas.FEATURES).parquet(path)
+    return resolve.feature_reuse(users, st, stored, TIMELINE_N_CHECK)
+
+
+# ------------------------------------------------------------ spam and text
+@register("status_urls")
+def q_status_urls(spark, sf_dir):
+    return spam.status_urls(fix.text_statuses(spark, sf_dir)).select("label", "url").distinct()
+
+
+@register("spam_urls")
+def q_spam_urls(spark, sf_dir):
+    u = spam.status_urls(fix.text_statuses(spark, sf_dir))
+    return spam.spam_urls(u, fix.threats(spark, sf_dir))
+
+
+@register("labelled_statuses")
+def q_labelled_statuses(spark, sf_dir):
+    return spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
+
+
+@register("spam_counts")
+def q_spam_counts(spark, sf_dir):
+    return spam.spam_counts(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
+
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    """Token occurrences per document over every document, whole texts."""
+    return text.token_counts(fix.table(spark, sf_dir, "documents"))
+
+
+@register("idf_tokens")
+def q_idf_tokens(spark, sf_dir):
+    docs = fix.text_statuses(spark, sf_dir).select(F.col("status_id").alias("doc_id"), "text")
+    return text.idf_tokens(docs).select("token", "df", F.round("idf", 9).alias("idf"))
