@@ -365,3 +365,5 @@ SELECT token, count(*) AS df,
        round(ln((CAST((SELECT count(*) FROM ts) AS DOUBLE) + 1) / (CAST(count(*) AS DOUBLE) + 1)), 9) AS idf
 FROM tok GROUP BY token""",
 })
+
+SQL["stream_label_upsert"] = SQL["dedupe_last_wins"]

@@ -394,3 +394,130 @@ def q_tokenize(spark, sf_dir):
 def q_idf_tokens(spark, sf_dir):
     docs = fix.text_statuses(spark, sf_dir).select(F.col("status_id").alias("doc_id"), "text")
     return text.idf_tokens(docs).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+# ------------------------------------------------------------ model (rows-only)
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from botsift.streaming import labels as stream_labels  # noqa: E402
+from botsift.streaming import scoring as stream_scoring  # noqa: E402
+
+FOREST_TREES, FOREST_DEPTH = 20, 5  # small forest for the registered keys
+
+
+def _trained(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    model, train, test = ml.train_forest(f, FOREST_TREES, FOREST_DEPTH)
+    return f, model, train, test
+
+
+@register("assemble_features")
+def q_assemble_features(spark, sf_dir):
+    df = ml.assembler().transform(_indexed_features(spark, sf_dir))
+    return df.select("id", "label", vector_to_array("features").alias("features"))
+
+
+@register("vector_index")
+def q_vector_index(spark, sf_dir):
+    from pyspark.ml.feature import VectorIndexer
+
+    df = ml.assembler().transform(_indexed_features(spark, sf_dir))
+    vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures",
+                       maxCategories=ml.MAX_CATEGORIES, handleInvalid="keep").fit(df)
+    return vi.transform(df).select("id", vector_to_array("indexedFeatures").alias("indexedFeatures"))
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    _, model, _, _ = _trained(spark, sf_dir)
+    return ml.tree_summary(model)
+
+
+@register("score_users")
+def q_score_users(spark, sf_dir):
+    f, model, _, _ = _trained(spark, sf_dir)
+    return ml.score(model, f)
+
+
+@register("evaluate_forest")
+def q_evaluate_forest(spark, sf_dir):
+    _, model, _, test = _trained(spark, sf_dir)
+    return ml.evaluate(model, test)
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    """The reference grid (12 maps, 9 distinct) x 4 folds on the training split."""
+    _, table = ml.cross_validate(_features(spark, sf_dir))
+    return table
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    _, model, _, _ = _trained(spark, sf_dir)
+    return ml.feature_importance(model)
+
+
+@register("prediction_table")
+def q_prediction_table(spark, sf_dir):
+    """Held-out predictions written as CSV (id, predictedLabel, label), read back."""
+    from pyspark.sql import types as T
+
+    _, model, _, test = _trained(spark, sf_dir)
+    pred = model.transform(test).select("id", "predictedLabel", "label")
+    path = sinks.write_csv(pred, scratch_path(spark, "predictions-csv"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("predictedLabel", T.StringType()),
+                           T.StructField("label", T.StringType())])
+    return sinks.read_csv(spark, path, schema)
+
+
+@register("misclassified")
+def q_misclassified(spark, sf_dir):
+    _, model, _, test = _trained(spark, sf_dir)
+    pred = model.transform(test)
+    return pred.filter(F.col("predictedLabel") != F.col("label")).select("id", "label", "predictedLabel")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the fitted pipeline, load it, and score with both copies."""
+    from pyspark.ml import PipelineModel
+
+    f, model, _, _ = _trained(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    a = ml.score(model, f).select("id", F.col("prediction").alias("prediction_fitted"))
+    b = ml.score(loaded, f).select("id", F.col("prediction").alias("prediction_loaded"))
+    return a.join(b, "id").withColumn("same", F.col("prediction_fitted") == F.col("prediction_loaded"))
+
+
+@register("hashing_tf")
+def q_hashing_tf(spark, sf_dir):
+    t = text.hashed_tf(fix.text_statuses(spark, sf_dir))
+    return t.select("status_id", "label", F.size("words").alias("n_terms"),
+                    vector_to_array("rawFeatures").alias("tf"))
+
+
+@register("train_text_model")
+def q_train_text_model(spark, sf_dir):
+    """Naive Bayes on hashed TF-IDF of the threat-matched posts; held-out predictions."""
+    lab = spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
+    _, pred = text.train_text_model(lab)
+    return pred.select("status_id", "label", "prediction")
+
+
+# ------------------------------------------------------------ streaming
+@register("stream_label_upsert")
+def q_stream_label_upsert(spark, sf_dir):
+    """Label events streamed through foreachBatch upserts; final label table."""
+    return stream_labels.run_once(spark, fix.label_events(spark, sf_dir), scratch_path(spark, "stream-labels"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """Feature rows streamed through the saved pipeline into a file sink."""
+    f, model, _, _ = _trained(spark, sf_dir)
+    path = scratch_path(spark, "stream-model")
+    model.write().overwrite().save(path)
+    return stream_scoring.run_once(spark, path, f, scratch_path(spark, "stream-score"))
