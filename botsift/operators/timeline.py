@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 TIMELINE_N = 250  # posts per account timeline (fixed value of the reference)
 
-_NEWEST_FIRST = [F.col("created_ms").desc_nulls_last(), F.col("status_id").desc()]
+
+
+def _newest_first() -> list[Column]:
+    return [F.col("created_ms").desc_nulls_last(), F.col("status_id").desc()]
 
 
 def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
 
 def latest_n(statuses: DataFrame, n: int = TIMELINE_N, rank_col: str | None = "rank") -> DataFrame:
     """The n newest posts per account (ties on time broken by larger id)."""
-    w = W.partitionBy("user_id").orderBy(*_NEWEST_FIRST)
+    w = W.partitionBy("user_id").orderBy(*_newest_first())
     ranked = statuses.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
     if rank_col:
         return ranked.withColumnRenamed("_rank", rank_col)
@@ -49,7 +52,7 @@ def interarrivals(timeline_df: DataFrame) -> DataFrame:
     (oldest) post of each account has a NULL gap.
     """
     t = timeline_df.filter(F.col("created_ms").isNotNull())
-    w = W.partitionBy("user_id").orderBy(*_NEWEST_FIRST)
+    w = W.partitionBy("user_id").orderBy(*_newest_first())
     return t.select(
         "user_id", "status_id", "created_ms",
         (F.col("created_ms") - F.lead("created_ms").over(w)).alias("gap_ms"),

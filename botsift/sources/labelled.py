@@ -58,14 +58,9 @@ def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> t
     parsed = parse_lines(spark.read.text(path))
     good = parsed.filter(F.col("reason").isNull())
     if mode == "failfast":
-        good = parsed.select(
-            F.when(
-                F.col("reason").isNotNull(),
-                F.raise_error(F.concat(F.lit("malformed labelled line ("), F.col("reason"),
-                                       F.lit("): "), F.col("value"))),
-            ).alias("_check"),
-            "label", "user_id", "status_ids",
-        ).drop("_check")
+        # A filter (not a projection) so the check cannot be pruned away.
+        msg = F.concat(F.lit("malformed labelled line ("), F.col("reason"), F.lit("): "), F.col("value"))
+        good = parsed.filter(F.when(F.col("reason").isNotNull(), F.raise_error(msg)).otherwise(F.lit(True)))
     accounts = good.select("label", "user_id", "status_ids")
     quarantine = parsed.filter(F.col("reason").isNotNull()).select("reason", F.col("value").alias("line"))
     return accounts, quarantine
