@@ -265,17 +265,19 @@ def user_features(
 ) -> DataFrame:
     """The full feature row for every account in ``users``.
 
-    Plan shape with a timeline (n set): statuses -> semi-join gate ->
-    latest-n (one shuffle by user_id) -> fused window counts + one aggregate
-    on that partitioning -> left join to the accounts.  Without a timeline
+    Plan shape with a timeline (n set): statuses -> latest-n (partial limit,
+    one shuffle by user_id, final limit) -> broadcast anti-join gate ->
+    fused window counts + one aggregate on that partitioning -> left join to
+    the accounts.  Without a timeline
     (n=None) every post counts and the features come from partial
     (map-side combined) two-level aggregates, which tolerate hot accounts.
     """
-    posts = tl.gate_protected(statuses, users) if gate else statuses
     cols = ["user_id", "status_id", "created_ms", "source", "urls", "hashtags", "mentions"]
     if n is not None:
-        posts = tl.latest_n(posts, n, rank_col=None).select(*cols)
+        posts = tl.latest_n(statuses.select(*cols), n, rank_col=None)
+        posts = tl.gate_protected(posts, users) if gate else posts
         return apply_sentinels(profile_features(users), timeline_features(posts, bucket))
+    posts = tl.gate_protected(statuses, users) if gate else statuses
     posts = posts.select(*cols)
     summary = timeline_summary(posts, bucket)
     devices = main_device(device_counts(posts))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botsift.schemas import MODEL_INPUTS
+from botsift.session import materialize
 
 # Fixed values of the reference training set-up.
 SEED = 207325481
@@ -80,8 +81,14 @@ def forest_pipeline(features: DataFrame, train: DataFrame, num_trees: int = 20,
 
 
 def train_forest(features: DataFrame, num_trees: int = 20, max_depth: int = 5,
-                 seed: int = SEED) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Fit on the deterministic training split; returns (model, train, test)."""
+                 seed: int = SEED, materialized: bool = False) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Fit on the deterministic training split; returns (model, train, test).
+
+    The feature table is written once to the shared folder first (unless the
+    caller already did), since fitting makes several passes over it.
+    """
+    if not materialized:
+        features = materialize(features, "features")
     train, test = split(features)
     pipe, _ = forest_pipeline(features, train, num_trees, max_depth, seed)
     return pipe.fit(train), train, test
@@ -141,8 +148,8 @@ def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID
                    folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED):
     """k-fold grid search on the training split; returns (cv model, table of
     (numTrees, maxDepth, avg accuracy, is_best))."""
+    features = materialize(features, "features")
     train, _ = split(features)
-    train = train.persist()
     pipe, rf = forest_pipeline(features, train, seed=seed)
     grid = param_grid(rf, num_trees, max_depth)
     ev = MulticlassClassificationEvaluator(labelCol="indexedLabel", predictionCol="prediction",
@@ -158,7 +165,6 @@ def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID
     table = features.sparkSession.createDataFrame(
         rows, "numTrees int, maxDepth int, avg_accuracy double, is_best boolean"
     )
-    train.unpersist()
     return cvm, table
 
 

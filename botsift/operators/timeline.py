@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from botsift.operators.broadcast import bounded_broadcast
+
 TIMELINE_N = 250  # posts per account timeline (fixed value of the reference)
+GATE_BROADCAST_MAX_ROWS = 5_000_000  # protected ids broadcast up to this many
 
 
 
@@ -24,11 +27,13 @@ def _newest_first() -> list[Column]:
 def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
     """Drop the posts of protected accounts (their timelines are not visible).
 
-    A semi-join against the unprotected ids: the users side is filtered and
-    pruned to one column before the join.
+    An anti-join against the protected ids.  That set is normally a small
+    share of all accounts, so it is broadcast -- only after its size is
+    checked -- and the posts are filtered map-side without a shuffle.  Above
+    the bound the planner falls back to a shuffled anti-join.
     """
-    open_ids = users.filter(~F.coalesce(F.col("is_protected"), F.lit(False))).select("user_id")
-    return statuses.join(open_ids, "user_id", "left_semi")
+    protected = users.filter(F.coalesce(F.col("is_protected"), F.lit(False))).select("user_id")
+    return statuses.join(bounded_broadcast(protected, GATE_BROADCAST_MAX_ROWS), "user_id", "left_anti")
 
 
 def latest_n(statuses: DataFrame, n: int = TIMELINE_N, rank_col: str | None = "rank") -> DataFrame:
@@ -41,8 +46,13 @@ def latest_n(statuses: DataFrame, n: int = TIMELINE_N, rank_col: str | None = "r
 
 
 def timeline(statuses: DataFrame, users: DataFrame, n: int = TIMELINE_N) -> DataFrame:
-    """Gate, then latest-n."""
-    return latest_n(gate_protected(statuses, users), n)
+    """Latest-n, then the gate.
+
+    The gate is a per-account filter, so it commutes with the per-account
+    limit; limiting first means the partial limit bounds every account
+    before any shuffle.
+    """
+    return gate_protected(latest_n(statuses, n), users)
 
 
 def interarrivals(timeline_df: DataFrame) -> DataFrame:

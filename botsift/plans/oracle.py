@@ -43,7 +43,7 @@ statuses AS (
 OPEN_TIMELINE = f"""
 open_posts AS (
   SELECT s.* FROM statuses s
-  WHERE s.user_id IN (SELECT user_id FROM users WHERE NOT is_protected)
+  WHERE s.user_id NOT IN (SELECT user_id FROM users WHERE is_protected)
 ),
 tl AS (
   SELECT * FROM (
@@ -176,7 +176,7 @@ SELECT user_id,
 FROM statuses GROUP BY user_id""",
     "timeline_gate": _US + """
 SELECT status_id, user_id FROM statuses
-WHERE user_id IN (SELECT user_id FROM users WHERE NOT is_protected)""",
+WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_protected)""",
     "timeline_topk": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl""",
     "interarrivals": with_(USERS, STATUSES, OPEN_TIMELINE) + """

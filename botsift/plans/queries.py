@@ -406,8 +406,10 @@ FOREST_TREES, FOREST_DEPTH = 20, 5  # small forest for the registered keys
 
 
 def _trained(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    model, train, test = ml.train_forest(f, FOREST_TREES, FOREST_DEPTH)
+    from botsift.session import materialize
+
+    f = materialize(_features(spark, sf_dir), "features")
+    model, train, test = ml.train_forest(f, FOREST_TREES, FOREST_DEPTH, materialized=True)
     return f, model, train, test
 
 

@@ -69,3 +69,18 @@ def local_path(path: str) -> str:
 
 def sf_dir_default() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    Used before multi-pass work (indexer fits, forests, cross-validation):
+    each pass then scans a columnar table instead of recomputing the whole
+    lineage, and a lost executor only costs re-reading files, not
+    recomputing shuffles.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
