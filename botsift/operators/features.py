@@ -159,6 +159,7 @@ def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
         F.when(F.col("n_buckets") > 0, ratio("n_bucketed", "n_buckets")).alias("tweetRate"),
         F.col("max_bucket").alias("maxTweetRate"),
         _mean_ia("n_ms", "lo", "hi").alias("meanIA"),
+        "n_ms", (F.col("hi") - F.col("lo")).alias("span_ms"),
     )
 
 
@@ -223,23 +224,26 @@ def timeline_features(tl_df: DataFrame, bucket: str = "exact") -> DataFrame:
         F.when(F.col("n_buckets") > 0, ratio("n_ms", "n_buckets")).alias("tweetRate"),
         "maxTweetRate",
         _mean_ia("n_ms", "lo", "hi").alias("meanIA"),
+        "n_ms", (F.col("hi") - F.col("lo")).alias("span_ms"),
         F.when(F.col("uniqueDevices") > 0, F.col("uniqueDevices")).alias("uniqueDevices"),
         "mainDevice",
         F.when(F.col("uniqueDevices") > 0, F.col("mainDeviceCount")).alias("mainDeviceCount"),
     )
 
 
-def apply_sentinels(profile: DataFrame, summary: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+def apply_sentinels(profile: DataFrame, summary: DataFrame, devices: DataFrame | None = None,
+                    precision: str = "double") -> DataFrame:
     """Left-join post features to every account and fill the sentinels.
 
     ``summary`` carries the ratio/rate/time columns and, when ``devices`` is
-    None, the device columns as well.
+    None, the device columns as well.  ``precision='float'`` reproduces the
+    reference's float32 arithmetic (see ``to_reference_precision``).
     """
     j = profile.join(summary.withColumnRenamed("user_id", "id"), "id", "left")
     if devices is not None:
         j = j.join(devices.withColumnRenamed("user_id", "id"), "id", "left")
     has_posts = F.col("n_statuses").isNotNull()
-    return j.select(
+    out = j.select(
         "id", "label", "isProtected", "isVerified",
         F.coalesce("meanIA", F.lit(-1.0)).alias("meanIA"),
         F.coalesce("tweetRate", F.lit(-1.0)).alias("tweetRate"),
@@ -253,7 +257,46 @@ def apply_sentinels(profile: DataFrame, summary: DataFrame, devices: DataFrame |
         .when(F.col("mainDeviceCount").isNull(), F.lit(-1))
         .otherwise(F.col("mainDeviceCount")).cast("bigint").alias("mainDeviceCount"),
         F.coalesce("mainDevice", F.lit(NO_DEVICE)).alias("mainDevice"),
+        "n_ms", "span_ms",
     )
+    if precision == "float":
+        return to_reference_precision(out)
+    if precision != "double":
+        raise ValueError("precision must be 'double' or 'float'")
+    return out.drop("n_ms", "span_ms")
+
+
+def to_reference_precision(features: DataFrame) -> DataFrame:
+    """FLOAT / INT columns computed the way the reference's Java does.
+
+    Ratios are integer quotients, so rounding the correctly rounded DOUBLE
+    quotient to FLOAT equals a float32 division (double rounding is harmless
+    for one division).  meanIA is different: the reference converts the
+    long span to float *before* dividing, so it is recomputed from the span.
+    Needs the helper columns n_ms and span_ms (dropped here).
+    """
+    f32 = {c: F.col(c).cast("float") for c in
+           ("isProtected", "isVerified", "tweetRate", "followerRatio", "urlRatio",
+            "hashtagRatio", "mentionRatio")}
+    mean_ia = F.when(
+        F.col("n_ms") >= 2,
+        (F.col("span_ms").cast("float") / (F.col("n_ms") - 1).cast("float")).cast("float"),
+    ).otherwise(F.lit(-1.0).cast("float"))
+    ints = {c: F.col(c).cast("int") for c in
+            ("maxTweetRate", "screenNameLength", "uniqueDevices", "mainDeviceCount")}
+    cols = []
+    for c in features.columns:
+        if c in ("n_ms", "span_ms"):
+            continue
+        if c == "meanIA":
+            cols.append(mean_ia.alias(c))
+        elif c in f32:
+            cols.append(f32[c].alias(c))
+        elif c in ints:
+            cols.append(ints[c].alias(c))
+        else:
+            cols.append(F.col(c))
+    return features.select(*cols)
 
 
 def user_features(
@@ -262,6 +305,7 @@ def user_features(
     n: int | None = tl.TIMELINE_N,
     bucket: str = "exact",
     gate: bool = True,
+    precision: str = "double",
 ) -> DataFrame:
     """The full feature row for every account in ``users``.
 
@@ -276,12 +320,13 @@ def user_features(
     if n is not None:
         posts = tl.latest_n(statuses.select(*cols), n, rank_col=None)
         posts = tl.gate_protected(posts, users) if gate else posts
-        return apply_sentinels(profile_features(users), timeline_features(posts, bucket))
+        return apply_sentinels(profile_features(users), timeline_features(posts, bucket),
+                               precision=precision)
     posts = tl.gate_protected(statuses, users) if gate else statuses
     posts = posts.select(*cols)
     summary = timeline_summary(posts, bucket)
     devices = main_device(device_counts(posts))
-    return apply_sentinels(profile_features(users), summary, devices)
+    return apply_sentinels(profile_features(users), summary, devices, precision=precision)
 
 
 def main_device_with_sentinels(users: DataFrame, statuses: DataFrame) -> DataFrame:

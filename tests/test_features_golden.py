@@ -125,3 +125,22 @@ def feats_b(spark, ps):
 def test_empty_input_gives_empty_output(spark):
     u, s = frames(spark, [], [])
     assert fx.user_features(u, s).count() == 0  # V19
+
+
+def test_reference_float_precision(spark):
+    """precision='float' reproduces Java float32 arithmetic (V12)."""
+    import numpy as np
+
+    big = 1_700_000_000_123
+    ps = [post(1, 1, big, n_tags=1), post(2, 1, big + 7_777_777, n_urls=1),
+          post(3, 1, big + 8_888_888), post(4, 1, big + 123_456_796)]
+    u, s = frames(spark, [user(1, followers=6, friends=7)], ps)
+    r = fx.user_features(u, s, precision="float").collect()[0].asDict()
+    span = np.float32(123_456_796)  # long -> float first, as in Java (rounds above 2**24)
+    assert r["meanIA"] == float(np.float32(span / np.float32(3)))
+    assert r["meanIA"] != float(np.float32(123_456_796 / 3))  # differs from the DOUBLE path
+    assert r["followerRatio"] == float(np.float32(np.float32(7) / np.float32(14)))
+    assert r["urlRatio"] == float(np.float32(np.float32(1) / np.float32(4)))
+    assert r["hashtagRatio"] == float(np.float32(1) / np.float32(4))
+    types = dict(fx.user_features(u, s, precision="float").dtypes)
+    assert types["meanIA"] == "float" and types["maxTweetRate"] == "int"
