@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "epoch_ms", "day_bucket", "size0", "flag", "follower_ratio",
     "screen_name_length", "label_to_double", "canonical_url", "ratio",
-    "twitter_time_string", "parse_twitter_time", "DAY_MS",
+    "twitter_time_string", "parse_twitter_time", "DAY_MS", "float32",
 ]
 
 DAY_MS = 86_400_000
@@ -85,3 +85,15 @@ def parse_twitter_time(s: str | Column) -> Column:
     zone offset in the text makes the result independent of the session zone.
     """
     return F.to_timestamp(F.substring(_c(s), 5, 64), "MMM dd HH:mm:ss Z yyyy")
+
+
+def float32(c: str | Column) -> Column:
+    """Round a numeric value to FLOAT and keep that rounding.
+
+    ``cast(cast(x AS float) AS double)`` is simplified by the optimizer to
+    ``cast(x AS double)`` for integer x (it treats long -> float as widening),
+    which silently skips the float rounding.  nanvl (identity for non-NaN
+    values) sits between the two casts so the rounding survives.
+    """
+    f = _c(c).cast("float")
+    return F.nanvl(f, f)

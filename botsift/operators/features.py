@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botsift.functions.columns import (
-    day_bucket, flag, follower_ratio, ratio, screen_name_length, size0,
+    day_bucket, flag, float32, follower_ratio, ratio, screen_name_length, size0,
 )
 from botsift.operators import timeline as tl
 
@@ -280,7 +280,7 @@ def to_reference_precision(features: DataFrame) -> DataFrame:
             "hashtagRatio", "mentionRatio")}
     mean_ia = F.when(
         F.col("n_ms") >= 2,
-        (F.col("span_ms").cast("float") / (F.col("n_ms") - 1).cast("float")).cast("float"),
+        (float32("span_ms") / float32(F.col("n_ms") - 1)).cast("float"),
     ).otherwise(F.lit(-1.0).cast("float"))
     ints = {c: F.col(c).cast("int") for c in
             ("maxTweetRate", "screenNameLength", "uniqueDevices", "mainDeviceCount")}
