@@ -523,3 +523,18 @@ def q_stream_score(spark, sf_dir):
     path = scratch_path(spark, "stream-model")
     model.write().overwrite().save(path)
     return stream_scoring.run_once(spark, path, f, scratch_path(spark, "stream-score"))
+
+
+@register("retrain_with_corrections")
+def q_retrain_with_corrections(spark, sf_dir):
+    """The full training run with label corrections folded in: labelled
+    file -> accounts -> corrected labels -> features -> forest; returns each
+    trained account's label, where it came from and the model's answer."""
+    from botsift.plans.training import build_models
+
+    path = lb.write_lines(fix.labelled_lines(spark, sf_dir), scratch_path(spark, "labelled"))
+    run = build_models(spark, path, fix.users(spark, sf_dir), fix.statuses(spark, sf_dir),
+                       label_events=fix.label_events(spark, sf_dir), n=TIMELINE_N_CHECK,
+                       num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+    scored = ml.score(run.model, run.features).select("id", "predictedLabel")
+    return run.features.select("id", "label", "label_source").join(scored, "id")

@@ -30,14 +30,33 @@ def _reason(tokens: Column) -> Column:
     )
 
 
+def line_order() -> Column:
+    """A sortable key giving the file order of lines read by spark.read.text.
+
+    (file path, start of the split, record number inside the partition):
+    splits are read front to back and the low 33 bits of
+    monotonically_increasing_id count records within a partition, so the key
+    follows the order of lines in each file however splits are packed.
+    """
+    rec = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        rec.alias("rec"),
+    )
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse a DataFrame with a ``value`` text column.
 
     Returns columns: value, reason (NULL when well-formed), label, user_id,
-    status_ids ARRAY<BIGINT>.
+    status_ids ARRAY<BIGINT>, and ``line`` (file order, see line_order) when
+    the input still carries the file metadata.
     """
     toks = _tokens(F.col("value"))
+    order = [line_order().alias("line")] if _has_metadata(lines) else []
     return lines.select(
+        *order,
         "value",
         _reason(toks).alias("reason"),
         toks[0].alias("label"),
@@ -46,6 +65,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _has_metadata(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_path")
+        return True
+    except Exception:  # noqa: BLE001 - not a file scan
+        return False
+
+
 def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Read a labelled-account file.
 
@@ -61,11 +88,18 @@ def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> t
         # A filter (not a projection) so the check cannot be pruned away.
         msg = F.concat(F.lit("malformed labelled line ("), F.col("reason"), F.lit("): "), F.col("value"))
         good = parsed.filter(F.when(F.col("reason").isNotNull(), F.raise_error(msg)).otherwise(F.lit(True)))
-    accounts = good.select("label", "user_id", "status_ids")
+    accounts = good.select("line", "label", "user_id", "status_ids")
     quarantine = parsed.filter(F.col("reason").isNotNull()).select("reason", F.col("value").alias("line"))
     return accounts, quarantine
 
 
+def dedupe_accounts(accounts: DataFrame) -> DataFrame:
+    """One row per account id: the last line of the file wins (map.put)."""
+    from botsift.operators.dedupe import last_wins
+
+    return last_wins(accounts, "user_id", "line").drop("line")
+
+
 def first_listed(accounts: DataFrame, n: int = LISTED_USED) -> DataFrame:
     """Keep the first n listed status ids of each account (file order)."""
     return accounts.withColumn("status_ids", F.slice("status_ids", 1, n))

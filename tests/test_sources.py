@@ -89,3 +89,10 @@ def test_profile_json_roundtrip_keeps_raw(spark, sf_small):
     back = ps.decode_profiles(docs.select(F.col("profile_json").alias("value")))
     assert back.count() == users.count()
     assert back.filter(F.col("user_id").isNull()).count() == 0
+
+
+def test_duplicate_ids_last_line_wins(spark):
+    path = write_text(spark, ["human 7 1", "bot 8 2", "bot 7 3"])
+    acc, _ = lb.read_labelled(spark, path)
+    got = {r["user_id"]: (r["label"], r["status_ids"]) for r in lb.dedupe_accounts(acc).collect()}
+    assert got == {7: ("bot", [3]), 8: ("bot", [2])}  # G-o
