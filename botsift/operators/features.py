@@ -331,10 +331,22 @@ def user_features(
 
 def main_device_with_sentinels(users: DataFrame, statuses: DataFrame) -> DataFrame:
     """uniqueDevices / mainDevice / mainDeviceCount for every account, with
-    the 'no posts' and 'no device' sentinels kept apart."""
-    counts = statuses.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_statuses"))
-    md = main_device(device_counts(statuses))
-    j = users.select("user_id").join(counts, "user_id", "left").join(md, "user_id", "left")
+    the 'no posts' and 'no device' sentinels kept apart.
+
+    One histogram over (account, source) -- blank sources included, so it
+    also yields the post count -- then one aggregate per account.
+    """
+    hist = statuses.groupBy("user_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    device = F.col("source").isNotNull() & (F.col("source") != F.lit(""))
+    per_user = hist.groupBy("user_id").agg(
+        F.sum("n").alias("n_statuses"),
+        F.count(F.when(device, 1)).alias("uniqueDevices"),
+        F.min_by(F.when(device, F.col("source")),
+                 F.when(device, F.struct((-F.col("n")).alias("k"), F.col("source").alias("s"))))
+        .alias("mainDevice"),
+        F.max(F.when(device, F.col("n"))).alias("mainDeviceCount"),
+    )
+    j = users.select("user_id").join(per_user, "user_id", "left")
     return j.select(
         F.col("user_id").alias("id"),
         F.coalesce("uniqueDevices", F.lit(0)).cast("bigint").alias("uniqueDevices"),

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 from botsift.operators import dedupe
 from botsift.operators import features as fx
+from botsift.operators.broadcast import bounded_broadcast
 from botsift.sources.labelled import LISTED_USED
 
 
 def resolve_users(accounts: DataFrame, users: DataFrame) -> DataFrame:
-    """Labelled ids that resolve to an account (unresolved ids drop)."""
-    return accounts.select("user_id", "label").join(
-        users.drop("label"), "user_id", "inner"
-    )
+    """Labelled ids that resolve to an account (unresolved ids drop).
+
+    The labelled set is usually tiny next to the account table, so it is
+    broadcast when its checked size allows: the account table is then read
+    once, map-side, with no shuffle.
+    """
+    acc = bounded_broadcast(accounts.select("user_id", "label"))
+    return users.drop("label").join(acc, "user_id", "inner")
 
 
 def current_labels(label_events: DataFrame) -> DataFrame:
@@ -52,7 +57,9 @@ def training_statuses(accounts: DataFrame, statuses: DataFrame, n: int = LISTED_
         "user_id", "label", F.posexplode(F.slice("status_ids", 1, n)).alias("position", "status_id")
     ).filter(F.col("status_id").isNotNull())
     s = statuses.select("status_id", F.col("user_id").alias("author_id"), "created_ms", "source")
-    return listed.join(s, "status_id", "inner")
+    # at most n ids per labelled account: broadcast (checked) so the post
+    # table is probed map-side instead of being shuffled by status_id
+    return s.join(bounded_broadcast(listed), "status_id", "inner")
 
 
 def feature_reuse(users: DataFrame, statuses: DataFrame, stored: DataFrame, n: int) -> DataFrame:
