@@ -38,8 +38,12 @@ def day_bucket(ms: str | Column) -> Column:
 
 
 def size0(arr: str | Column) -> Column:
-    """Array length with NULL treated as empty (``size(NULL)`` is NULL under ANSI)."""
-    return F.coalesce(F.size(_c(arr)), F.lit(0)).cast("bigint")
+    """Array length with NULL treated as empty.
+
+    Explicit, because ``size(NULL)`` is NULL under ANSI mode but -1 without it.
+    """
+    a = _c(arr)
+    return F.when(a.isNull(), F.lit(0)).otherwise(F.size(a)).cast("bigint")
 
 
 def flag(b: str | Column) -> Column:
