@@ -36,6 +36,18 @@ def _bucket(bucket: str) -> Column:
     raise ValueError(f"bucket must be one of {BUCKETS}, got {bucket!r}")
 
 
+COUNT_COLUMNS = ["user_id", "status_id", "created_ms", "source", "n_urls", "n_hashtags", "n_mentions"]
+
+
+def post_counts(statuses: DataFrame) -> DataFrame:
+    """Replace entity arrays by their sizes (no-op if already counted)."""
+    if "n_urls" in statuses.columns:
+        return statuses
+    return statuses.withColumns({
+        "n_urls": size0("urls"), "n_hashtags": size0("hashtags"), "n_mentions": size0("mentions"),
+    }).drop("urls", "hashtags", "mentions")
+
+
 def status_entity_counts(statuses: DataFrame) -> DataFrame:
     """Per post: entity counts and the has-URL predicate."""
     return statuses.select(
@@ -129,11 +141,11 @@ def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
     bucket or a time.
     """
     b = _bucket(bucket)
-    lvl1 = statuses.groupBy("user_id", b.alias("bucket")).agg(
+    lvl1 = post_counts(statuses).groupBy("user_id", b.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(size0("urls") > 0, 1).otherwise(0)).alias("n_url"),
-        F.sum(size0("hashtags")).alias("n_tags"),
-        F.sum(size0("mentions")).alias("n_ment"),
+        F.sum(F.when(F.col("n_urls") > 0, 1).otherwise(0)).alias("n_url"),
+        F.sum("n_hashtags").alias("n_tags"),
+        F.sum("n_mentions").alias("n_ment"),
         F.count("created_ms").alias("n_ms"),
         F.min("created_ms").alias("lo"),
         F.max("created_ms").alias("hi"),
@@ -188,6 +200,7 @@ def timeline_features(tl_df: DataFrame, bucket: str = "exact") -> DataFrame:
     from pyspark.sql import Window as W
 
     b = _bucket(bucket)
+    tl_df = post_counts(tl_df)
     w_dev = W.partitionBy("user_id", "source")
     w_bkt = W.partitionBy("user_id", "_bucket")
     x = (
@@ -201,9 +214,9 @@ def timeline_features(tl_df: DataFrame, bucket: str = "exact") -> DataFrame:
     timed = F.col("_bucket").isNotNull()
     g = x.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_statuses"),
-        F.sum(F.when(size0("urls") > 0, 1).otherwise(0)).alias("n_url"),
-        F.sum(size0("hashtags")).alias("n_tags"),
-        F.sum(size0("mentions")).alias("n_ment"),
+        F.sum(F.when(F.col("n_urls") > 0, 1).otherwise(0)).alias("n_url"),
+        F.sum("n_hashtags").alias("n_tags"),
+        F.sum("n_mentions").alias("n_ment"),
         F.count("created_ms").alias("n_ms"),
         F.min("created_ms").alias("lo"),
         F.max("created_ms").alias("hi"),
@@ -316,14 +329,15 @@ def user_features(
     (n=None) every post counts and the features come from partial
     (map-side combined) two-level aggregates, which tolerate hot accounts.
     """
-    cols = ["user_id", "status_id", "created_ms", "source", "urls", "hashtags", "mentions"]
+    # entity arrays are reduced to counts before any shuffle: the features
+    # only need their sizes, and the exchange then carries 7 narrow columns
+    posts = post_counts(statuses).select(*COUNT_COLUMNS)
     if n is not None:
-        posts = tl.latest_n(statuses.select(*cols), n, rank_col=None)
+        posts = tl.latest_n(posts, n, rank_col=None)
         posts = tl.gate_protected(posts, users) if gate else posts
         return apply_sentinels(profile_features(users), timeline_features(posts, bucket),
                                precision=precision)
-    posts = tl.gate_protected(statuses, users) if gate else statuses
-    posts = posts.select(*cols)
+    posts = tl.gate_protected(posts, users) if gate else posts
     summary = timeline_summary(posts, bucket)
     devices = main_device(device_counts(posts))
     return apply_sentinels(profile_features(users), summary, devices, precision=precision)

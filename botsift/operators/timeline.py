@@ -32,7 +32,8 @@ def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
     checked -- and the posts are filtered map-side without a shuffle.  Above
     the bound the planner falls back to a shuffled anti-join.
     """
-    protected = users.filter(F.coalesce(F.col("is_protected"), F.lit(False))).select("user_id")
+    # a plain boolean filter (NULL does not pass) so the predicate can reach the scan
+    protected = users.filter(F.col("is_protected")).select("user_id")
     return statuses.join(bounded_broadcast(protected, GATE_BROADCAST_MAX_ROWS), "user_id", "left_anti")
 
 
