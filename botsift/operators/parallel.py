@@ -1,0 +1,19 @@
+"""Input parallelism for CPU-heavy per-row work (tokenizing whole texts).
+
+A Parquet row group is the unit of a scan split, so a few large files can
+leave most cores idle while one task tokenizes everything.  ``spread``
+round-robins the rows only when the scan has fewer partitions than the
+cluster's default parallelism -- on a large input (thousands of splits) it
+is a no-op and adds no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -12,6 +12,8 @@ from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botsift.operators.parallel import spread
+
 NUM_HASH_FEATURES = 20  # hash buckets of the reference text model (fixed value)
 
 
@@ -21,7 +23,7 @@ def tokenize(docs: DataFrame, text_col: str = "text", out: str = "words") -> Dat
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(document, token) -> occurrences, over whole texts."""
-    t = tokenize(docs.select(id_col, text_col), text_col)
+    t = tokenize(spread(docs.select(id_col, text_col)), text_col)
     return (
         t.select(id_col, F.explode("words").alias("token"))
         .groupBy(id_col, "token")
@@ -34,7 +36,7 @@ def idf_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     number of documents (Spark ML's IDF formula, per token instead of per
     hash bucket)."""
     m = docs.select(F.count(F.lit(1))).scalar()
-    t = tokenize(docs.select(id_col, text_col), text_col)
+    t = tokenize(spread(docs.select(id_col, text_col)), text_col)
     pairs = t.select(id_col, F.explode(F.array_distinct("words")).alias("token"))
     df_ = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df_.select(
