@@ -15,7 +15,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
@@ -34,13 +34,39 @@ MAX_CATEGORIES = 4
 NUM_FOLDS = 4
 GRID_NUM_TREES = (10, 100, 1)
 GRID_MAX_DEPTH = (None, 5, 10, 1)  # None = the forest's default depth
+DEVICE_CATEGORIES = MIN_MAX_BINS - 1  # devices kept as their own category
+OTHER_DEVICE = "OTHER"
 
 
-def device_indexer(features: DataFrame):
-    return StringIndexer(inputCol="mainDevice", outputCol="indexedMainDevice",
+def device_indexer(features: DataFrame, input_col: str = "mainDevice"):
+    return StringIndexer(inputCol=input_col, outputCol="indexedMainDevice",
                          handleInvalid="keep").fit(features)
 
 
+def device_pooling(train: DataFrame, keep: int = DEVICE_CATEGORIES):
+    """A pipeline stage adding ``pooledMainDevice``: the device, or 'OTHER'
+    outside the ``keep`` most frequent training values.  None when there
+    are at most ``keep`` devices.
+
+    Keeps the categorical feature within maxBins however many client
+    strings exist, and bounds what the device indexer collects to the
+    driver.  The vocabulary is computed by an aggregate plus a top-(keep+1)
+    (a bounded result) and is saved inside the pipeline, so serving applies
+    the same mapping.
+    """
+    from pyspark.ml.feature import SQLTransformer
+
+    top = (train.groupBy("mainDevice").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), F.col("mainDevice")).limit(keep + 1).collect())
+    if len(top) <= keep:
+        return None
+    vocab = [r["mainDevice"] for r in top[:keep] if r["mainDevice"] is not None]
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in vocab)
+    stmt = (f"SELECT *, CASE WHEN mainDevice IN ({quoted}) THEN mainDevice "
+            f"ELSE '{OTHER_DEVICE}' END AS pooledMainDevice FROM __THIS__")
+    return SQLTransformer(statement=stmt)
+
+
 def label_indexer(features: DataFrame):
     return StringIndexer(inputCol="label", outputCol="indexedLabel").fit(features)
 
@@ -65,12 +91,13 @@ def forest_pipeline(features: DataFrame, train: DataFrame, num_trees: int = 20,
                     max_depth: int = 5, seed: int = SEED) -> tuple[Pipeline, RandomForestClassifier]:
     """Build the pipeline.  Labels are indexed on all rows; the device index
     is fit on the training rows, with room for unseen devices."""
-    dev = device_indexer(train)
+    pool = device_pooling(train)
+    dev = device_indexer(pool.transform(train), "pooledMainDevice") if pool else device_indexer(train)
     lab = label_indexer(features)
     max_bins = max(MIN_MAX_BINS, len(dev.labels) + 1)
     rf = RandomForestClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures",
                                 seed=seed, maxBins=max_bins, numTrees=num_trees, maxDepth=max_depth)
-    stages = [
+    stages = ([pool] if pool else []) + [
         dev, assembler(), lab,
         VectorIndexer(inputCol="features", outputCol="indexedFeatures",
                       maxCategories=MAX_CATEGORIES, handleInvalid="keep"),
@@ -95,7 +122,7 @@ def train_forest(features: DataFrame, num_trees: int = 20, max_depth: int = 5,
 
 
 def forest_of(model: PipelineModel):
-    return model.stages[4]
+    return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -16,12 +16,11 @@ from botsift.operators.dedupe import last_wins
 
 
 def start_label_upsert(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int = 1):
-    events = (
-        spark.readStream.schema(schemas.LABEL_EVENTS)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(source_dir)
-    )
+                       available_now: bool = True, max_files_per_trigger: int | None = None):
+    reader = spark.readStream.schema(schemas.LABEL_EVENTS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(source_dir)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         last_wins(batch, "user_id", "seq").write.mode("overwrite").parquet(
@@ -44,10 +43,14 @@ def write_event_files(events: DataFrame, source_dir: str, files: int = 4) -> Non
     events.repartition(files).write.mode("overwrite").parquet(source_dir)
 
 
-def run_once(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:
+def run_once(spark: SparkSession, events: DataFrame, root: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Land ``events`` as files, drain them through the stream (one file per
+    micro-batch by default, so the upsert runs over several batches) and
+    return the resolved label table."""
     src, table, ckpt = f"{root}/in", f"{root}/labels", f"{root}/checkpoint"
     write_event_files(events, src)
-    q = start_label_upsert(spark, src, table, ckpt, available_now=True)
+    q = start_label_upsert(spark, src, table, ckpt, available_now=True,
+                           max_files_per_trigger=files_per_batch)
     q.awaitTermination()
     return read_labels(spark, table)
 

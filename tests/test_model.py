@@ -58,3 +58,18 @@ def test_accuracy_query_agrees_with_evaluator(trained):
 
 def test_grid_dedupes(spark):
     assert ml.grid_size() == (12, 9)
+
+
+def test_device_pooling_bounds_categories(spark, trained):
+    """Many distinct devices: all but the most frequent pool into OTHER,
+    and the pipeline (with the pooling stage) trains and serves."""
+    f, _, _, _ = trained
+    many = f.withColumn("mainDevice", F.concat(F.lit("dev-"), (F.col("id") % 400).cast("string")))
+    stage = ml.device_pooling(many, keep=50)
+    assert stage is not None
+    pooled = stage.transform(many)
+    assert pooled.select("pooledMainDevice").distinct().count() == 51
+    assert set(pooled.columns) == set(many.columns) | {"pooledMainDevice"}
+    assert ml.device_pooling(f) is None  # few devices: no stage
+    model, _, test = ml.train_forest(many, num_trees=3, max_depth=3)
+    assert ml.score(model, test).count() == test.count()
