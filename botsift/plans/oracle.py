@@ -367,3 +367,40 @@ FROM tok GROUP BY token""",
 })
 
 SQL["stream_label_upsert"] = SQL["dedupe_last_wins"]
+
+# ------------------------------------------------------------ model inputs
+MODEL_SLOTS = [
+    "isProtected", "isVerified", "meanIA", "tweetRate", "maxTweetRate",
+    "screenNameLength", "followerRatio", "urlRatio", "hashtagRatio",
+    "mentionRatio", "uniqueDevices", "mainDeviceCount", "indexedMainDevice",
+]
+
+SLOTS = "slots AS (\n" + "\n  UNION ALL\n".join(
+    f"  SELECT f.id, CAST({i} AS INTEGER) AS slot, '{name}' AS feature, CAST(f.{name} AS DOUBLE) AS value "
+    f"FROM fi f"
+    for i, name in enumerate(MODEL_SLOTS)
+) + "\n)"
+
+FI = """
+fi AS (SELECT f.*, d.indexedMainDevice FROM feat f JOIN dev d ON d.mainDevice = f.mainDevice)"""
+
+# Vector indexer: a slot with at most 4 distinct values becomes categorical;
+# 0.0 keeps code 0 and the other values take codes in ascending order.
+VECTOR_INDEX = """
+dist AS (SELECT slot, value FROM slots GROUP BY slot, value),
+k AS (SELECT slot, count(*) AS k, bool_or(value = 0) AS has_zero FROM dist GROUP BY slot),
+codes AS (
+  SELECT d.slot, d.value,
+         CASE WHEN d.value = 0 THEN 0
+              ELSE (row_number() OVER (PARTITION BY d.slot, d.value = 0 ORDER BY d.value) - 1)
+                   + CASE WHEN k.has_zero THEN 1 ELSE 0 END END AS code
+  FROM dist d JOIN k ON k.slot = d.slot WHERE k.k <= 4
+)"""
+
+SQL.update({
+    "assemble_features": with_(*_FEAT, DEV_INDEX, FI, SLOTS) + "SELECT id, slot, feature, value FROM slots",
+    "vector_index": with_(*_FEAT, DEV_INDEX, FI, SLOTS, VECTOR_INDEX) + """
+SELECT s.id, s.slot, s.feature, coalesce(CAST(c.code AS DOUBLE), s.value) AS value
+FROM slots s LEFT JOIN codes c ON c.slot = s.slot AND c.value = s.value""",
+    "model_roundtrip": with_(USERS) + "SELECT user_id AS id, true AS same FROM users",
+})

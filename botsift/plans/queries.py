@@ -413,20 +413,29 @@ def _trained(spark, sf_dir):
     return f, model, train, test
 
 
+def _slots(df, vec_col):
+    """Unpivot a vector column to (id, slot, feature, value) rows."""
+    names = F.array(*[F.lit(n) for n in schemas.MODEL_INPUTS])
+    x = df.select("id", F.posexplode(vector_to_array(vec_col)).alias("slot", "value"))
+    return x.select("id", "slot", F.element_at(names, F.col("slot") + 1).alias("feature"), "value")
+
+
 @register("assemble_features")
 def q_assemble_features(spark, sf_dir):
-    df = ml.assembler().transform(_indexed_features(spark, sf_dir))
-    return df.select("id", "label", vector_to_array("features").alias("features"))
+    """The assembled 13-slot feature vector of every account, one row per slot."""
+    return _slots(ml.assembler().transform(_indexed_features(spark, sf_dir)), "features")
 
 
 @register("vector_index")
 def q_vector_index(spark, sf_dir):
+    """Vector indexer (maxCategories 4) output, one row per slot: slots with
+    at most 4 distinct values are re-coded as categories."""
     from pyspark.ml.feature import VectorIndexer
 
     df = ml.assembler().transform(_indexed_features(spark, sf_dir))
     vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures",
                        maxCategories=ml.MAX_CATEGORIES, handleInvalid="keep").fit(df)
-    return vi.transform(df).select("id", vector_to_array("indexedFeatures").alias("indexedFeatures"))
+    return _slots(vi.transform(df), "indexedFeatures")
 
 
 @register("train_forest")
@@ -482,16 +491,17 @@ def q_misclassified(spark, sf_dir):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """Save the fitted pipeline, load it, and score with both copies."""
+    """Save the fitted pipeline, load it, score every account with both
+    copies; ``same`` must hold for every account."""
     from pyspark.ml import PipelineModel
 
     f, model, _, _ = _trained(spark, sf_dir)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    a = ml.score(model, f).select("id", F.col("prediction").alias("prediction_fitted"))
-    b = ml.score(loaded, f).select("id", F.col("prediction").alias("prediction_loaded"))
-    return a.join(b, "id").withColumn("same", F.col("prediction_fitted") == F.col("prediction_loaded"))
+    a = ml.score(model, f).select("id", F.col("prediction").alias("_a"), F.col("probability").alias("_pa"))
+    b = ml.score(loaded, f).select("id", F.col("prediction").alias("_b"), F.col("probability").alias("_pb"))
+    return a.join(b, "id").select("id", ((F.col("_a") == F.col("_b")) & (F.col("_pa") == F.col("_pb"))).alias("same"))
 
 
 @register("hashing_tf")
