@@ -262,14 +262,33 @@ SELECT user_id, CASE WHEN acct THEN 'found' ELSE 'missing' END AS state, label,
                  WHEN acct AND user_id IN (SELECT user_id FROM events) THEN 2
                  ELSE 1 END AS BIGINT) AS version
 FROM reqa""",
-    "ingest_coverage": with_(USERS, REQ) + """
-SELECT count(*) AS n_requested,
-       count(*) FILTER (WHERE first_pass AND acct) AS n_cached,
-       count(*) FILTER (WHERE first_pass AND NOT acct) AS n_tombstoned,
-       count(*) FILTER (WHERE NOT first_pass) AS n_unseen,
-       count(*) FILTER (WHERE NOT first_pass AND acct) AS n_retrieved,
-       count(*) FILTER (WHERE NOT first_pass AND NOT acct) AS n_not_found
-FROM reqa""",
+    "ingest_coverage": with_(USERS, REQ, LINES) + """,
+lk AS (
+  SELECT count(*) AS requested,
+         count(*) FILTER (WHERE first_pass AND acct) AS cached,
+         count(*) FILTER (WHERE first_pass AND NOT acct) AS tombstoned,
+         count(*) FILTER (WHERE NOT first_pass) AS unseen,
+         count(*) FILTER (WHERE NOT first_pass AND acct) AS retrieved,
+         count(*) FILTER (WHERE NOT first_pass AND NOT acct) AS not_found
+  FROM reqa),
+fl AS (
+  SELECT count(*) AS lines,
+         count(*) FILTER (WHERE m NOT IN (3, 7, 9)) AS accounts,
+         count(*) FILTER (WHERE m IN (3, 7, 9)) AS quarantined
+  FROM lines),
+firsts AS (
+  SELECT user_id, event_id FROM (
+    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+    FROM events) x
+  WHERE rn <= 10 AND user_id % 10 NOT IN (3, 7, 9)),
+st AS (
+  SELECT count(*) AS listed, count(e.event_id) AS resolved, count(*) - count(e.event_id) AS dropped
+  FROM firsts f LEFT JOIN events e ON e.event_id = f.event_id)
+SELECT 'lookup' AS stage, metric, n FROM (UNPIVOT lk ON COLUMNS(*) INTO NAME metric VALUE n)
+UNION ALL
+SELECT 'labelled_file', metric, n FROM (UNPIVOT fl ON COLUMNS(*) INTO NAME metric VALUE n)
+UNION ALL
+SELECT 'statuses', metric, n FROM (UNPIVOT st ON COLUMNS(*) INTO NAME metric VALUE n)""",
     "profile_json_roundtrip": with_(*_FEAT) + """,
 tls AS (SELECT user_id, count(*) AS n,
                string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS ids

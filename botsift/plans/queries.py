@@ -245,20 +245,45 @@ def q_profile_store_upsert(spark, sf_dir):
 
 @register("ingest_coverage")
 def q_ingest_coverage(spark, sf_dir):
-    """Lookup coverage counts of an ingest, one row."""
+    """Coverage counts of an ingest as (stage, metric, n) rows: the lookup
+    states of the requested ids, the labelled file's lines, and the listed
+    posts that resolved or dropped (one conditional-count aggregate per
+    input, unioned -- no cross join)."""
     root, req = _store_pass1(spark, sf_dir)
     lk = ps.lookup(req, ps.read_store(spark, root))
     ids = fix.users(spark, sf_dir).select("user_id", F.lit(True).alias("_acct"))
     j = lk.join(ids, "user_id", "left")
     unseen = F.col("state") == "unseen"
-    return j.agg(
-        F.count(F.lit(1)).alias("n_requested"),
-        F.count(F.when(F.col("state") == "found", 1)).alias("n_cached"),
-        F.count(F.when(F.col("state") == "missing", 1)).alias("n_tombstoned"),
-        F.count(F.when(unseen, 1)).alias("n_unseen"),
-        F.count(F.when(unseen & F.col("_acct"), 1)).alias("n_retrieved"),
-        F.count(F.when(unseen & F.col("_acct").isNull(), 1)).alias("n_not_found"),
+    lookup = j.agg(
+        F.count(F.lit(1)).alias("requested"),
+        F.count(F.when(F.col("state") == "found", 1)).alias("cached"),
+        F.count(F.when(F.col("state") == "missing", 1)).alias("tombstoned"),
+        F.count(F.when(unseen, 1)).alias("unseen"),
+        F.count(F.when(unseen & F.col("_acct"), 1)).alias("retrieved"),
+        F.count(F.when(unseen & F.col("_acct").isNull(), 1)).alias("not_found"),
     )
+    path = lb.write_lines(fix.labelled_lines(spark, sf_dir), scratch_path(spark, "labelled"))
+    parsed = lb.parse_lines(spark.read.text(path))
+    lines = parsed.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count(F.when(F.col("reason").isNull(), 1)).alias("accounts"),
+        F.count(F.when(F.col("reason").isNotNull(), 1)).alias("quarantined"),
+    )
+    acc = parsed.filter(F.col("reason").isNull())
+    listed = acc.select(F.explode(F.slice("status_ids", 1, lb.LISTED_USED)).alias("status_id"))
+    known = fix.statuses(spark, sf_dir).select("status_id", F.lit(True).alias("_found"))
+    posts = listed.join(known, "status_id", "left").agg(
+        F.count(F.lit(1)).alias("listed"),
+        F.count(F.when(F.col("_found"), 1)).alias("resolved"),
+        F.count(F.when(F.col("_found").isNull(), 1)).alias("dropped"),
+    )
+
+    def long(df, stage):
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(stage).alias("stage"), F.lit(c).alias("metric"), F.col(c).alias("n"))
+            for c in df.columns])).alias("r")).select("r.*")
+
+    return long(lookup, "lookup").unionByName(long(lines, "labelled_file")).unionByName(long(posts, "statuses"))
 
 
 @register("profile_json_roundtrip")

@@ -29,3 +29,20 @@ def test_late_file_and_restart(spark, sf_small):
     got = sl.read_labels(spark, table)
     want = last_wins(ev, "user_id", "seq").select("user_id", "seq", "label")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_scoring_equals_batch(spark):
+    from botsift.operators import features as fx
+    from botsift.operators import model as ml
+    from botsift.streaming import scoring
+
+    sf = "/root/testdata/sf0.01"
+    f = fx.user_features(fix.users(spark, sf), fix.statuses(spark, sf), n=50)
+    model, _, _ = ml.train_forest(f, num_trees=5, max_depth=3)
+    path = scratch_path(spark, "t-stream-model")
+    model.write().overwrite().save(path)
+    streamed = scoring.run_once(spark, path, f, scratch_path(spark, "t-stream-score"))
+    batch = ml.score(model, f)
+    cols = ["id", "predictedLabel", "probability"]
+    assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
+    assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
