@@ -19,15 +19,14 @@ PLATFORM_TYPES = ("WINDOWS",)
 THREAT_ENTRY_TYPES = ("URL",)
 
 
-def status_urls(posts: DataFrame) -> DataFrame:
-    """One row per (post, URL entity): status_id, label, url, text.
+def status_urls(posts: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per (post, URL entity): status_id, label, url[, text].
 
     The canonical URL is the expanded one when present (the reference keys
     humans by short and bots by expanded URL; we use one rule for both)."""
-    e = posts.select("status_id", "label", "text", F.explode("urls").alias("e"))
-    return e.select("status_id", "label", canonical_url("e").alias("url"), "text").filter(
-        F.col("url").isNotNull()
-    )
+    keep = ["status_id", "label"] + (["text"] if with_text else [])
+    e = posts.select(*keep, F.explode("urls").alias("e"))
+    return e.select(*keep, canonical_url("e").alias("url")).filter(F.col("url").isNotNull())
 
 
 def flagged(threats: DataFrame) -> DataFrame:
@@ -46,24 +45,24 @@ def spam_urls(urls: DataFrame, threats: DataFrame) -> DataFrame:
 
 def labelled_statuses(posts: DataFrame, threats: DataFrame) -> DataFrame:
     """Training rows for the text model: for each class and each flagged
-    URL, the text of the last post carrying it; label 0.0 human, 1.0 bot."""
-    u = status_urls(posts)
-    last = u.groupBy("label", "url").agg(
-        F.max_by(F.struct("status_id", "text"), F.col("status_id")).alias("_p")
-    )
+    URL, the text of the last post carrying it; label 0.0 human, 1.0 bot.
+
+    The per-(class, URL) winner is found on ids only (a partial max); texts
+    are attached at the end for the winners, which are few, through a
+    size-checked broadcast -- whole texts are never shuffled.
+    """
+    u = status_urls(posts, with_text=False)
+    last = u.groupBy("label", "url").agg(F.max("status_id").alias("status_id"))
     t = bounded_broadcast(flagged(threats).select("url").distinct())
     hit = last.join(t, "url", "left_semi")
-    return hit.select(
-        label_to_double("label").alias("label"),
-        "url",
-        F.col("_p.status_id").alias("status_id"),
-        F.col("_p.text").alias("statusText"),
-    )
+    texts = posts.select("status_id", F.col("text").alias("statusText"))
+    out = texts.join(bounded_broadcast(hit), "status_id", "inner")
+    return out.select(label_to_double("label").alias("label"), "url", "status_id", "statusText")
 
 
 def spam_counts(posts: DataFrame, threats: DataFrame) -> DataFrame:
     """Per class: posts, distinct URLs, distinct flagged URLs."""
-    u = status_urls(posts)
+    u = status_urls(posts, with_text=False)
     t = bounded_broadcast(flagged(threats).select("url").distinct().withColumn("_hit", F.lit(True)))
     j = u.join(t, "url", "left")
     return j.groupBy("label").agg(

@@ -417,7 +417,7 @@ def q_tokenize(spark, sf_dir):
 
 @register("idf_tokens")
 def q_idf_tokens(spark, sf_dir):
-    docs = fix.text_statuses(spark, sf_dir).select(F.col("status_id").alias("doc_id"), "text")
+    docs = fix.labelled_texts(spark, sf_dir).select(F.col("status_id").alias("doc_id"), "text")
     return text.idf_tokens(docs).select("token", "df", F.round("idf", 9).alias("idf"))
 
 

@@ -139,26 +139,40 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(line.alias("value"))
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled posts for the text model without URLs: status_id, label
+    ('bot' when toxic), text.  The label table is broadcast when its checked
+    size allows, so the documents (whole texts) are never shuffled for it."""
+    from botsift.operators.broadcast import bounded_broadcast
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = bounded_broadcast(table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return docs.join(lab, "doc_id").select(
+        F.col("doc_id").alias("status_id"),
+        F.when(F.col("toxic") == 1, F.lit("bot")).otherwise(F.lit("human")).alias("label"),
+        "text",
+    )
+
+
 def text_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled training posts for the text model.
+    """Labelled posts with one URL entity each: a short t.co link expanding
+    to the URL of page ``doc_id mod count(pages)``.
 
-    Columns: status_id, label ('bot' when toxic), text, urls (one entity:
-    a short t.co link and the page URL it expands to).
+    Columns: status_id, label, text, urls.  The (page_id, url) side is
+    broadcast when its checked size allows.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    from botsift.operators.broadcast import bounded_broadcast
+
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
-    d = docs.join(lab, "doc_id").withColumn("page_id", F.pmod(F.col("doc_id"), n_pages))
-    d = d.join(pages, "page_id", "left")
+    d = labelled_texts(spark, sf_dir).withColumn("page_id", F.pmod(F.col("status_id"), n_pages))
+    d = d.join(bounded_broadcast(pages), "page_id", "left")
     ent = F.struct(
-        F.concat(F.lit("https://t.co/d"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("https://t.co/d"), F.col("status_id").cast("string")).alias("url"),
         F.col("url").alias("expanded_url"),
     )
     return d.select(
-        F.col("doc_id").alias("status_id"),
-        F.when(F.col("toxic") == 1, F.lit("bot")).otherwise(F.lit("human")).alias("label"),
-        F.col("text"),
+        "status_id", "label", "text",
         F.when(F.col("url").isNotNull(), F.array(ent))
         .otherwise(F.array().cast("array<struct<url:string,expanded_url:string>>"))
         .alias("urls"),
