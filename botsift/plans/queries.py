@@ -8,11 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from botsift import schemas
+from botsift.operators import dedupe, feedback, resolve, spam, text
 from botsift.operators import features as fx
+from botsift.operators import model as ml
+from botsift.operators import timeline as tl
 from botsift.plans.oracle import TIMELINE_N_CHECK
+from botsift.session import scratch_path
 from botsift.sources import fixtures as fix
+from botsift.sources import labelled as lb
+from botsift.sources import profile_store as ps
+from botsift.sources import sinks
+from botsift.sources import status_json as sj
+from botsift.streaming import labels as stream_labels
+from botsift.streaming import scoring as stream_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,9 +47,6 @@ def q_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- components
-from pyspark.sql import functions as F  # noqa: E402
-
-from botsift.operators import timeline as tl  # noqa: E402
 
 
 def _users_statuses(spark, sf_dir):
@@ -136,15 +146,6 @@ def q_user_features_daily(spark, sf_dir):
 
 
 # ------------------------------------------------------------ sources (A)
-from botsift.operators import dedupe, feedback, resolve  # noqa: E402
-from botsift.operators import model as ml  # noqa: E402
-from botsift.operators import spam, text  # noqa: E402
-from botsift.session import scratch_path  # noqa: E402
-from botsift.sources import labelled as lb  # noqa: E402
-from botsift.sources import profile_store as ps  # noqa: E402
-from botsift.sources import sinks  # noqa: E402
-from botsift.sources import status_json as sj  # noqa: E402
-from botsift import schemas  # noqa: E402
 
 
 def _labelled_file(spark, sf_dir):
@@ -422,10 +423,7 @@ def q_idf_tokens(spark, sf_dir):
 
 
 # ------------------------------------------------------------ model (rows-only)
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from botsift.streaming import labels as stream_labels  # noqa: E402
-from botsift.streaming import scoring as stream_scoring  # noqa: E402
 
 FOREST_TREES, FOREST_DEPTH = 20, 5  # small forest for the registered keys
 
