@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "epoch_ms", "day_bucket", "size0", "flag", "follower_ratio",
     "screen_name_length", "label_to_double", "canonical_url", "ratio",
-    "twitter_time_string", "parse_twitter_time", "DAY_MS", "float32",
+    "twitter_time_string", "parse_twitter_time", "DAY_MS", "float32", "following_ratio",
 ]
 
 DAY_MS = 86_400_000
@@ -57,6 +57,13 @@ def follower_ratio(followers: str | Column, friends: str | Column) -> Column:
     return f1 / (f1 + _c(friends).cast("double"))
 
 
+def following_ratio(friends: str | Column, followers: str | Column) -> Column:
+    """friends / followers (the ratio as documented, "#Following/#Followers");
+    NULL when there are no followers."""
+    fol = _c(followers).cast("double")
+    return F.when(fol > 0, _c(friends).cast("double") / fol)
+
+
 def screen_name_length(name: str | Column) -> Column:
     return F.length(_c(name)).cast("bigint")
 

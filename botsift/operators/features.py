@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botsift.functions.columns import (
-    day_bucket, flag, float32, follower_ratio, ratio, screen_name_length, size0,
+    day_bucket, flag, float32, follower_ratio, following_ratio, ratio, screen_name_length, size0,
 )
 from botsift.operators import timeline as tl
 
@@ -175,15 +175,27 @@ def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
     )
 
 
-def profile_features(users: DataFrame) -> DataFrame:
-    """Account-level features that need no posts."""
+FOLLOW_RATIOS = ("code", "documented")
+
+
+def profile_features(users: DataFrame, follow_ratio: str = "code") -> DataFrame:
+    """Account-level features that need no posts.
+
+    ``follow_ratio='code'`` (default, parity): (followers+1) /
+    ((followers+1) + friends).  ``'documented'``: friends / followers, the
+    meaning given in the reference's comment (NULL without followers).
+    """
+    if follow_ratio not in FOLLOW_RATIOS:
+        raise ValueError(f"follow_ratio must be one of {FOLLOW_RATIOS}")
+    ratio_col = (follower_ratio("followers_count", "friends_count") if follow_ratio == "code"
+                 else following_ratio("friends_count", "followers_count"))
     return users.select(
         F.col("user_id").alias("id"),
         "label",
         flag("is_protected").alias("isProtected"),
         flag("is_verified").alias("isVerified"),
         screen_name_length("screen_name").alias("screenNameLength"),
-        follower_ratio("followers_count", "friends_count").alias("followerRatio"),
+        ratio_col.alias("followerRatio"),
     )
 
 
@@ -319,6 +331,7 @@ def user_features(
     bucket: str = "exact",
     gate: bool = True,
     precision: str = "double",
+    follow_ratio: str = "code",
 ) -> DataFrame:
     """The full feature row for every account in ``users``.
 
@@ -335,12 +348,12 @@ def user_features(
     if n is not None:
         posts = tl.latest_n(posts, n, rank_col=None)
         posts = tl.gate_protected(posts, users) if gate else posts
-        return apply_sentinels(profile_features(users), timeline_features(posts, bucket),
+        return apply_sentinels(profile_features(users, follow_ratio), timeline_features(posts, bucket),
                                precision=precision)
     posts = tl.gate_protected(posts, users) if gate else posts
     summary = timeline_summary(posts, bucket)
     devices = main_device(device_counts(posts))
-    return apply_sentinels(profile_features(users), summary, devices, precision=precision)
+    return apply_sentinels(profile_features(users, follow_ratio), summary, devices, precision=precision)
 
 
 def main_device_with_sentinels(users: DataFrame, statuses: DataFrame) -> DataFrame:

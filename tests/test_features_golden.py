@@ -144,3 +144,9 @@ def test_reference_float_precision(spark):
     assert r["hashtagRatio"] == float(np.float32(1) / np.float32(4))
     types = dict(fx.user_features(u, s, precision="float").dtypes)
     assert types["meanIA"] == "float" and types["maxTweetRate"] == "int"
+
+
+def test_documented_follow_ratio(spark):
+    u, s = frames(spark, [user(1, followers=10, friends=30), user(2, followers=0, friends=5)], [])
+    got = {r["id"]: r["followerRatio"] for r in fx.user_features(u, s, follow_ratio="documented").collect()}
+    assert got == {1: 3.0, 2: None}
