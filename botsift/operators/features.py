@@ -1,9 +1,15 @@
 """Behavioural features per account (the feature table).
 
-Every feature is an algebraic aggregate (count, sum, min, max) so Spark
-combines partial results map-side before the shuffle; the two arg-max style
-features (main device, busiest time bucket) are two-level aggregates whose
-first level is keyed by (account, device) / (account, bucket).
+Two execution paths, same results (a test pins their equality):
+
+* bounded timeline (the default, latest N posts per account): one shuffle
+  by account after a partial per-account limit, then window counts on that
+  partitioning and a single aggregate (``timeline_features``);
+* all posts (``n=None``): algebraic aggregates (count, sum, min, max) with
+  map-side partial combine; the two arg-max style features (main device,
+  busiest time bucket) are two-level aggregates whose first level is keyed
+  by (account, device) / (account, bucket), so a hot account spreads over
+  many tasks.
 
 Sentinels follow the reference exactly (fixed values):
   no posts:            urlRatio, hashtagRatio, mentionRatio, tweetRate, meanIA = -1,

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botsift import schemas
-from botsift.operators import features as fx
 
 FOUND, MISSING, UNSEEN = "found", "missing", "unseen"
 
