@@ -74,3 +74,19 @@ def feature_reuse(users: DataFrame, statuses: DataFrame, stored: DataFrame, n: i
     todo = users.join(stored.select(F.col("id").alias("user_id")), "user_id", "left_anti")
     fresh = fx.user_features(todo, statuses, n=n).withColumn("origin", F.lit("computed"))
     return reuse.unionByName(fresh)
+
+
+def refresh_features(users: DataFrame, statuses: DataFrame, stored: DataFrame, new_posts: DataFrame,
+                     n: int) -> DataFrame:
+    """Incremental feature update after new posts arrive.
+
+    The latest-N timeline does not merge, so accounts with new posts are
+    recomputed from all their posts (old and new); every other account keeps
+    its stored row.  ``statuses`` must already include ``new_posts``.
+    Adds ``origin`` in {stored, refreshed}.
+    """
+    changed = new_posts.select("user_id").distinct()
+    keep = stored.join(changed.select(F.col("user_id").alias("id")), "id", "left_anti")
+    todo = users.join(changed, "user_id", "left_semi")
+    fresh = fx.user_features(todo, statuses, n=n)
+    return keep.withColumn("origin", F.lit("stored")).unionByName(fresh.withColumn("origin", F.lit("refreshed")))

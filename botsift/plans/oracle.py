@@ -423,3 +423,8 @@ SELECT s.id, s.slot, s.feature, coalesce(CAST(c.code AS DOUBLE), s.value) AS val
 FROM slots s LEFT JOIN codes c ON c.slot = s.slot AND c.value = s.value""",
     "model_roundtrip": with_(USERS) + "SELECT user_id AS id, true AS same FROM users",
 })
+
+SQL["incremental_refresh"] = with_(*_FEAT) + """
+SELECT *, CASE WHEN id IN (SELECT user_id FROM events WHERE event_id % 10 = 9)
+               THEN 'refreshed' ELSE 'stored' END AS origin
+FROM feat"""

@@ -388,6 +388,19 @@ def q_feature_reuse(spark, sf_dir):
     return resolve.feature_reuse(users, st, stored, TIMELINE_N_CHECK)
 
 
+@register("incremental_refresh")
+def q_incremental_refresh(spark, sf_dir):
+    """Features were stored before the latest batch of posts (every tenth
+    event); accounts with new posts are recomputed, the rest reused."""
+    users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+    is_new = F.col("status_id") % 10 == 9
+    earlier = fx.user_features(users, st.filter(~is_new), n=TIMELINE_N_CHECK)
+    path = scratch_path(spark, "features-before")
+    earlier.write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(schemas.FEATURES).parquet(path)
+    return resolve.refresh_features(users, st, stored, st.filter(is_new), TIMELINE_N_CHECK)
+
+
 # ------------------------------------------------------------ spam and text
 @register("status_urls")
 def q_status_urls(spark, sf_dir):

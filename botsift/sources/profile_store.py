@@ -132,8 +132,10 @@ def fx_cols(features: DataFrame) -> list[str]:
 
 def decode_profiles(docs: DataFrame) -> DataFrame:
     """Parse profile JSON text (column ``value``) back into columns; an
-    undecodable document yields NULLs and is dropped."""
-    p = docs.select(F.from_json("value", PROFILE_JSON).alias("p")).filter(F.col("p").isNotNull())
+    undecodable document lands in the corrupt-record field and is dropped."""
+    schema = T.StructType([*PROFILE_JSON.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    p = docs.select(parsed.alias("p")).filter(F.col("p").isNotNull() & F.col("p._corrupt").isNull())
     user = F.from_json("p.marshalledUser", schemas.USER)
     tl = F.transform("p.marshalledUserTimeline", lambda s: F.from_json(s, TIMELINE_STATUS_JSON))
     return p.select(

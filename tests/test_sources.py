@@ -96,3 +96,11 @@ def test_duplicate_ids_last_line_wins(spark):
     acc, _ = lb.read_labelled(spark, path)
     got = {r["user_id"]: (r["label"], r["status_ids"]) for r in lb.dedupe_accounts(acc).collect()}
     assert got == {7: ("bot", [3]), 8: ("bot", [2])}  # G-o
+
+
+def test_decode_drops_undecodable_profiles(spark):
+    docs = spark.createDataFrame(
+        [('{"label": "bot", "marshalledUser": "{\\"id\\": 5, \\"screen_name\\": \\"a\\"}", '
+          '"marshalledUserTimeline": []}',), ("{not json",)], "value string")
+    rows = ps.decode_profiles(docs).collect()  # A5: an undecodable entry is dropped
+    assert [(r["user_id"], r["label"]) for r in rows] == [(5, "bot")]
