@@ -552,7 +552,8 @@ def q_train_text_model(spark, sf_dir):
     """Naive Bayes on hashed TF-IDF of the threat-matched posts; held-out predictions."""
     lab = spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
     _, pred = text.train_text_model(lab)
-    return pred.select("status_id", "label", "prediction")
+    # the reference's debug projection (B16): features, prediction, label
+    return pred.select("status_id", vector_to_array("features").alias("features"), "prediction", "label")
 
 
 # ------------------------------------------------------------ streaming
