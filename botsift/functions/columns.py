@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "epoch_ms", "day_bucket", "size0", "flag", "follower_ratio",
     "screen_name_length", "label_to_double", "canonical_url", "ratio",
-    "twitter_time_string", "parse_twitter_time", "DAY_MS", "float32", "following_ratio",
+    "api_time_string", "parse_api_time", "DAY_MS", "float32", "following_ratio",
 ]
 
 DAY_MS = 86_400_000
@@ -84,12 +84,12 @@ def ratio(numerator: str | Column, denominator: str | Column) -> Column:
     return _c(numerator).cast("double") / _c(denominator).cast("double")
 
 
-def twitter_time_string(ts_ntz: str | Column) -> Column:
+def api_time_string(ts_ntz: str | Column) -> Column:
     """UTC wall-clock timestamp rendered like the public API's ``created_at``."""
     return F.date_format(_c(ts_ntz), "EEE MMM dd HH:mm:ss '+0000' yyyy")
 
 
-def parse_twitter_time(s: str | Column) -> Column:
+def parse_api_time(s: str | Column) -> Column:
     """Parse ``EEE MMM dd HH:mm:ss Z yyyy``.
 
     Spark 3+ cannot parse the day-of-week letter, so it is cut off first; the

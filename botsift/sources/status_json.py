@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botsift import schemas
-from botsift.functions.columns import parse_twitter_time, size0, twitter_time_string
+from botsift.functions.columns import parse_api_time, size0, api_time_string
 
 
 def to_status_json(statuses: DataFrame, users: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def to_status_json(statuses: DataFrame, users: DataFrame) -> DataFrame:
     j = statuses.join(u, statuses.user_id == u._uid, "left")
     obj = F.struct(
         F.col("status_id").alias("id"),
-        twitter_time_string("created_at").alias("created_at"),
+        api_time_string("created_at").alias("created_at"),
         "source", "text",
         F.struct(
             F.col("urls").alias("urls"),
@@ -55,7 +55,7 @@ def read_status_json(spark: SparkSession, path: str) -> DataFrame:
         F.col("id").alias("status_id"),
         F.col("user.id").alias("user_id"),
         F.col("user.screen_name").alias("screen_name"),
-        F.unix_millis(parse_twitter_time("created_at")).alias("created_ms"),
+        F.unix_millis(parse_api_time("created_at")).alias("created_ms"),
         "source",
         size0("entities.urls").alias("n_urls"),
         size0("entities.hashtags").alias("n_hashtags"),
