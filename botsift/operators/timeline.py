@@ -59,15 +59,17 @@ def timeline(statuses: DataFrame, users: DataFrame, n: int = TIMELINE_N) -> Data
 def interarrivals(timeline_df: DataFrame) -> DataFrame:
     """Gap in ms between each post and the next older one (newest first).
 
-    Posts without a timestamp are not part of the time series.  The last
-    (oldest) post of each account has a NULL gap.
+    Posts without a timestamp are not part of the time series.  Like the
+    reference's list, an account with n timed posts has n - 1 gaps: the
+    oldest post has no successor and yields no row.
     """
     t = timeline_df.filter(F.col("created_ms").isNotNull())
     w = W.partitionBy("user_id").orderBy(*_newest_first())
-    return t.select(
+    g = t.select(
         "user_id", "status_id", "created_ms",
         (F.col("created_ms") - F.lead("created_ms").over(w)).alias("gap_ms"),
     )
+    return g.filter(F.col("gap_ms").isNotNull())
 
 
 def statuses_by_user(timeline_df: DataFrame, fields: list[str | Column] | None = None) -> DataFrame:

@@ -180,9 +180,11 @@ WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_protected)""",
     "timeline_topk": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl""",
     "interarrivals": with_(USERS, STATUSES, OPEN_TIMELINE) + """
-SELECT user_id, status_id, created_ms,
-       created_ms - lead(created_ms) OVER (PARTITION BY user_id ORDER BY created_ms DESC, status_id DESC) AS gap_ms
-FROM tl WHERE created_ms IS NOT NULL""",
+SELECT * FROM (
+  SELECT user_id, status_id, created_ms,
+         created_ms - lead(created_ms) OVER (PARTITION BY user_id ORDER BY created_ms DESC, status_id DESC) AS gap_ms
+  FROM tl WHERE created_ms IS NOT NULL) g
+WHERE gap_ms IS NOT NULL""",
     "statuses_by_user": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT user_id, count(*) AS n_posts,
        string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS status_ids,
