@@ -4,16 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+MAX_BYTES_CONF = "spark.botsift.broadcastMaxBytes"
+
+
+def type_bytes(t: T.DataType) -> int:
+    """Estimated size of one value, after Spark's per-type default sizes:
+    fixed widths for numerics, 20 bytes for strings, a struct is the sum of
+    its fields, an array or map counts one element."""
+    if isinstance(t, T.StructType):
+        return sum(type_bytes(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return type_bytes(t.elementType)
+    if isinstance(t, T.MapType):
+        return type_bytes(t.keyType) + type_bytes(t.valueType)
+    if isinstance(t, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(t, T.ShortType):
+        return 2
+    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(t, T.DecimalType):
+        return 8 if t.precision <= 18 else 16
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return 20
+    return 8
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes per row from the schema plus a per-row overhead."""
+    return 16 + type_bytes(df.schema)
+
+
+def max_broadcast_rows(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> int:
+    conf = df.sparkSession.conf.get(MAX_BYTES_CONF, None)
+    max_bytes = int(conf) if conf else DEFAULT_MAX_BYTES
+    return max(0, min(max_rows, max_bytes // row_bytes(df)))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast only if ``df`` is within both a row bound and a byte
+    budget (``spark.botsift.broadcastMaxBytes``, default 64 MiB, divided by
+    the schema's estimated row size).
 
-    The check scans at most max_rows + 1 rows (a LIMIT, not a full count).
+    The check scans at most bound + 1 rows (a LIMIT, not a full count).
     Above the bound the plain DataFrame is returned and the planner (AQE,
     from runtime statistics) chooses a sort-merge or shuffled hash join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    bound = max_broadcast_rows(df, max_rows)
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df

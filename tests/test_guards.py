@@ -20,6 +20,20 @@ def test_bounded_broadcast_hints_only_below_bound(spark):
     assert not _hinted(bounded_broadcast(small, max_rows=9))
 
 
+def test_byte_budget_limits_rows(spark):
+    from botsift.operators.broadcast import MAX_BYTES_CONF, max_broadcast_rows, row_bytes
+
+    df = spark.range(100).selectExpr("id", "cast(id as string) as s")
+    assert row_bytes(df) == 16 + 8 + 20
+    spark.conf.set(MAX_BYTES_CONF, str(44 * 50))
+    try:
+        assert max_broadcast_rows(df) == 50
+        assert not _hinted(bounded_broadcast(df))
+    finally:
+        spark.conf.unset(MAX_BYTES_CONF)
+    assert _hinted(bounded_broadcast(df))
+
+
 def test_spread_only_when_narrow(spark):
     wide = spark.range(0, 1000, numPartitions=64)
     assert spread(wide, min_partitions=16) is wide
