@@ -46,3 +46,18 @@ def test_stream_scoring_equals_batch(spark):
     cols = ["id", "predictedLabel", "probability"]
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+
+
+def test_compaction_then_more_batches(spark, sf_small):
+    root = scratch_path(spark, "t-compact")
+    src, table, ckpt = f"{root}/in", f"{root}/labels", f"{root}/ck"
+    ev = fix.label_events(spark, sf_small)
+    sl.write_event_files(ev.filter(F.col("seq") % 3 == 0), f"{src}/a")
+    sl.start_label_upsert(spark, f"{src}/*", table, ckpt, max_files_per_trigger=1).awaitTermination()
+    upto = sl.compact(spark, table)
+    assert sl._latest_snapshot(spark, table) == upto
+    sl.write_event_files(ev.filter(F.col("seq") % 3 != 0), f"{src}/b")
+    sl.start_label_upsert(spark, f"{src}/*", table, ckpt, max_files_per_trigger=1).awaitTermination()
+    got = sl.read_labels(spark, table)
+    want = last_wins(ev, "user_id", "seq").select("user_id", "seq", "label")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
