@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botsift import schemas
+from botsift.sources import snapshots
 
 FOUND, MISSING, UNSEEN = "found", "missing", "unseen"
 
@@ -50,11 +51,21 @@ def write_version(rows: DataFrame, root: str, version: int) -> None:
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """Latest row per user_id."""
-    raw = spark.read.schema(schemas.PROFILE_STORE).parquet(root)
+    """Latest row per user_id: the latest snapshot (if any) plus the
+    versions written after it (older versions are pruned, not read)."""
+    raw = snapshots.read_since_snapshot(
+        spark, root, "version", lambda p: spark.read.schema(schemas.PROFILE_STORE).parquet(p))
     return latest(raw)
 
 
+def compact_store(spark: SparkSession, root: str) -> int:
+    """Snapshot the resolved store (``upto=<last version>``); the rows keep
+    their own version numbers."""
+    last = int(spark.read.schema(schemas.PROFILE_STORE).parquet(root).agg({"version": "max"}).collect()[0][0])
+    snapshots.write_snapshot(read_store(spark, root), root, last)
+    return last
+
+
 def latest(rows: DataFrame, key: str = "user_id", order: str = "version") -> DataFrame:
     cols = [c for c in rows.columns if c != key]
     best = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r"))

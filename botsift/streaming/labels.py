@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from botsift import schemas
 from botsift.operators.dedupe import last_wins
+from botsift.sources import snapshots
 
 
 def start_label_upsert(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str,
@@ -32,47 +33,25 @@ def start_label_upsert(spark: SparkSession, source_dir: str, table_dir: str, che
     return w.start()
 
 
-def _snapshot_root(table_dir: str) -> str:
-    return f"{table_dir.rstrip('/')}.snapshots"
-
-
-def _latest_snapshot(spark: SparkSession, table_dir: str) -> int | None:
-    """Highest ``upto`` of a completed snapshot (listing on the JVM side)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(_snapshot_root(table_dir))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("upto=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            done.append(int(name.split("=", 1)[1]))
-    return max(done) if done else None
-
-
 def read_labels(spark: SparkSession, table_dir: str) -> DataFrame:
     """Current label per account: the latest snapshot (if any) plus the
     batches written after it; older batch directories are pruned by their
     ``batch_id`` partition value and never read."""
-    upto = _latest_snapshot(spark, table_dir)
-    raw = spark.read.parquet(table_dir).select("seq", "user_id", "label", "batch_id")
-    if upto is not None:
-        snap = spark.read.schema(schemas.LABEL_EVENTS).parquet(f"{_snapshot_root(table_dir)}/upto={upto}")
-        raw = raw.filter(raw.batch_id > upto).drop("batch_id").unionByName(snap)
-    else:
-        raw = raw.drop("batch_id")
-    return last_wins(raw, "user_id", "seq").select("user_id", "seq", "label")
+    raw = snapshots.read_since_snapshot(
+        spark, table_dir, "batch_id",
+        lambda p: spark.read.parquet(p).select(*schemas.LABEL_EVENTS.fieldNames(),
+                                              *(["batch_id"] if p == table_dir else [])),
+    )
+    return last_wins(raw.select(*schemas.LABEL_EVENTS.fieldNames()), "user_id", "seq").select(
+        "user_id", "seq", "label")
 
 
 def compact(spark: SparkSession, table_dir: str) -> int:
-    """Write the resolved labels of every batch so far as snapshot
-    ``upto=<last batch id>``.  Nothing is deleted; a failed compaction
-    leaves no _SUCCESS marker and is ignored by readers."""
-    last = spark.read.parquet(table_dir).agg({"batch_id": "max"}).collect()[0][0]
-    current = read_labels(spark, table_dir)
-    current.write.mode("overwrite").parquet(f"{_snapshot_root(table_dir)}/upto={last}")
-    return int(last)
+    """Snapshot the resolved labels of every batch so far (``upto=<last
+    batch id>``)."""
+    last = int(spark.read.parquet(table_dir).agg({"batch_id": "max"}).collect()[0][0])
+    snapshots.write_snapshot(read_labels(spark, table_dir), table_dir, last)
+    return last
 
 
 def write_event_files(events: DataFrame, source_dir: str, files: int = 4) -> None:

@@ -104,3 +104,14 @@ def test_decode_drops_undecodable_profiles(spark):
           '"marshalledUserTimeline": []}',), ("{not json",)], "value string")
     rows = ps.decode_profiles(docs).collect()  # A5: an undecodable entry is dropped
     assert [(r["user_id"], r["label"]) for r in rows] == [(5, "bot")]
+
+
+def test_store_compaction(spark):
+    root = scratch_path(spark, "t-store-c")
+    schema = "user_id long, state string, label string, profile_json string"
+    ps.write_version(spark.createDataFrame([(1, "found", "human", "{}"), (2, "found", "bot", "{}")], schema), root, 1)
+    ps.write_version(spark.createDataFrame([(1, "found", "bot", "{}")], schema), root, 2)
+    assert ps.compact_store(spark, root) == 2
+    ps.write_version(spark.createDataFrame([(2, "missing", None, None)], schema), root, 3)
+    got = {r["user_id"]: (r["state"], r["label"], r["version"]) for r in ps.read_store(spark, root).collect()}
+    assert got == {1: ("found", "bot", 2), 2: ("missing", None, 3)}

@@ -55,7 +55,9 @@ def test_compaction_then_more_batches(spark, sf_small):
     sl.write_event_files(ev.filter(F.col("seq") % 3 == 0), f"{src}/a")
     sl.start_label_upsert(spark, f"{src}/*", table, ckpt, max_files_per_trigger=1).awaitTermination()
     upto = sl.compact(spark, table)
-    assert sl._latest_snapshot(spark, table) == upto
+    from botsift.sources.snapshots import latest_snapshot
+
+    assert latest_snapshot(spark, table) == upto
     sl.write_event_files(ev.filter(F.col("seq") % 3 != 0), f"{src}/b")
     sl.start_label_upsert(spark, f"{src}/*", table, ckpt, max_files_per_trigger=1).awaitTermination()
     got = sl.read_labels(spark, table)
