@@ -326,7 +326,9 @@ SELECT coalesce(st.user_id, cur.user_id) AS user_id, coalesce(cur.label, st.labe
             ELSE 'unchanged' END AS origin
 FROM st FULL OUTER JOIN cur ON cur.user_id = st.user_id""",
     "feature_reuse": with_(*_FEAT) + """
-SELECT *, CASE WHEN id % 3 = 0 THEN 'stored' ELSE 'computed' END AS origin FROM feat""",
+SELECT *, CASE WHEN id IN (SELECT p_partkey FROM part WHERE p_size < 20)
+               THEN 'stored' ELSE 'computed' END AS origin
+FROM feat""",
 })
 
 # ------------------------------------------------------------ spam and text
@@ -427,6 +429,7 @@ FROM slots s LEFT JOIN codes c ON c.slot = s.slot AND c.value = s.value""",
 })
 
 SQL["incremental_refresh"] = with_(*_FEAT) + """
-SELECT *, CASE WHEN id IN (SELECT user_id FROM events WHERE event_id % 10 = 9)
+SELECT *, CASE WHEN id IN (SELECT user_id FROM statuses
+                           WHERE created_ms >= (SELECT max(created_ms) FROM statuses) - 86400000)
                THEN 'refreshed' ELSE 'stored' END AS origin
 FROM feat"""

@@ -16,6 +16,7 @@ from botsift import schemas
 from botsift.operators import dedupe, feedback, resolve, spam, text
 from botsift.operators import features as fx
 from botsift.operators import model as ml
+from botsift.functions.columns import DAY_MS
 from botsift.operators import timeline as tl
 from botsift.plans.oracle import TIMELINE_N_CHECK
 from botsift.session import scratch_path
@@ -378,10 +379,12 @@ def q_label_upsert(spark, sf_dir):
 
 @register("feature_reuse")
 def q_feature_reuse(spark, sf_dir):
-    """Features of accounts with id % 3 == 0 were stored by an earlier run;
-    they are reused, the rest are computed, and both are unioned."""
+    """The first ingest stored the features of the accounts it resolved;
+    those rows are reused, every other account is computed, and both are
+    unioned."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
-    earlier = fx.user_features(users.filter(F.col("user_id") % 3 == 0), st, n=TIMELINE_N_CHECK)
+    first = fix.lookup_requests(spark, sf_dir).filter("first_pass").select("user_id")
+    earlier = fx.user_features(users.join(first, "user_id", "left_semi"), st, n=TIMELINE_N_CHECK)
     path = scratch_path(spark, "stored-features")
     earlier.write.mode("overwrite").parquet(path)
     stored = spark.read.schema(schemas.FEATURES).parquet(path)
@@ -390,10 +393,11 @@ def q_feature_reuse(spark, sf_dir):
 
 @register("incremental_refresh")
 def q_incremental_refresh(spark, sf_dir):
-    """Features were stored before the latest batch of posts (every tenth
-    event); accounts with new posts are recomputed, the rest reused."""
+    """Features were stored before the last day of posts arrived; accounts
+    with posts in that day are recomputed, the rest reused."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
-    is_new = F.col("status_id") % 10 == 9
+    cutoff = st.select(F.max("created_ms") - F.lit(DAY_MS)).scalar()
+    is_new = F.col("created_ms") >= cutoff
     earlier = fx.user_features(users, st.filter(~is_new), n=TIMELINE_N_CHECK)
     path = scratch_path(spark, "features-before")
     earlier.write.mode("overwrite").parquet(path)
