@@ -172,7 +172,7 @@ def q_read_labelled(spark, sf_dir):
 @register("labelled_quarantine")
 def q_labelled_quarantine(spark, sf_dir):
     _, bad = _labelled_file(spark, sf_dir)
-    return bad
+    return bad.select("reason", "line")
 
 
 @register("training_statuses")

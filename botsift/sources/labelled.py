@@ -76,8 +76,9 @@ def _has_metadata(df: DataFrame) -> bool:
 def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Read a labelled-account file.
 
-    Returns (accounts, quarantine).  ``accounts`` has label, user_id,
-    status_ids; ``quarantine`` has reason and the raw line.  In ``failfast``
+    Returns (accounts, quarantine).  ``accounts`` has line (file order),
+    label, user_id, status_ids; ``quarantine`` has reason, the raw line and
+    its location (file, split start, record within the split).  In ``failfast``
     mode the first malformed line raises when the data is computed.
     """
     if mode not in MODES:
@@ -89,7 +90,9 @@ def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> t
         msg = F.concat(F.lit("malformed labelled line ("), F.col("reason"), F.lit("): "), F.col("value"))
         good = parsed.filter(F.when(F.col("reason").isNotNull(), F.raise_error(msg)).otherwise(F.lit(True)))
     accounts = good.select("line", "label", "user_id", "status_ids")
-    quarantine = parsed.filter(F.col("reason").isNotNull()).select("reason", F.col("value").alias("line"))
+    # where the line is: (file, split start, record within the split)
+    quarantine = parsed.filter(F.col("reason").isNotNull()).select(
+        "reason", F.col("value").alias("line"), F.col("line").alias("location"))
     return accounts, quarantine
 
 

@@ -21,8 +21,10 @@ def test_labelled_golden_lines(spark):
     acc, bad = lb.read_labelled(spark, path)
     got = {r["user_id"]: (r["label"], r["status_ids"]) for r in acc.collect()}
     assert got == {12: ("bot", [3, 4]), 7: ("human", []), 5: ("human", [1, 2])}  # G-q, G-s, T10
-    reasons = sorted(r["reason"] for r in bad.collect())
-    assert reasons == ["blank", "empty_token", "non_numeric"]  # G-r
+    bad_rows = bad.collect()
+    assert sorted(r["reason"] for r in bad_rows) == ["blank", "empty_token", "non_numeric"]  # G-r
+    recs = {r["line"]: r["location"]["rec"] for r in bad_rows}  # one split: record = line index
+    assert recs == {"bot x 3": 2, "": 3, "bot 1  2": 4}
 
 
 def test_labelled_failfast(spark):
