@@ -496,6 +496,15 @@ def q_evaluate_forest(spark, sf_dir):
     return ml.evaluate(model, test)
 
 
+@register("forest_confusion")
+def q_forest_confusion(spark, sf_dir):
+    """Confusion counts of the trained forest on the held-out rows (the
+    reference's logged matrix; ``confusion_matrix`` checks the same operator
+    over a fixed prediction)."""
+    _, model, _, test = _trained(spark, sf_dir)
+    return ml.confusion_matrix(model.transform(test))
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """The reference grid (12 maps, 9 distinct) x 4 folds on the training split."""
