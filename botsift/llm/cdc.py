@@ -30,7 +30,7 @@ from botsift.session import materialize
 MEAN_CHUNK = 28    # a boundary every so many bytes, beyond the least size
 MIN_CHUNK = 12
 MAX_CHUNK = 256    # a chunk without boundary ends here
-MIN_SPAN = 100     # bytes of neighbouring repeated chunks that make a finding
+MIN_SPAN = 120     # bytes of neighbouring repeated chunks that make a finding
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _CHUNKS = "doc_id bigint, d bigint, digests array<bigint>, ends array<int>"

@@ -122,8 +122,8 @@ def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
                 declared.append(m[1].lower() if m else None)
                 n, x = model.score(visible_text(page))
                 grams.append(n)
-                best.append(int(np.argmax(x)) if n else None)
-                ll.append(x - x.max())
+                best.append(int(np.argmax(x)) if n and len(x) else None)
+                ll.append(x - x.max() if len(x) else x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(declared, pa.string()), pa.array(grams, pa.int64()),
                  pa.array(best, pa.int32()), pa.array(ll, pa.list_(pa.float64()))],

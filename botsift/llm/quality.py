@@ -50,10 +50,10 @@ MEASURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bi
 # Bands: characters per piece (from, to), characters per byte-level token (from, to), byte-fallback share
 # (at most), relative entropy (at least).  By language where one is known, else by script.
 BANDS = {
-    "en": (1.4, 8.0, 1.4, 9.0, 0.15, 0.45),
-    "de": (1.4, 8.0, 1.4, 9.0, 0.15, 0.45),
-    "fr": (1.4, 8.0, 1.4, 9.0, 0.15, 0.45),
-    "es": (1.4, 8.0, 1.4, 9.0, 0.15, 0.45),
+    "en": (1.4, 8.0, 1.7, 9.0, 0.15, 0.60),
+    "de": (1.4, 8.0, 1.7, 9.0, 0.15, 0.60),
+    "fr": (1.4, 8.0, 1.7, 9.0, 0.15, 0.60),
+    "es": (1.4, 8.0, 1.7, 9.0, 0.15, 0.60),
     "latin": (1.3, 9.0, 1.3, 10.0, 0.20, 0.40),
     "cyrillic": (1.2, 8.0, 1.0, 9.0, 0.20, 0.40),
     "greek": (0.8, 6.0, 0.6, 7.0, 0.30, 0.40),

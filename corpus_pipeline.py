@@ -8,6 +8,7 @@ next one's ``docs``.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from botsift.llm.decontam import drop_contaminated
 from botsift.llm.mixing import mixed_documents
@@ -39,9 +40,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document copy gets a shard (0..15) and a slot in it."""
-    s = assign_shards(docs)
-    return s.select("_row.*", *[c for c in ("size", "text_crc32", "shard", "slot") if c not in docs.columns])
+    """Every document copy gets a shard (0..15) and a slot in it; these
+    columns take the place of columns of their names."""
+    new = ["size", "text_crc32", "shard", "slot"]
+    return assign_shards(docs).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 STAGES = [
