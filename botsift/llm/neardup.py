@@ -16,8 +16,9 @@ Flow
   4. every class of a bucket is verified on full shingle sets against the
      bucket's smallest class (a star, so the pairs grow with the rows of a
      bucket, not with their square), and the links' components are found;
-  5. pairs of a bucket that are still in different components are then all
-     verified, so that no link between candidates is lost.
+  5. pairs of a bucket that are still in different components are verified
+     too, unless too few of a set's shingles occur in other components at
+     all, so that no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.components import connected_components
+from botsift.llm.links import bucket_links, shared_buckets
 from botsift.llm.words import WordHashes, mix, window_hashes
 from botsift.session import materialize
 
@@ -131,6 +133,19 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         run, "a bigint, b bigint")
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, s): the distinct shingles of every text, as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [np.unique(window_hashes(hashes.of(t.as_py().lower().split()), k)).view(np.int64)
+                    for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, m: int = HALF_KEYS,
                     rows: int = HALF_ROWS) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept.
@@ -150,32 +165,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     reps = full.join(classes, "digest").filter("doc_id = node").select("node", "n_shingles", "half")
 
-    keyed = table_keys(reps, m)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    buckets = materialize(keyed.join(shared.select("key", "lo"), "key"), "buckets")
+    buckets = shared_buckets(table_keys(reps, m))
     ids = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = materialize(
         docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
         .select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")), "candidates")
     sizes = reps.select("node", F.col("n_shingles").alias("n"))
-    near = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"  # sets of too different sizes cannot link
-
-    star = materialize(
-        buckets.filter("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        .distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").filter(near)
-        .select("a", "b").distinct(), "star")
-    links = materialize(verify(star, texts, shingle_words, percent), "star-links")
-
-    comp = connected_components(links)
-    placed = buckets.drop("lo").join(comp, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    open_ = materialize(placed.join(split, "key"), "open-buckets")
-    one = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    two = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = one.join(two, "key").filter("a < b AND ca <> cb").filter(near).select("a", "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rest, texts, shingle_words, percent))
+    links = bucket_links(
+        buckets, sizes, lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi"), shingle_words),
+        lambda pairs: verify(pairs, texts, shingle_words, percent), percent)
 
     # rows of one doc_id are one document: join the classes that they name
     same = full.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
