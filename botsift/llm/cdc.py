@@ -61,8 +61,8 @@ def boundaries(data: bytes, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK, most
 
 
 def chunk_table(docs: DataFrame, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """Per document row: doc_id, d (the id, or for rows without one a negative
-    name of the text), the digests and ends of its chunks."""
+    """Per document row: doc_id, d (the id, or for rows without one a name of
+    the text, above all ids), the digests and ends of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +71,7 @@ def chunk_table(docs: DataFrame, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK,
                 data = text.as_py() or b""
                 cut = boundaries(data, mean, least, most)
                 ids.append(doc_id)
-                names.append(doc_id if doc_id is not None else -(1 << 62) - (xxhash.xxh3_64_intdigest(data) >> 2))
+                names.append(doc_id if doc_id is not None else (1 << 62) + (xxhash.xxh3_64_intdigest(data) >> 2))
                 digests.append(np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *cut], cut)],
                                         dtype=np.uint64).view(np.int64))
                 ends.append(cut)
@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_SPAN, mean: int = MEAN_
         F.min("s").alias("span_start"), F.max("e").alias("span_end"), F.count(F.lit(1)).alias("n_chunks"),
         F.min("lo").alias("lo"), F.first("is_first").alias("is_first")).filter(
         F.col("span_end") - F.col("span_start") >= min_bytes)
-    named = lambda c: F.when(F.col(c) > -(1 << 62), F.col(c))
+    named = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
     return spans.select(named("d").alias("doc_id"), "span_start", "span_end", "n_chunks",
                         named("lo").alias("first_doc_id"), "is_first")
 
