@@ -1,6 +1,7 @@
 """Command line: the reference's three entry points as batch jobs.
 
   python -m botsift train  --labelled L --users U --statuses S [--label-events E] --model M
+  python -m botsift classify --model M --ids I --users U --statuses S [--stored F] --out O
   python -m botsift score  --model M --features F --out O
   python -m botsift label  --events-in DIR --table T --checkpoint C
 
@@ -36,11 +37,18 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--label-events")
     t.add_argument("--model", required=True)
     t.add_argument("--features-out")
-    t.add_argument("--timeline", type=int, default=250)
+    t.add_argument("--timeline", type=int, help="only the N newest posts of an account")
+    t.add_argument("--trees", type=int, nargs="+", help="forest sizes to search (one: no search)")
+    t.add_argument("--depth", type=int, nargs="+", help="tree depths to search (one: no search)")
+    t.add_argument("--folds", type=int, default=4)
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--features", required=True)
     s.add_argument("--out", required=True)
+    c = sub.add_parser("classify")
+    for arg in ("--model", "--ids", "--users", "--statuses", "--out"):
+        c.add_argument(arg, required=True)
+    c.add_argument("--stored")
     lab = sub.add_parser("label")
     lab.add_argument("--events-in", required=True)
     lab.add_argument("--table", required=True)
@@ -49,14 +57,27 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = _session()
     if a.cmd == "train":
+        from botsift.operators.model import best_params
         from botsift.plans.training import build_models
 
         ev = spark.read.parquet(a.label_events) if a.label_events else None
+        one = lambda x: None if not x else x[0] if len(x) == 1 else tuple(x)
+        forest = {k: v for k, v in (("num_trees", one(a.trees)), ("max_depth", one(a.depth))) if v}
         run = build_models(spark, a.labelled, spark.read.parquet(a.users), spark.read.parquet(a.statuses),
-                           label_events=ev, model_path=a.model, n=a.timeline)
+                           label_events=ev, model_path=a.model, n=a.timeline, folds=a.folds, **forest)
         if a.features_out:
             run.features.write.mode("overwrite").parquet(a.features_out)
+        trees, depth = best_params(run.model)
+        print(f"forest: {trees} trees, depth {depth}")
         run.evaluation.show()
+    elif a.cmd == "classify":
+        from pyspark.ml import PipelineModel
+
+        from botsift.operators.classify import classify
+
+        stored = spark.read.parquet(a.stored) if a.stored else None
+        classify(PipelineModel.load(a.model), spark.read.parquet(a.ids), spark.read.parquet(a.users),
+                 spark.read.parquet(a.statuses), stored).write.mode("overwrite").parquet(a.out)
     elif a.cmd == "score":
         from pyspark.ml import PipelineModel
 

@@ -94,8 +94,9 @@ def parse_api_time(s: str | Column) -> Column:
 
     Spark 3+ cannot parse the day-of-week letter, so it is cut off first; the
     zone offset in the text makes the result independent of the session zone.
+    Text that is not such a time gives NULL.
     """
-    return F.to_timestamp(F.substring(_c(s), 5, 64), "MMM dd HH:mm:ss Z yyyy")
+    return F.try_to_timestamp(F.substring(_c(s), 5, 64), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
 def float32(c: str | Column) -> Column:

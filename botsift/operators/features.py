@@ -2,14 +2,14 @@
 
 Two execution paths, same results (a test pins their equality):
 
-* bounded timeline (the default, latest N posts per account): one shuffle
-  by account after a partial per-account limit, then window counts on that
-  partitioning and a single aggregate (``timeline_features``);
-* all posts (``n=None``): algebraic aggregates (count, sum, min, max) with
-  map-side partial combine; the two arg-max style features (main device,
-  busiest time bucket) are two-level aggregates whose first level is keyed
-  by (account, device) / (account, bucket), so a hot account spreads over
-  many tasks.
+* all posts (the default, ``n=None``): algebraic aggregates (count, sum, min,
+  max) with map-side partial combine; the two arg-max style features (main
+  device, busiest time bucket) are two-level aggregates whose first level is
+  keyed by (account, device) / (account, bucket), so a hot account spreads
+  over many tasks;
+* the N newest posts per account (an option): one shuffle by account after a
+  partial per-account limit, then window counts on that partitioning and a
+  single aggregate (``timeline_features``).
 
 Sentinels follow the reference exactly (fixed values):
   no posts:            urlRatio, hashtagRatio, mentionRatio, tweetRate, meanIA = -1,
@@ -333,7 +333,7 @@ def to_reference_precision(features: DataFrame) -> DataFrame:
 def user_features(
     users: DataFrame,
     statuses: DataFrame,
-    n: int | None = tl.TIMELINE_N,
+    n: int | None = None,
     bucket: str = "exact",
     gate: bool = True,
     precision: str = "double",
@@ -341,12 +341,11 @@ def user_features(
 ) -> DataFrame:
     """The full feature row for every account in ``users``.
 
-    Plan shape with a timeline (n set): statuses -> latest-n (partial limit,
-    one shuffle by user_id, final limit) -> broadcast anti-join gate ->
-    fused window counts + one aggregate on that partitioning -> left join to
-    the accounts.  Without a timeline
-    (n=None) every post counts and the features come from partial
-    (map-side combined) two-level aggregates, which tolerate hot accounts.
+    Every post counts, and the features come from partial (map-side
+    combined) two-level aggregates, which tolerate hot accounts.  With ``n``
+    set only the n newest posts of an account count: latest-n (partial limit,
+    one shuffle by user_id, final limit) -> anti-join gate -> fused window
+    counts + one aggregate on that partitioning -> left join to the accounts.
     """
     # entity arrays are reduced to counts before any shuffle: the features
     # only need their sizes, and the exchange then carries 7 narrow columns

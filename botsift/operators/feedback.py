@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.operators.resolve import current_labels
+from botsift.sources import profile_store as ps
 
 
 def label_upsert(store: DataFrame, label_events: DataFrame) -> DataFrame:
@@ -26,3 +27,12 @@ def label_upsert(store: DataFrame, label_events: DataFrame) -> DataFrame:
         .when(F.col("_new").isNotNull(), F.lit("updated"))
         .otherwise(F.lit("unchanged")).alias("origin"),
     )
+
+
+def store_corrections(upserted: DataFrame, users: DataFrame) -> DataFrame:
+    """Store rows (see ``profile_store.write_version``) for the corrected ids
+    of ``label_upsert``: accounts are fetched with their profile and carry
+    the corrected label, ids that are no account become tombstones."""
+    changed = upserted.filter(F.col("origin") != "unchanged").select("user_id", F.col("label").alias("_new"))
+    rows = ps.resolve(changed, users).join(changed, "user_id")
+    return rows.select("user_id", "state", F.when(F.col("state") == ps.FOUND, F.col("_new")).alias("label"), "profile_json")

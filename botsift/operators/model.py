@@ -12,8 +12,6 @@ The label indexer is skipped at scoring time when rows carry no label.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -34,8 +32,6 @@ MAX_CATEGORIES = 4
 NUM_FOLDS = 4
 GRID_NUM_TREES = (10, 100, 1)
 GRID_MAX_DEPTH = (None, 5, 10, 1)  # None = the forest's default depth
-DEVICE_CATEGORIES = MIN_MAX_BINS - 1  # devices kept as their own category
-OTHER_DEVICE = "OTHER"
 
 
 def device_indexer(features: DataFrame, input_col: str = "mainDevice"):
@@ -43,30 +39,6 @@ def device_indexer(features: DataFrame, input_col: str = "mainDevice"):
                          handleInvalid="keep").fit(features)
 
 
-def device_pooling(train: DataFrame, keep: int = DEVICE_CATEGORIES):
-    """A pipeline stage adding ``pooledMainDevice``: the device, or 'OTHER'
-    outside the ``keep`` most frequent training values.  None when there
-    are at most ``keep`` devices.
-
-    Keeps the categorical feature within maxBins however many client
-    strings exist, and bounds what the device indexer collects to the
-    driver.  The vocabulary is computed by an aggregate plus a top-(keep+1)
-    (a bounded result) and is saved inside the pipeline, so serving applies
-    the same mapping.
-    """
-    from pyspark.ml.feature import SQLTransformer
-
-    top = (train.groupBy("mainDevice").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("mainDevice")).limit(keep + 1).collect())
-    if len(top) <= keep:
-        return None
-    vocab = [r["mainDevice"] for r in top[:keep] if r["mainDevice"] is not None]
-    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in vocab)
-    stmt = (f"SELECT *, CASE WHEN mainDevice IN ({quoted}) THEN mainDevice "
-            f"ELSE '{OTHER_DEVICE}' END AS pooledMainDevice FROM __THIS__")
-    return SQLTransformer(statement=stmt)
-
-
 def label_indexer(features: DataFrame):
     return StringIndexer(inputCol="label", outputCol="indexedLabel").fit(features)
 
@@ -79,7 +51,7 @@ def split_flag(id_col: str = "id", train_fraction: float = TRAIN_FRACTION):
     """Deterministic train/test assignment from an md5 of the id (does not
     depend on partitioning, unlike randomSplit)."""
     h = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return F.when(h % 10 < int(round(train_fraction * 10)), F.lit("train")).otherwise(F.lit("test"))
+    return F.when(h % 1_000_000 < round(train_fraction * 1_000_000), F.lit("train")).otherwise(F.lit("test"))
 
 
 def split(features: DataFrame, train_fraction: float = TRAIN_FRACTION) -> tuple[DataFrame, DataFrame]:
@@ -90,14 +62,14 @@ def split(features: DataFrame, train_fraction: float = TRAIN_FRACTION) -> tuple[
 def forest_pipeline(features: DataFrame, train: DataFrame, num_trees: int = 20,
                     max_depth: int = 5, seed: int = SEED) -> tuple[Pipeline, RandomForestClassifier]:
     """Build the pipeline.  Labels are indexed on all rows; the device index
-    is fit on the training rows, with room for unseen devices."""
-    pool = device_pooling(train)
-    dev = device_indexer(pool.transform(train), "pooledMainDevice") if pool else device_indexer(train)
+    is fit on the training rows, with room for unseen devices; maxBins grows
+    with the devices, so every device keeps a category of its own."""
+    dev = device_indexer(train)
     lab = label_indexer(features)
     max_bins = max(MIN_MAX_BINS, len(dev.labels) + 1)
     rf = RandomForestClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures",
                                 seed=seed, maxBins=max_bins, numTrees=num_trees, maxDepth=max_depth)
-    stages = ([pool] if pool else []) + [
+    stages = [
         dev, assembler(), lab,
         VectorIndexer(inputCol="features", outputCol="indexedFeatures",
                       maxCategories=MAX_CATEGORIES, handleInvalid="keep"),
@@ -125,28 +97,24 @@ def forest_of(model: PipelineModel):
     return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
 
 
-def score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Predicted label and its probability for any number of accounts.  The
-    label column is dropped first: scoring never needs (or trusts) it."""
+def score(model: PipelineModel, features: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Predicted label and its probability for any number of accounts (and
+    the columns ``keep``).  The label column is dropped first: scoring never
+    needs (or trusts) it."""
     rows = features.drop("label") if "label" in features.columns else features
     out = model.transform(rows)
     p = vector_to_array("probability")
     return out.select(
         "id", "predictedLabel",
         F.element_at(p, F.col("prediction").cast("int") + 1).alias("probability"),
-        "prediction",
+        "prediction", *keep,
     )
 
 
 def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
-    """Accuracy and test error on held-out rows, as a one-row table."""
-    pred = model.transform(test)
-    acc = MulticlassClassificationEvaluator(labelCol="indexedLabel", predictionCol="prediction",
-                                            metricName="accuracy").evaluate(pred)
-    n = pred.count()
-    return pred.sparkSession.createDataFrame(
-        [(float(acc), float(1.0 - acc), int(n))], "accuracy double, test_error double, n_test bigint"
-    )
+    """accuracy, test_error and n_test on held-out rows, as an aggregate."""
+    acc = accuracy_table(model.transform(test))
+    return acc.select("accuracy", (1 - F.col("accuracy")).alias("test_error"), F.col("n").alias("n_test"))
 
 
 def accuracy_table(pred: DataFrame, label_col: str = "label", pred_col: str = "predictedLabel") -> DataFrame:
@@ -172,10 +140,11 @@ def param_grid(rf: RandomForestClassifier, num_trees=GRID_NUM_TREES, max_depth=G
 
 
 def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID_MAX_DEPTH,
-                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED):
+                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED, materialized: bool = False):
     """k-fold grid search on the training split; returns (cv model, table of
     (numTrees, maxDepth, avg accuracy, is_best))."""
-    features = materialize(features, "features")
+    if not materialized:
+        features = materialize(features, "features")
     train, _ = split(features)
     pipe, rf = forest_pipeline(features, train, seed=seed)
     grid = param_grid(rf, num_trees, max_depth)
@@ -195,6 +164,23 @@ def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID
     return cvm, table
 
 
+def train_best(features: DataFrame, materialized: bool = False, **grid) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
+    """Grid search as the reference trains: cross-validation on the training
+    split, the best forest refitted on all of it.  Returns (model, train,
+    test, table of the grid)."""
+    if not materialized:
+        features = materialize(features, "features")
+    cvm, table = cross_validate(features, materialized=True, **grid)
+    train, test = split(features)
+    return cvm.bestModel, train, test, table
+
+
+def best_params(model: PipelineModel) -> tuple[int, int]:
+    """(trees, depth) that the model's forest was trained with."""
+    rf = forest_of(model)
+    return int(rf.getNumTrees), int(rf.getOrDefault("maxDepth"))
+
+
 def feature_importance(model: PipelineModel) -> DataFrame:
     imp = forest_of(model).featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
@@ -208,10 +194,3 @@ def tree_summary(model: PipelineModel) -> DataFrame:
     rows = [(i, int(t.numNodes), int(t.depth), float(w))
             for i, (t, w) in enumerate(zip(rf.trees, rf.treeWeights))]
     return spark.createDataFrame(rows, "tree int, num_nodes int, depth int, weight double")
-
-
-def grid_size(num_trees=GRID_NUM_TREES, max_depth=GRID_MAX_DEPTH, default_depth: int = 5) -> tuple[int, int]:
-    """(maps as written, distinct maps)."""
-    raw = list(itertools.product(num_trees, max_depth))
-    distinct = {(t, default_depth if d is None else d) for t, d in raw}
-    return len(raw), len(distinct)

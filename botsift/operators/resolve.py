@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 
 from botsift.operators import dedupe
 from botsift.operators import features as fx
-from botsift.operators.broadcast import bounded_broadcast
-from botsift.sources.labelled import LISTED_USED
+from botsift.sources.labelled import LISTED_USED, dedupe_accounts
 
 
 def resolve_users(accounts: DataFrame, users: DataFrame) -> DataFrame:
     """Labelled ids that resolve to an account (unresolved ids drop).
 
-    The labelled set is usually tiny next to the account table, so it is
-    broadcast when its checked size allows: the account table is then read
-    once, map-side, with no shuffle.
+    ``accounts`` has one row per id (see ``dedupe_accounts``).  The labelled
+    set is usually tiny next to the account table; the planner broadcasts it
+    by its runtime size, else both sides shuffle on the id.
     """
-    acc = bounded_broadcast(accounts.select("user_id", "label"))
-    return users.drop("label").join(acc, "user_id", "inner")
+    return users.drop("label").join(accounts.select("user_id", "label"), "user_id", "inner")
 
 
 def current_labels(label_events: DataFrame) -> DataFrame:
@@ -51,42 +49,47 @@ def training_statuses(accounts: DataFrame, statuses: DataFrame, n: int = LISTED_
     """The first n listed posts of each labelled account, resolved to posts.
 
     slice() before explode keeps at most n ids per account; posts that do not
-    exist drop in the inner join.
+    exist drop in the inner join.  As in the reference's maps, the last line
+    of an account counts, and a post that several accounts list belongs to
+    the one that lists it last.  ``accounts`` carries ``line``, the file order.
     """
-    listed = accounts.select(
-        "user_id", "label", F.posexplode(F.slice("status_ids", 1, n)).alias("position", "status_id")
+    listed = dedupe_accounts(accounts, keep_line=True).select(
+        "user_id", "label", "line", F.posexplode(F.slice("status_ids", 1, n)).alias("position", "status_id")
     ).filter(F.col("status_id").isNotNull())
+    listed = dedupe.last_wins(listed.withColumn("_put", F.struct("line", "position")), "status_id", "_put")
     s = statuses.select("status_id", F.col("user_id").alias("author_id"), "created_ms", "source")
-    # at most n ids per labelled account: broadcast (checked) so the post
-    # table is probed map-side instead of being shuffled by status_id
-    return s.join(bounded_broadcast(listed), "status_id", "inner")
+    return s.join(listed.drop("_put", "line"), "status_id", "inner")
 
 
-def feature_reuse(users: DataFrame, statuses: DataFrame, stored: DataFrame, n: int) -> DataFrame:
+def posts_of(statuses: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Only the posts of these accounts, before anything is done with them."""
+    return statuses.join(accounts.select("user_id"), "user_id", "left_semi")
+
+
+def feature_reuse(users: DataFrame, statuses: DataFrame, stored: DataFrame, n: int | None = None) -> DataFrame:
     """Features for every account: stored rows are reused, the rest computed.
 
     ``stored`` is a feature table (column ``id``).  Only accounts without a
-    stored row go through extraction (the anti-join restricts the accounts
-    and, through the timeline gate, their posts).
+    stored row, and only their posts, go through extraction.
     """
     want = users.select(F.col("user_id").alias("id"))
     reuse = stored.join(want, "id", "left_semi").withColumn("origin", F.lit("stored"))
     todo = users.join(stored.select(F.col("id").alias("user_id")), "user_id", "left_anti")
-    fresh = fx.user_features(todo, statuses, n=n).withColumn("origin", F.lit("computed"))
+    fresh = fx.user_features(todo, posts_of(statuses, todo), n=n).withColumn("origin", F.lit("computed"))
     return reuse.unionByName(fresh)
 
 
 def refresh_features(users: DataFrame, statuses: DataFrame, stored: DataFrame, new_posts: DataFrame,
-                     n: int) -> DataFrame:
+                     n: int | None = None) -> DataFrame:
     """Incremental feature update after new posts arrive.
 
-    The latest-N timeline does not merge, so accounts with new posts are
-    recomputed from all their posts (old and new); every other account keeps
-    its stored row.  ``statuses`` must already include ``new_posts``.
+    Feature rows do not merge, so accounts with new posts are recomputed from
+    all their posts (old and new); every other account keeps its stored row
+    and none of its posts is read further than the join.  ``statuses`` must already include ``new_posts``.
     Adds ``origin`` in {stored, refreshed}.
     """
     changed = new_posts.select("user_id").distinct()
     keep = stored.join(changed.select(F.col("user_id").alias("id")), "id", "left_anti")
     todo = users.join(changed, "user_id", "left_semi")
-    fresh = fx.user_features(todo, statuses, n=n)
+    fresh = fx.user_features(todo, posts_of(statuses, todo), n=n)
     return keep.withColumn("origin", F.lit("stored")).unionByName(fresh.withColumn("origin", F.lit("refreshed")))

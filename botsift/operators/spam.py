@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.functions.columns import canonical_url, label_to_double
-from botsift.operators.broadcast import bounded_broadcast
 
 # Threat filter of the reference request (fixed values).
 THREAT_TYPES = ("MALWARE", "SOCIAL_ENGINEERING")
@@ -39,7 +38,7 @@ def flagged(threats: DataFrame) -> DataFrame:
 
 def spam_urls(urls: DataFrame, threats: DataFrame) -> DataFrame:
     """Distinct URLs that appear on the threat list, with the threat type."""
-    t = bounded_broadcast(flagged(threats).select("url", "threat_type").distinct())
+    t = flagged(threats).select("url", "threat_type").distinct()
     return urls.select("url").distinct().join(t, "url", "inner")
 
 
@@ -48,22 +47,22 @@ def labelled_statuses(posts: DataFrame, threats: DataFrame) -> DataFrame:
     URL, the text of the last post carrying it; label 0.0 human, 1.0 bot.
 
     The per-(class, URL) winner is found on ids only (a partial max); texts
-    are attached at the end for the winners, which are few, through a
-    size-checked broadcast -- whole texts are never shuffled.
+    are attached at the end for the winners only, by a join on their ids
+    (with few winners AQE broadcasts them and no text is shuffled).
     """
     u = status_urls(posts, with_text=False)
     last = u.groupBy("label", "url").agg(F.max("status_id").alias("status_id"))
-    t = bounded_broadcast(flagged(threats).select("url").distinct())
+    t = flagged(threats).select("url").distinct()
     hit = last.join(t, "url", "left_semi")
     texts = posts.select("status_id", F.col("text").alias("statusText"))
-    out = texts.join(bounded_broadcast(hit), "status_id", "inner")
+    out = texts.join(hit, "status_id", "inner")
     return out.select(label_to_double("label").alias("label"), "url", "status_id", "statusText")
 
 
 def spam_counts(posts: DataFrame, threats: DataFrame) -> DataFrame:
     """Per class: posts, distinct URLs, distinct flagged URLs."""
     u = status_urls(posts, with_text=False)
-    t = bounded_broadcast(flagged(threats).select("url").distinct().withColumn("_hit", F.lit(True)))
+    t = flagged(threats).select("url").distinct().withColumn("_hit", F.lit(True))
     j = u.join(t, "url", "left")
     return j.groupBy("label").agg(
         F.countDistinct("status_id").alias("n_statuses"),

@@ -12,8 +12,6 @@ from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.operators.parallel import spread
-
 NUM_HASH_FEATURES = 20  # hash buckets of the reference text model (fixed value)
 
 
@@ -53,7 +51,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inside the row and exploded: no shuffle, and the output keeps the
     documents' partitioning.
     """
-    t = with_in_row_counts(tokenize(spread(docs.select(id_col, text_col)), text_col))
+    t = with_in_row_counts(tokenize(docs.select(id_col, text_col), text_col))
     # explode_outer: a plain explode makes the optimizer infer size(counts) > 0
     # and push that filter below the projections, re-inlining the sort into
     # every lambda (quadratic).  Empty arrays cannot occur (the tokenizer
@@ -68,7 +66,7 @@ def idf_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     number of documents (Spark ML's IDF formula, per token instead of per
     hash bucket)."""
     m = docs.select(F.count(F.lit(1))).scalar()
-    t = tokenize(spread(docs.select(id_col, text_col)), text_col)
+    t = tokenize(docs.select(id_col, text_col), text_col)
     pairs = t.select(id_col, F.explode(F.array_distinct("words")).alias("token"))
     df_ = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df_.select(

@@ -1,10 +1,9 @@
 """Per-account timelines: the protected-account gate, latest-N, gaps.
 
-The timeline of an account is its most recent N posts (the reference reads
-one page of 250).  Everything that needs per-account *order* runs on that
-bounded timeline, so no single task ever holds more than N rows of one
-account, however active the account is: Spark plans the ``row_number() <= N``
-filter as a partial WindowGroupLimit before the shuffle and a final one after.
+By default the timeline of an account is all its posts; N newest posts are
+an option (``latest_n``).  What needs per-account order over all posts is
+split by account *and* time range, so an account with a third of all posts
+is spread over as many tasks as it has ranges.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from botsift.operators.broadcast import bounded_broadcast
-
-TIMELINE_N = 250  # posts per account timeline (fixed value of the reference)
-GATE_BROADCAST_MAX_ROWS = 5_000_000  # protected ids broadcast up to this many
+from botsift.functions.columns import DAY_MS
 
+# Spark plans a partial limit before the shuffle (WindowGroupLimit) up to
+# this N; beyond it a hot account would be sorted whole in one task.
+MAX_N = 1000
+RANGE_MS = DAY_MS // 24  # posts of one account and hour are ordered by one task
 
 
 def _newest_first() -> list[Column]:
@@ -27,18 +27,18 @@ def _newest_first() -> list[Column]:
 def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
     """Drop the posts of protected accounts (their timelines are not visible).
 
-    An anti-join against the protected ids.  That set is normally a small
-    share of all accounts, so it is broadcast -- only after its size is
-    checked -- and the posts are filtered map-side without a shuffle.  Above
-    the bound the planner falls back to a shuffled anti-join.
+    An anti-join against the protected ids, a small share of all accounts;
+    the planner (AQE, from the ids' runtime size) broadcasts them if it can.
     """
     # a plain boolean filter (NULL does not pass) so the predicate can reach the scan
     protected = users.filter(F.col("is_protected")).select("user_id")
-    return statuses.join(bounded_broadcast(protected, GATE_BROADCAST_MAX_ROWS), "user_id", "left_anti")
+    return statuses.join(protected, "user_id", "left_anti")
 
 
-def latest_n(statuses: DataFrame, n: int = TIMELINE_N, rank_col: str | None = "rank") -> DataFrame:
+def latest_n(statuses: DataFrame, n: int, rank_col: str | None = "rank") -> DataFrame:
     """The n newest posts per account (ties on time broken by larger id)."""
+    if not 1 <= n <= MAX_N:
+        raise ValueError(f"n must be 1..{MAX_N} (None, where allowed, takes all posts)")
     w = W.partitionBy("user_id").orderBy(*_newest_first())
     ranked = statuses.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
     if rank_col:
@@ -46,40 +46,47 @@ def latest_n(statuses: DataFrame, n: int = TIMELINE_N, rank_col: str | None = "r
     return ranked.drop("_rank")
 
 
-def timeline(statuses: DataFrame, users: DataFrame, n: int = TIMELINE_N) -> DataFrame:
-    """Latest-n, then the gate.
+def timeline(statuses: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
+    """The visible posts: all of them, or the n newest per account.
 
     The gate is a per-account filter, so it commutes with the per-account
     limit; limiting first means the partial limit bounds every account
     before any shuffle.
     """
-    return gate_protected(latest_n(statuses, n), users)
+    return gate_protected(statuses if n is None else latest_n(statuses, n), users)
 
 
-def interarrivals(timeline_df: DataFrame) -> DataFrame:
+def interarrivals(timeline_df: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
     """Gap in ms between each post and the next older one (newest first).
 
     Posts without a timestamp are not part of the time series.  Like the
     reference's list, an account with n timed posts has n - 1 gaps: the
     oldest post has no successor and yields no row.
-    """
-    t = timeline_df.filter(F.col("created_ms").isNotNull())
-    w = W.partitionBy("user_id").orderBy(*_newest_first())
-    g = t.select(
-        "user_id", "status_id", "created_ms",
-        (F.col("created_ms") - F.lead("created_ms").over(w)).alias("gap_ms"),
-    )
-    return g.filter(F.col("gap_ms").isNotNull())
-
-
-def statuses_by_user(timeline_df: DataFrame, fields: list[str | Column] | None = None) -> DataFrame:
-    """Nested view: one row per account with its timeline posts, newest first.
 
-    Only used on a bounded timeline (at most N posts per account).
+    Posts are ordered within (account, time range); the oldest post of a
+    range takes its successor from the table of the ranges' newest times,
+    which has one row per account and range with posts.
     """
+    t = timeline_df.filter(F.col("created_ms").isNotNull()).select(
+        "user_id", "status_id", "created_ms", F.floor(F.col("created_ms") / range_ms).alias("_range"))
+    newest = t.groupBy("user_id", "_range").agg(F.max("created_ms").alias("_newest"))
+    before = newest.select("user_id", "_range", F.lag("_newest").over(
+        W.partitionBy("user_id").orderBy("_range")).alias("_before"))
+    w = W.partitionBy("user_id", "_range").orderBy(*_newest_first())
+    g = t.withColumn("_next", F.lead("created_ms").over(w)).join(before, ["user_id", "_range"])
+    g = g.withColumn("gap_ms", F.col("created_ms") - F.coalesce("_next", "_before"))
+    return g.select("user_id", "status_id", "created_ms", "gap_ms").filter(F.col("gap_ms").isNotNull())
+
+
+def statuses_by_user(timeline_df: DataFrame, fields: list[str | Column] | None = None,
+                     chunk_ms: int = DAY_MS) -> DataFrame:
+    """Nested view: (user_id, chunk, statuses), the posts of one account and
+    time chunk (a day by default; NULL for posts without a time), newest
+    first.  All posts are there, and no row holds more than a chunk's."""
     fields = fields or ["status_id", "source"]
     st = F.struct(F.col("created_ms").alias("created_ms"), F.col("status_id").alias("sid"),
                   *[F.col(f) if isinstance(f, str) else f for f in fields])
-    return timeline_df.groupBy("user_id").agg(
+    chunk = F.floor(F.col("created_ms") / chunk_ms).alias("chunk")
+    return timeline_df.groupBy("user_id", chunk).agg(
         F.reverse(F.sort_array(F.collect_list(st))).alias("statuses")
     )

@@ -12,8 +12,6 @@ integer sums; decimal literals are cast to DOUBLE.
 
 from __future__ import annotations
 
-TIMELINE_N_CHECK = 50  # timeline length used by the registered timeline keys
-
 USERS = """
 users AS (
   SELECT c.c_custkey AS user_id,
@@ -40,17 +38,15 @@ statuses AS (
   FROM events
 )"""
 
-OPEN_TIMELINE = f"""
+OPEN_TIMELINE = """
 open_posts AS (
   SELECT s.* FROM statuses s
   WHERE s.user_id NOT IN (SELECT user_id FROM users WHERE is_protected)
 ),
 tl AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id
-                                 ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS rk
-    FROM open_posts) r
-  WHERE rk <= {TIMELINE_N_CHECK}
+  SELECT *, row_number() OVER (PARTITION BY user_id
+                               ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS rk
+  FROM open_posts
 )"""
 
 
@@ -178,34 +174,50 @@ FROM statuses GROUP BY user_id""",
 SELECT status_id, user_id FROM statuses
 WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_protected)""",
     "timeline_topk": with_(USERS, STATUSES, OPEN_TIMELINE) + """
-SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl""",
+SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl WHERE rk <= 50""",
     "interarrivals": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT * FROM (
   SELECT user_id, status_id, created_ms,
          created_ms - lead(created_ms) OVER (PARTITION BY user_id ORDER BY created_ms DESC, status_id DESC) AS gap_ms
   FROM tl WHERE created_ms IS NOT NULL) g
 WHERE gap_ms IS NOT NULL""",
-    "statuses_by_user": with_(USERS, STATUSES, OPEN_TIMELINE) + """
-SELECT user_id, count(*) AS n_posts,
+    "statuses_by_user": with_(USERS, STATUSES) + """
+SELECT user_id, CAST(floor(created_ms / 86400000) AS BIGINT) AS chunk, count(*) AS n_posts,
        string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS status_ids,
        max(created_ms) AS newest_ms
-FROM tl GROUP BY user_id""",
+FROM statuses GROUP BY ALL""",
     "feature_preview": USER_FEATURES + " ORDER BY id LIMIT 20",
 })
 
 # ------------------------------------------------------------ sources (A)
 LINES = """
+entries AS (  -- the listed posts; accounts of class 2 list post 0 before their own
+  SELECT user_id, event_id FROM events
+  UNION SELECT DISTINCT user_id, 0 FROM events WHERE user_id % 10 = 2),
 listed AS (
   SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS ids, count(*) AS n
-  FROM (SELECT user_id, event_id,
-               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) x
-  WHERE rn <= 20 GROUP BY user_id
+  FROM entries GROUP BY user_id
 ),
-lines AS (
+final_lines AS (
   SELECT l.user_id, u.label, l.ids, l.n, l.user_id % 10 AS m
   FROM listed l JOIN users u ON u.user_id = l.user_id
+),
+lines AS (  -- accounts of class 1 have an earlier line with the other label
+  SELECT * FROM final_lines
+  UNION ALL SELECT user_id, CASE label WHEN 'bot' THEN 'human' ELSE 'bot' END, ids, n, m FROM final_lines WHERE m = 1
 )"""
 
+# The first ten listed posts of an account's last line; a post belongs to the last account that lists it.
+TRAINING = """
+used AS (
+  SELECT l.user_id, l.label, e.event_id AS status_id,
+         row_number() OVER (PARTITION BY l.user_id ORDER BY e.event_id) - 1 AS position
+  FROM final_lines l JOIN entries e ON e.user_id = l.user_id WHERE l.m NOT IN (3, 7, 9)),
+training AS (
+  SELECT status_id, user_id, label, CAST(position AS INTEGER) AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY status_id ORDER BY user_id DESC) AS rn FROM used WHERE position < 10) x
+  WHERE rn = 1)"""
+
 REQ = """
 req AS (SELECT p_partkey AS user_id, p_size < 20 AS first_pass FROM part),
 reqa AS (SELECT r.user_id, r.first_pass, u.user_id IS NOT NULL AS acct, u.label
@@ -234,19 +246,15 @@ SELECT CASE m WHEN 3 THEN 'non_numeric' WHEN 7 THEN 'blank' ELSE 'empty_token' E
               WHEN 7 THEN ''
               ELSE label || '  ' || CAST(user_id AS VARCHAR) || ' ' || ids END AS line
 FROM lines WHERE m IN (3, 7, 9)""",
-    "training_statuses": with_(USERS, STATUSES) + """,
-firsts AS (SELECT user_id, event_id,
-                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
-SELECT f.event_id AS status_id, f.user_id, u.label, CAST(f.rn - 1 AS INTEGER) AS position,
-       s.user_id AS author_id, s.created_ms, s.source
-FROM firsts f JOIN users u ON u.user_id = f.user_id JOIN statuses s ON s.status_id = f.event_id
-WHERE f.rn <= 10 AND f.user_id % 10 NOT IN (3, 7, 9)""",
+    "training_statuses": with_(USERS, STATUSES, LINES, TRAINING) + """
+SELECT t.status_id, t.user_id, t.label, t.position, s.user_id AS author_id, s.created_ms, s.source
+FROM training t JOIN statuses s ON s.status_id = t.status_id""",
     "resolve_users": with_(USERS, LINES) + """
 SELECT l.user_id, l.label, u.screen_name, u.followers_count, u.friends_count
-FROM lines l JOIN users u ON u.user_id = l.user_id WHERE l.m NOT IN (3, 7, 9)""",
+FROM final_lines l JOIN users u ON u.user_id = l.user_id WHERE l.m NOT IN (3, 7, 9)""",
     "read_status_json": with_(USERS, STATUSES) + """
 SELECT s.status_id, s.user_id, u.screen_name,
-       (epoch_us(e.ts) // 1000000) * 1000 AS created_ms, s.source,
+       CASE WHEN s.status_id % 19 <> 0 THEN (epoch_us(e.ts) // 1000000) * 1000 END AS created_ms, s.source,
        CAST(s.n_urls AS BIGINT) AS n_urls, CAST(s.n_hashtags AS BIGINT) AS n_hashtags,
        CAST(s.n_mentions AS BIGINT) AS n_mentions
 FROM statuses s JOIN events e ON e.event_id = s.status_id JOIN users u ON u.user_id = s.user_id
@@ -278,26 +286,30 @@ fl AS (
          count(*) FILTER (WHERE m NOT IN (3, 7, 9)) AS accounts,
          count(*) FILTER (WHERE m IN (3, 7, 9)) AS quarantined
   FROM lines),
-firsts AS (
-  SELECT user_id, event_id FROM (
-    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
-    FROM events) x
-  WHERE rn <= 10 AND user_id % 10 NOT IN (3, 7, 9)),
+named AS (
+  SELECT l.user_id, e.event_id, row_number() OVER (PARTITION BY l.user_id, l.label ORDER BY e.event_id) AS rn
+  FROM lines l JOIN entries e ON e.user_id = l.user_id WHERE l.m NOT IN (3, 7, 9)),
 st AS (
-  SELECT count(*) AS listed, count(e.event_id) AS resolved, count(*) - count(e.event_id) AS dropped
-  FROM firsts f LEFT JOIN events e ON e.event_id = f.event_id)
+  SELECT count(*) AS listed, count(*) FILTER (WHERE rn <= 10) AS used,
+         count(*) FILTER (WHERE rn <= 10 AND u.user_id IS NOT NULL) AS resolved,
+         count(*) FILTER (WHERE rn <= 10 AND p.event_id IS NULL) AS no_post,
+         count(*) FILTER (WHERE rn <= 10 AND p.event_id IS NOT NULL AND u.user_id IS NULL) AS no_owner
+  FROM named n LEFT JOIN events p ON p.event_id = n.event_id LEFT JOIN users u ON u.user_id = p.user_id)
 SELECT 'lookup' AS stage, metric, n FROM (UNPIVOT lk ON COLUMNS(*) INTO NAME metric VALUE n)
 UNION ALL
 SELECT 'labelled_file', metric, n FROM (UNPIVOT fl ON COLUMNS(*) INTO NAME metric VALUE n)
 UNION ALL
 SELECT 'statuses', metric, n FROM (UNPIVOT st ON COLUMNS(*) INTO NAME metric VALUE n)""",
-    "profile_json_roundtrip": with_(*_FEAT) + """,
-tls AS (SELECT user_id, count(*) AS n,
-               string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS ids
-        FROM tl GROUP BY user_id)
-SELECT u.user_id, u.label, u.screen_name, u.followers_count, f.meanIA, f.mainDevice,
-       coalesce(t.n, 0) AS n_timeline, coalesce(t.ids, '') AS timeline_ids
-FROM users u LEFT JOIN feat f ON f.id = u.user_id LEFT JOIN tls t ON t.user_id = u.user_id""",
+    "profile_json_roundtrip": with_(*_FEAT, LINES, TRAINING) + """,
+tr AS (SELECT t.user_id, string_agg(CAST(t.status_id AS VARCHAR), ' ' ORDER BY s.created_ms, s.status_id) AS ids
+       FROM training t JOIN statuses s ON s.status_id = t.status_id GROUP BY t.user_id)
+SELECT u.user_id, CAST(NULL AS BIGINT) AS chunk, u.label, u.screen_name, u.followers_count, f.meanIA, f.mainDevice,
+       coalesce(tr.ids, '') AS training_ids, '' AS timeline_ids, true AS raw_same
+FROM users u LEFT JOIN feat f ON f.id = u.user_id LEFT JOIN tr ON tr.user_id = u.user_id
+UNION ALL
+SELECT user_id, CAST(coalesce(floor(created_ms / 86400000), -1) AS BIGINT), NULL, NULL, NULL, NULL, NULL, '',
+       string_agg(CAST(status_id AS VARCHAR), ' ' ORDER BY created_ms DESC NULLS LAST, status_id DESC), true
+FROM tl GROUP BY 1, 2""",
     "feature_table": with_(*_FEAT, DEV_INDEX) + """
 SELECT f.*, d.indexedMainDevice FROM feat f JOIN dev d ON d.mainDevice = f.mainDevice""",
     "index_device": with_(*_FEAT, DEV_INDEX) + "SELECT mainDevice, indexedMainDevice FROM dev",
@@ -306,7 +318,7 @@ SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUB
 FROM users GROUP BY label""",
     "train_test_split": with_(USERS) + """
 SELECT user_id AS id,
-       CASE WHEN CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 6
+       CASE WHEN CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000000 < 600000
             THEN 'train' ELSE 'test' END AS split
 FROM users""",
     "confusion_matrix": with_(*_FEAT) + """
@@ -392,6 +404,7 @@ FROM tok GROUP BY token""",
 SQL["stream_label_upsert"] = SQL["dedupe_last_wins"]
 
 # ------------------------------------------------------------ model inputs
+# The model inputs in vector order.
 MODEL_SLOTS = [
     "isProtected", "isVerified", "meanIA", "tweetRate", "maxTweetRate",
     "screenNameLength", "followerRatio", "urlRatio", "hashtagRatio",
@@ -433,3 +446,57 @@ SELECT *, CASE WHEN id IN (SELECT user_id FROM statuses
                            WHERE created_ms >= (SELECT max(created_ms) FROM statuses) - 86400000)
                THEN 'refreshed' ELSE 'stored' END AS origin
 FROM feat"""
+
+# ------------------------------------------------------------ models
+# What a model must satisfy whatever it has learnt: who is scored, which rows
+# are held out, totals, and relations between its outputs (as booleans).
+SPLIT = """
+split AS (
+  SELECT user_id AS id, label,
+         CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000000 >= 600000 AS test
+  FROM users)"""
+
+_SCORED = with_(USERS) + "SELECT user_id AS id, true AS labelled, true AS likelier FROM users"
+
+SQL.update({
+    "train_forest": "SELECT CAST(unnest(range(20)) AS INTEGER) AS tree, CAST(1 AS DOUBLE) AS weight, true AS sound",
+    "score_users": _SCORED,
+    "stream_score": _SCORED,
+    "evaluate_forest": with_(USERS, SPLIT) + """
+SELECT count(*) AS n_test, true AS matches_matrix, true AS error_is_rest FROM split WHERE test""",
+    "forest_confusion": with_(USERS, SPLIT) + """
+SELECT label, count(*) AS n, true AS labelled FROM split WHERE test GROUP BY label""",
+    "cross_validate": """
+SELECT t AS "numTrees", d AS "maxDepth", true AS is_share, CAST(1 AS BIGINT) AS n_best, true AS best_is_top
+FROM (SELECT unnest([10, 100, 1]) AS t) CROSS JOIN (SELECT unnest([5, 10, 1]) AS d)""",
+    "best_model": with_(USERS) + "SELECT true AS is_best_row, count(*) AS n_scored FROM users",
+    "feature_importance": "SELECT unnest([" + ", ".join(f"'{x}'" for x in MODEL_SLOTS)
+    + "]) AS feature, true AS is_share, true AS sums_to_one",
+    "prediction_table": with_(USERS, SPLIT) + "SELECT id, label, true AS labelled FROM split WHERE test",
+    "misclassified": with_(USERS, SPLIT) + """
+SELECT label, count(*) AS n, count(*) AS n_ids FROM split WHERE test GROUP BY label""",
+    "classify_users": with_(*_FEAT, REQ) + """
+SELECT r.user_id AS id, CASE WHEN NOT acct THEN 'missing' WHEN first_pass THEN 'stored' ELSE 'computed' END AS state,
+       CASE WHEN acct THEN true END AS labelled, f.meanIA, f.tweetRate, f.maxTweetRate, f.followerRatio, f.urlRatio,
+       f.mainDevice, f.mainDeviceCount
+FROM reqa r LEFT JOIN feat f ON f.id = r.user_id""",
+    "correct_profiles": with_(USERS, REQ, EVENTS) + """,
+v2 AS (SELECT c.user_id, CASE WHEN u.user_id IS NOT NULL THEN 'found' ELSE 'missing' END AS state,
+              CASE WHEN u.user_id IS NOT NULL THEN c.label END AS label, CAST(2 AS BIGINT) AS version
+       FROM cur c LEFT JOIN users u ON u.user_id = c.user_id)
+SELECT * FROM v2
+UNION ALL
+SELECT user_id, CASE WHEN acct THEN 'found' ELSE 'missing' END, label, CAST(1 AS BIGINT)
+FROM reqa WHERE first_pass AND user_id NOT IN (SELECT user_id FROM v2)""",
+    "hashing_tf": with_(TEXT) + f""",
+w AS (SELECT status_id, label, len(string_split_regex(regexp_replace(lower(text), '{WS}+$', ''), '{WS}')) AS n FROM ts)
+SELECT status_id, label, CAST(n AS BIGINT) AS n_terms, CAST(20 AS INTEGER) AS n_buckets, CAST(n AS DOUBLE) AS tf_total
+FROM w""",
+    "train_text_model": "SELECT label, count(*) AS n, true AS sound FROM (" + SQL["labelled_statuses"] + ") x GROUP BY label",
+    "evaluate_text_model": "SELECT true AS matches_matrix, true AS covers_all",
+    "retrain_with_corrections": with_(USERS, LINES, EVENTS) + """
+SELECT l.user_id AS id, coalesce(c.label, l.label) AS label,
+       CASE WHEN c.label IS NOT NULL THEN 'override' ELSE 'file' END AS label_source, true AS labelled
+FROM final_lines l JOIN users u ON u.user_id = l.user_id LEFT JOIN cur c ON c.user_id = l.user_id
+WHERE l.m NOT IN (3, 7, 9)""",
+})

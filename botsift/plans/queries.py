@@ -18,7 +18,6 @@ from botsift.operators import features as fx
 from botsift.operators import model as ml
 from botsift.functions.columns import DAY_MS
 from botsift.operators import timeline as tl
-from botsift.plans.oracle import TIMELINE_N_CHECK
 from botsift.session import scratch_path
 from botsift.sources import fixtures as fix
 from botsift.sources import labelled as lb
@@ -41,10 +40,8 @@ def register(name: str):
 
 @register("user_features")
 def q_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: the full feature row of every account (gate, latest-N timeline)."""
-    return fx.user_features(
-        fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK
-    )
+    """Flagship: the full feature row of every account, from all its visible posts."""
+    return fx.user_features(fix.users(spark, sf_dir), fix.statuses(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- components
@@ -109,23 +106,23 @@ def q_timeline_gate(spark, sf_dir):
 
 @register("timeline_topk")
 def q_timeline_topk(spark, sf_dir):
+    """The 50 newest visible posts of every account."""
     u, s = _users_statuses(spark, sf_dir)
-    return tl.timeline(s, u, TIMELINE_N_CHECK).select("user_id", "status_id", "rank")
+    return tl.timeline(s, u, 50).select("user_id", "status_id", "rank")
 
 
 @register("interarrivals")
 def q_interarrivals(spark, sf_dir):
     u, s = _users_statuses(spark, sf_dir)
-    return tl.interarrivals(tl.timeline(s, u, TIMELINE_N_CHECK))
+    return tl.interarrivals(tl.timeline(s, u))
 
 
 @register("statuses_by_user")
 def q_statuses_by_user(spark, sf_dir):
-    """Nested per-account timeline, flattened to text for comparison."""
-    u, s = _users_statuses(spark, sf_dir)
-    g = tl.statuses_by_user(tl.timeline(s, u, TIMELINE_N_CHECK))
+    """All posts nested by account and day, flattened to text for comparison."""
+    g = tl.statuses_by_user(fix.statuses(spark, sf_dir))
     return g.select(
-        "user_id",
+        "user_id", "chunk",
         F.size("statuses").cast("bigint").alias("n_posts"),
         F.array_join(F.transform("statuses", lambda x: x["sid"].cast("string")), " ").alias("status_ids"),
         F.col("statuses")[0]["created_ms"].alias("newest_ms"),
@@ -135,15 +132,15 @@ def q_statuses_by_user(spark, sf_dir):
 @register("feature_preview")
 def q_feature_preview(spark, sf_dir):
     """The first 20 feature rows by id (the reference's table preview)."""
-    return q_user_features(spark, sf_dir).orderBy("id").limit(20)
+    u, s = _users_statuses(spark, sf_dir)
+    first = u.orderBy("user_id").limit(20)  # the accounts first, so only their posts are read on
+    return fx.user_features(first, resolve.posts_of(s, first))
 
 
 @register("user_features_daily")
 def q_user_features_daily(spark, sf_dir):
     """Feature rows with the documented per-day tweet rate."""
-    return fx.user_features(
-        fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK, bucket="day"
-    )
+    return fx.user_features(fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), bucket="day")
 
 
 # ------------------------------------------------------------ sources (A)
@@ -184,21 +181,22 @@ def q_training_statuses(spark, sf_dir):
 @register("resolve_users")
 def q_resolve_users(spark, sf_dir):
     acc, _ = _labelled_file(spark, sf_dir)
-    return resolve.resolve_users(acc, fix.users(spark, sf_dir)).select(
+    return resolve.resolve_users(lb.dedupe_accounts(acc), fix.users(spark, sf_dir)).select(
         "user_id", "label", "screen_name", "followers_count", "friends_count"
     )
 
 
 @register("read_status_json")
 def q_read_status_json(spark, sf_dir):
-    """Posts rendered to JSON lines (some without an author, some corrupt),
-    then read back with the explicit schema."""
+    """Posts rendered to JSON lines (some without an author, some corrupt,
+    some with a time that is none), then read back with the explicit schema."""
     s = fix.statuses(spark, sf_dir).withColumn(
         "user_id", F.when(F.col("status_id") % 13 != 0, F.col("user_id"))
     )
     lines = sj.to_status_json(s, fix.users(spark, sf_dir)).withColumn("_id", F.get_json_object("value", "$.id"))
     lines = lines.select(
         F.when(F.col("_id").cast("bigint") % 17 == 0, F.substring("value", 1, 25))
+        .when(F.col("_id").cast("bigint") % 19 == 0, F.regexp_replace("value", '"created_at":"[^"]*"', '"created_at":"soon"'))
         .otherwise(F.col("value")).alias("value")
     )
     path = scratch_path(spark, "status-json")
@@ -272,12 +270,18 @@ def q_ingest_coverage(spark, sf_dir):
         F.count(F.when(F.col("reason").isNotNull(), 1)).alias("quarantined"),
     )
     acc = parsed.filter(F.col("reason").isNull())
-    listed = acc.select(F.explode(F.slice("status_ids", 1, lb.LISTED_USED)).alias("status_id"))
-    known = fix.statuses(spark, sf_dir).select("status_id", F.lit(True).alias("_found"))
-    posts = listed.join(known, "status_id", "left").agg(
+    listed = acc.select(
+        F.posexplode("status_ids").alias("position", "status_id")
+    ).withColumn("_used", F.col("position") < lb.LISTED_USED)
+    known = fix.statuses(spark, sf_dir).select("status_id", F.col("user_id").alias("_owner"), F.lit(True).alias("_post"))
+    used = listed.join(known, "status_id", "left").join(
+        ids.select(F.col("user_id").alias("_owner"), F.col("_acct").alias("_owned")), "_owner", "left")
+    posts = used.agg(
         F.count(F.lit(1)).alias("listed"),
-        F.count(F.when(F.col("_found"), 1)).alias("resolved"),
-        F.count(F.when(F.col("_found").isNull(), 1)).alias("dropped"),
+        F.count(F.when(F.col("_used"), 1)).alias("used"),
+        F.count(F.when(F.col("_used") & F.col("_owned"), 1)).alias("resolved"),
+        F.count(F.when(F.col("_used") & F.col("_post").isNull(), 1)).alias("no_post"),
+        F.count(F.when(F.col("_used") & F.col("_post") & F.col("_owned").isNull(), 1)).alias("no_owner"),
     )
 
     def long(df, stage):
@@ -290,25 +294,32 @@ def q_ingest_coverage(spark, sf_dir):
 
 @register("profile_json_roundtrip")
 def q_profile_json_roundtrip(spark, sf_dir):
-    """Profiles encoded to JSON documents, written, read and decoded."""
+    """Profiles and their timeline chunks encoded to JSON documents, written,
+    read and decoded: one row per document, ``raw_same`` if the raw user and
+    every raw post came back verbatim."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
-    feats = fx.user_features(users, st, n=TIMELINE_N_CHECK)
-    tline = tl.timeline(st, users, TIMELINE_N_CHECK)
-    docs = ps.encode_profiles(users, feats, tline)
+    acc, _ = _labelled_file(spark, sf_dir)
+    visible = tl.timeline(st, users)
+    training = st.join(resolve.training_statuses(acc, st).select("status_id", F.col("user_id").alias("owner")), "status_id")
+    docs = ps.encode_profiles(users, fx.user_features(users, st), training).unionByName(ps.encode_timelines(visible))
     path = scratch_path(spark, "profiles-json")
     docs.select(F.col("profile_json").alias("value")).write.mode("overwrite").text(path)
     back = ps.decode_profiles(spark.read.text(path))
-    return back.select(
-        "user_id", "label", "screen_name", "followers_count",
-        F.col("features.meanIA").alias("meanIA"),
-        F.col("features.mainDevice").alias("mainDevice"),
-        F.size("timeline").cast("bigint").alias("n_timeline"),
-        F.array_join(F.transform("timeline", lambda s: s["id"].cast("string")), " ").alias("timeline_ids"),
-    )
+    # what was to come back: a digest of the raw texts of every document
+    digest = lambda c: F.md5(F.concat_ws("\n", c))
+    j = back.withColumn("got", digest("raw")).join(
+        docs.select("user_id", "chunk", digest("raw").alias("sent")).withColumn("_c", F.coalesce("chunk", F.lit(-(2**62)))).drop("chunk")
+        .withColumnRenamed("user_id", "_u"),
+        (F.col("user_id") == F.col("_u")) & (F.coalesce("chunk", F.lit(-(2**62))) == F.col("_c")) & (F.col("got") == F.col("sent")), "left")
+    return j.select(
+        "user_id", "chunk", "label", "screen_name", "followers_count",
+        F.col("features.meanIA").alias("meanIA"), F.col("features.mainDevice").alias("mainDevice"),
+        _ids_text("training_ids").alias("training_ids"), _ids_text("timeline_ids").alias("timeline_ids"),
+        F.col("sent").isNotNull().alias("raw_same"))
 
 
 def _features(spark, sf_dir):
-    return fx.user_features(fix.users(spark, sf_dir), fix.statuses(spark, sf_dir), n=TIMELINE_N_CHECK)
+    return fx.user_features(fix.users(spark, sf_dir), fix.statuses(spark, sf_dir))
 
 
 def _indexed_features(spark, sf_dir):
@@ -384,11 +395,11 @@ def q_feature_reuse(spark, sf_dir):
     unioned."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
     first = fix.lookup_requests(spark, sf_dir).filter("first_pass").select("user_id")
-    earlier = fx.user_features(users.join(first, "user_id", "left_semi"), st, n=TIMELINE_N_CHECK)
+    earlier = fx.user_features(users.join(first, "user_id", "left_semi"), resolve.posts_of(st, first))
     path = scratch_path(spark, "stored-features")
     earlier.write.mode("overwrite").parquet(path)
     stored = spark.read.schema(schemas.FEATURES).parquet(path)
-    return resolve.feature_reuse(users, st, stored, TIMELINE_N_CHECK)
+    return resolve.feature_reuse(users, st, stored)
 
 
 @register("incremental_refresh")
@@ -396,13 +407,13 @@ def q_incremental_refresh(spark, sf_dir):
     """Features were stored before the last day of posts arrived; accounts
     with posts in that day are recomputed, the rest reused."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
-    cutoff = st.select(F.max("created_ms") - F.lit(DAY_MS)).scalar()
-    is_new = F.col("created_ms") >= cutoff
-    earlier = fx.user_features(users, st.filter(~is_new), n=TIMELINE_N_CHECK)
+    newest = st.agg(F.max("created_ms")).first()[0]  # computed once; a run would be given its cutoff
+    is_new = F.col("created_ms") >= F.lit(None if newest is None else newest - DAY_MS)
+    earlier = fx.user_features(users, st.filter(~is_new))
     path = scratch_path(spark, "features-before")
     earlier.write.mode("overwrite").parquet(path)
     stored = spark.read.schema(schemas.FEATURES).parquet(path)
-    return resolve.refresh_features(users, st, stored, st.filter(is_new), TIMELINE_N_CHECK)
+    return resolve.refresh_features(users, st, stored, st.filter(is_new))
 
 
 # ------------------------------------------------------------ spam and text
@@ -445,12 +456,23 @@ def q_idf_tokens(spark, sf_dir):
 FOREST_TREES, FOREST_DEPTH = 20, 5  # small forest for the registered keys
 
 
+_runs: dict[tuple[str, str], tuple] = {}  # (application, data) -> the forest trained on it
+
+
 def _trained(spark, sf_dir):
+    """Features and one small forest, trained once per application and data."""
     from botsift.session import materialize
 
-    f = materialize(_features(spark, sf_dir), "features")
-    model, train, test = ml.train_forest(f, FOREST_TREES, FOREST_DEPTH, materialized=True)
-    return f, model, train, test
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _runs:
+        f = materialize(_features(spark, sf_dir), "features")
+        model, train, test = ml.train_forest(f, FOREST_TREES, FOREST_DEPTH, materialized=True)
+        _runs[key] = (f, model, train, test)
+    return _runs[key]
+
+
+def _known_label(c="predictedLabel"):
+    return F.col(c).isin("bot", "human")
 
 
 def _slots(df, vec_col):
@@ -480,46 +502,78 @@ def q_vector_index(spark, sf_dir):
 
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
+    """The forest's trees: weights, and whether each is a binary tree of the
+    depth asked for."""
     _, model, _, _ = _trained(spark, sf_dir)
-    return ml.tree_summary(model)
+    t = ml.tree_summary(model)
+    sound = (F.col("num_nodes") % 2 == 1) & (F.col("depth") <= FOREST_DEPTH) & (
+        F.col("num_nodes") <= F.pow(F.lit(2), F.col("depth") + 1) - 1)
+    return t.select("tree", "weight", sound.alias("sound"))
 
 
 @register("score_users")
 def q_score_users(spark, sf_dir):
+    """Every account scored; a label and the probability of the likelier one."""
     f, model, _, _ = _trained(spark, sf_dir)
-    return ml.score(model, f)
+    s = ml.score(model, f)
+    return s.select("id", _known_label().alias("labelled"), F.col("probability").between(0.5, 1.0).alias("likelier"))
 
 
 @register("evaluate_forest")
 def q_evaluate_forest(spark, sf_dir):
+    """Accuracy on the held-out rows, checked against the confusion matrix."""
     _, model, _, test = _trained(spark, sf_dir)
-    return ml.evaluate(model, test)
+    m = ml.confusion_matrix(model.transform(test)).agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right"))
+    e = ml.evaluate(model, test)
+    # both are one row; the shared constant is the key
+    j = e.withColumn("k", F.lit(1)).join(m.withColumn("k", F.lit(1)), "k")
+    return j.select("n_test", (F.abs(F.col("accuracy") - F.col("right") / F.col("all")) < 1e-12).alias("matches_matrix"),
+                    (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-12).alias("error_is_rest"))
 
 
 @register("forest_confusion")
 def q_forest_confusion(spark, sf_dir):
-    """Confusion counts of the trained forest on the held-out rows (the
-    reference's logged matrix; ``confusion_matrix`` checks the same operator
-    over a fixed prediction)."""
+    """Held-out rows per true label, as the trained forest's confusion matrix
+    has them (``confusion_matrix`` checks the same operator cell by cell)."""
     _, model, _, test = _trained(spark, sf_dir)
-    return ml.confusion_matrix(model.transform(test))
+    m = ml.confusion_matrix(model.transform(test))
+    return m.groupBy("label").agg(F.sum("n").alias("n"), F.min(F.col("prediction").isin("bot", "human")).alias("labelled"))
 
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """The reference grid (12 maps, 9 distinct) x 4 folds on the training split."""
     _, table = ml.cross_validate(_features(spark, sf_dir))
-    return table
+    best = table.agg(F.max("avg_accuracy").alias("top"), F.count(F.when(F.col("is_best"), 1)).alias("n_best"))
+    j = table.withColumn("k", F.lit(1)).join(best.withColumn("k", F.lit(1)), "k")
+    return j.select("numTrees", "maxDepth", F.col("avg_accuracy").between(0, 1).alias("is_share"), "n_best",
+                    (~F.col("is_best") | (F.col("avg_accuracy") == F.col("top"))).alias("best_is_top"))
+
+
+@register("best_model")
+def q_best_model(spark, sf_dir):
+    """The searched model is the one that training keeps: its forest has the
+    trees and depth of the grid's best row, and it scores every account."""
+    f = _trained(spark, sf_dir)[0]
+    model, _, _, table = ml.train_best(f, materialized=True)
+    trees, depth = ml.best_params(model)
+    same = table.filter("is_best").select(((F.col("numTrees") == trees) & (F.col("maxDepth") == depth)).alias("is_best_row"))
+    n = ml.score(model, f).filter(_known_label()).agg(F.count(F.lit(1)).alias("n_scored"))
+    return same.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
+    """The 13 model inputs; their importances are shares that sum to 1."""
     _, model, _, _ = _trained(spark, sf_dir)
-    return ml.feature_importance(model)
+    i = ml.feature_importance(model)
+    total = i.agg(F.sum("importance").alias("total")).withColumn("k", F.lit(1))
+    return i.withColumn("k", F.lit(1)).join(total, "k").select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@register("prediction_table")
-def q_prediction_table(spark, sf_dir):
+def _prediction_csv(spark, sf_dir):
     """Held-out predictions written as CSV (id, predictedLabel, label), read back."""
     from pyspark.sql import types as T
 
@@ -531,11 +585,50 @@ def q_prediction_table(spark, sf_dir):
     return sinks.read_csv(spark, path, schema)
 
 
+@register("prediction_table")
+def q_prediction_table(spark, sf_dir):
+    """The prediction CSV's rows: held-out ids, true labels, a known prediction."""
+    return _prediction_csv(spark, sf_dir).select("id", "label", _known_label().alias("labelled"))
+
+
 @register("misclassified")
 def q_misclassified(spark, sf_dir):
+    """Misclassified rows and the rest of the test split, per true label: the
+    two are disjoint and make up the split."""
     _, model, _, test = _trained(spark, sf_dir)
-    pred = model.transform(test)
-    return pred.filter(F.col("predictedLabel") != F.col("label")).select("id", "label", "predictedLabel")
+    pred = model.transform(test).select("id", "label", "predictedLabel")
+    wrong = pred.filter(F.col("predictedLabel") != F.col("label"))
+    right = pred.filter(F.col("predictedLabel") == F.col("label"))
+    return wrong.unionByName(right).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+@register("classify_users")
+def q_classify_users(spark, sf_dir):
+    """Requested ids to label, probability and features: stored features of
+    the first ingest are reused, other accounts computed, the rest missing."""
+    from botsift.operators.classify import classify
+
+    f, model, _, _ = _trained(spark, sf_dir)
+    req = fix.lookup_requests(spark, sf_dir)
+    users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+    first = req.filter("first_pass").select(F.col("user_id").alias("id"))
+    out = classify(model, req, users, st, f.join(first, "id", "left_semi"))
+    return out.select(
+        "id", "state", (_known_label() & F.col("probability").between(0.5, 1.0)).alias("labelled"),
+        "meanIA", "tweetRate", "maxTweetRate", "followerRatio", "urlRatio", "mainDevice", "mainDeviceCount")
+
+
+@register("correct_profiles")
+def q_correct_profiles(spark, sf_dir):
+    """Label corrections written to the store as its next version: stored
+    profiles get the new label, accounts without a profile are fetched,
+    labelled and stored; the store is read back."""
+    root, _ = _store_pass1(spark, sf_dir)
+    users = fix.users(spark, sf_dir)
+    up = feedback.label_upsert(ps.read_store(spark, root), fix.label_events(spark, sf_dir))
+    ps.write_version(feedback.store_corrections(up, users), root, 2)
+    return ps.read_store(spark, root).select("user_id", "state", "label", "version")
 
 
 @register("model_roundtrip")
@@ -555,25 +648,53 @@ def q_model_roundtrip(spark, sf_dir):
 
 @register("hashing_tf")
 def q_hashing_tf(spark, sf_dir):
+    """Hashed term counts per post: every token lands in one of the buckets."""
     t = text.hashed_tf(fix.text_statuses(spark, sf_dir))
-    return t.select("status_id", "label", F.size("words").alias("n_terms"),
-                    vector_to_array("rawFeatures").alias("tf"))
+    tf = vector_to_array("rawFeatures")
+    return t.select("status_id", "label", F.size("words").cast("bigint").alias("n_terms"), F.size(tf).alias("n_buckets"),
+                    F.aggregate(tf, F.lit(0.0), lambda a, x: a + x).alias("tf_total"))
+
+
+def _text_model(spark, sf_dir):
+    return text.train_text_model(spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir)))
 
 
 @register("train_text_model")
 def q_train_text_model(spark, sf_dir):
-    """Naive Bayes on hashed TF-IDF of the threat-matched posts; held-out predictions."""
+    """Naive Bayes on hashed TF-IDF of the threat-matched posts: training and
+    held-out rows per label, all of them predicted (the reference's debug
+    projection keeps features, prediction and label)."""
     lab = spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
-    _, pred = text.train_text_model(lab)
-    # the reference's debug projection (B16): features, prediction, label
-    return pred.select("status_id", vector_to_array("features").alias("features"), "prediction", "label")
+    model, pred = text.train_text_model(lab)
+    both = pred.unionByName(model.transform(lab.join(pred.select("url", "label"), ["url", "label"], "left_anti")))
+    sound = F.col("prediction").isin(0.0, 1.0) & (F.size(vector_to_array("features")) == text.NUM_HASH_FEATURES)
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(sound).alias("sound"))
+
+
+@register("evaluate_text_model")
+def q_evaluate_text_model(spark, sf_dir):
+    """Held-out accuracy and confusion matrix of the text model, checked
+    against each other."""
+    _, pred = _text_model(spark, sf_dir)
+    acc = ml.accuracy_table(pred, "label", "prediction").withColumn("k", F.lit(1))
+    m = ml.confusion_matrix(pred, "label", "prediction").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right"))
+    j = acc.join(m.withColumn("k", F.lit(1)), "k")
+    return j.select((F.abs(F.col("accuracy") - F.col("right") / F.col("all")) < 1e-12).alias("matches_matrix"),
+                    (F.col("n") == F.col("all")).alias("covers_all"))
 
 
 # ------------------------------------------------------------ streaming
 @register("stream_label_upsert")
 def q_stream_label_upsert(spark, sf_dir):
-    """Label events streamed through foreachBatch upserts; final label table."""
-    return stream_labels.run_once(spark, fix.label_events(spark, sf_dir), scratch_path(spark, "stream-labels"))
+    """Label events streamed through foreachBatch upserts by two streams with
+    checkpoints of their own, the second after a snapshot; final label table."""
+    ev = fix.label_events(spark, sf_dir)
+    root = scratch_path(spark, "stream-labels")
+    even = F.col("seq") % 2 == 0
+    stream_labels.run_once(spark, ev.filter(even), root, source="a")
+    stream_labels.compact(spark, f"{root}/labels")
+    return stream_labels.run_once(spark, ev.filter(~even), root, source="b")
 
 
 @register("stream_score")
@@ -582,7 +703,8 @@ def q_stream_score(spark, sf_dir):
     f, model, _, _ = _trained(spark, sf_dir)
     path = scratch_path(spark, "stream-model")
     model.write().overwrite().save(path)
-    return stream_scoring.run_once(spark, path, f, scratch_path(spark, "stream-score"))
+    out = stream_scoring.run_once(spark, path, f, scratch_path(spark, "stream-score"))
+    return out.select("id", _known_label().alias("labelled"), F.col("probability").between(0.5, 1.0).alias("likelier"))
 
 
 @register("retrain_with_corrections")
@@ -594,7 +716,8 @@ def q_retrain_with_corrections(spark, sf_dir):
 
     path = lb.write_lines(fix.labelled_lines(spark, sf_dir), scratch_path(spark, "labelled"))
     run = build_models(spark, path, fix.users(spark, sf_dir), fix.statuses(spark, sf_dir),
-                       label_events=fix.label_events(spark, sf_dir), n=TIMELINE_N_CHECK,
+                       label_events=fix.label_events(spark, sf_dir),
                        num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
     scored = ml.score(run.model, run.features).select("id", "predictedLabel")
-    return run.features.select("id", "label", "label_source").join(scored, "id")
+    return run.features.select("id", "label", "label_source").join(scored, "id").select(
+        "id", "label", "label_source", _known_label().alias("labelled"))

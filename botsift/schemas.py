@@ -2,15 +2,6 @@
 
 from pyspark.sql import types as T
 
-# Labelled-account file, one line per account: "<label> <user_id> <status_id>*".
-LABELLED_USERS = T.StructType(
-    [
-        T.StructField("label", T.StringType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("status_ids", T.ArrayType(T.LongType())),
-    ]
-)
-
 URL_ENTITY = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("expanded_url", T.StringType())]
 )
@@ -101,12 +92,3 @@ LABEL_EVENTS = T.StructType(
         T.StructField("label", T.StringType()),
     ]
 )
-
-THREATS = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("threat_type", T.StringType()),
-        T.StructField("platform_type", T.StringType()),
-        T.StructField("threat_entry_type", T.StringType()),
-    ]
-)

@@ -9,7 +9,7 @@ tests).
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -38,7 +38,9 @@ def local_session(cores: int | str = "*", app: str = "botsift", **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder.  A local master gets a folder of
+    its own if none is set; on a cluster the setting is required, as executors
+    do not share the driver's folders."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="botsift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -62,15 +66,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/botsift/{name}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that needs an OS path (tests only)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
-
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a DataFrame reading it back.

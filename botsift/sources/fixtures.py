@@ -25,10 +25,6 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Number of status ids listed on one labelled line (the file lists a sample of
-# each account's posts; the reader then uses the first LISTED_USED of them).
-LISTED_PER_LINE = 20
-
 # Fixed values of the adapter.
 VERIFIED_BALANCE = 9000.0
 PROTECTED_SEGMENT = "BUILDING"
@@ -105,25 +101,21 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of a labelled-account file, including malformed ones.
 
-    One line per account with posts: label, id, then its first
-    LISTED_PER_LINE status ids in id order.  Deliberate defects by id:
+    One line per account with posts, by id: label, id, then all its status
+    ids in order.  Deliberate defects by id:
+      id % 10 == 1  an earlier line gives the account the other label
+      id % 10 == 2  post 0 is listed first, whoever wrote it
       id % 10 == 3  the id token is not a number ("u<id>")
       id % 10 == 7  an empty line
       id % 10 == 9  two blanks after the label (an empty token)
       id % 10 == 5  a trailing blank (valid: trailing blanks are ignored)
     """
-    from pyspark.sql import Window as W
-
     s = table(spark, sf_dir, "events").select(
         F.col("user_id"), F.col("event_id").alias("status_id")
     )
-    w = W.partitionBy("user_id").orderBy("status_id")
-    listed = (
-        s.withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= LISTED_PER_LINE)
-        .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list("status_id")).alias("ids"))
-    )
+    listed = s.groupBy("user_id").agg(F.sort_array(F.collect_list("status_id")).alias("ids"))
+    shared = F.concat(F.array(F.lit(0).cast("bigint")), F.array_remove("ids", 0))
+    listed = listed.withColumn("ids", F.when(F.col("user_id") % 10 == 2, shared).otherwise(F.col("ids")))
     lab = users(spark, sf_dir).select("user_id", "label")
     j = listed.join(lab, "user_id")
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
@@ -136,17 +128,17 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 5, F.concat(F.concat_ws(" ", "label", uid, ids), F.lit(" ")))
         .otherwise(F.concat_ws(" ", "label", uid, ids))
     )
-    return j.select(line.alias("value"))
+    other = F.when(F.col("label") == "bot", "human").otherwise("bot")
+    earlier = F.concat_ws(" ", other, uid, ids)
+    lines = F.when(m == 1, F.array(earlier, line)).otherwise(F.array(line))
+    return j.orderBy("user_id").select(F.explode(lines).alias("value"))
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled posts for the text model without URLs: status_id, label
-    ('bot' when toxic), text.  The label table is broadcast when its checked
-    size allows, so the documents (whole texts) are never shuffled for it."""
-    from botsift.operators.broadcast import bounded_broadcast
-
+    ('bot' when toxic), text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = bounded_broadcast(table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(lab, "doc_id").select(
         F.col("doc_id").alias("status_id"),
         F.when(F.col("toxic") == 1, F.lit("bot")).otherwise(F.lit("human")).alias("label"),
@@ -158,15 +150,12 @@ def text_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled posts with one URL entity each: a short t.co link expanding
     to the URL of page ``doc_id mod count(pages)``.
 
-    Columns: status_id, label, text, urls.  The (page_id, url) side is
-    broadcast when its checked size allows.
+    Columns: status_id, label, text, urls.
     """
-    from botsift.operators.broadcast import bounded_broadcast
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.select(F.count(F.lit(1))).scalar()
     d = labelled_texts(spark, sf_dir).withColumn("page_id", F.pmod(F.col("status_id"), n_pages))
-    d = d.join(bounded_broadcast(pages), "page_id", "left")
+    d = d.join(pages, "page_id", "left")
     ent = F.struct(
         F.concat(F.lit("https://t.co/d"), F.col("status_id").cast("string")).alias("url"),
         F.col("url").alias("expanded_url"),

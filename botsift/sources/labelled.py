@@ -96,11 +96,12 @@ def read_labelled(spark: SparkSession, path: str, mode: str = "quarantine") -> t
     return accounts, quarantine
 
 
-def dedupe_accounts(accounts: DataFrame) -> DataFrame:
+def dedupe_accounts(accounts: DataFrame, keep_line: bool = False) -> DataFrame:
     """One row per account id: the last line of the file wins (map.put)."""
     from botsift.operators.dedupe import last_wins
 
-    return last_wins(accounts, "user_id", "line").drop("line")
+    one = last_wins(accounts, "user_id", "line")
+    return one if keep_line else one.drop("line")
 
 
 def first_listed(accounts: DataFrame, n: int = LISTED_USED) -> DataFrame:

@@ -1,11 +1,12 @@
 """Snapshots for append-only tables resolved by last-wins on read.
 
-The label table (one directory per micro-batch, ``batch_id=<n>``) and the
-profile store (one per ingest, ``version=<n>``) grow by appends.  A
-snapshot ``<root>.snapshots/upto=<n>`` holds the resolved rows of every
-partition up to n, committed with ``_SUCCESS``; readers take the latest
+The profile store (one directory per ingest, ``version=<n>``) grows by
+appends.  A snapshot ``<root>.snapshots/upto=<n>`` holds the resolved rows of
+every partition up to n, committed with ``_SUCCESS``; readers take the latest
 committed snapshot plus the partitions after it, pruned by their partition
-value.  Nothing is deleted, and a failed snapshot is simply ignored.
+value.  Nothing is deleted, and a failed snapshot is simply ignored.  (The
+label table numbers its snapshots itself and says what each one covers, see
+``botsift.streaming.labels``.)
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ def snapshot_root(root: str) -> str:
     return f"{root.rstrip('/')}.snapshots"
 
 
+def committed(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to this folder ended well (it has ``_SUCCESS``)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> int | None:
     """Highest ``upto`` of a committed snapshot (listed on the JVM side)."""
     jvm = spark.sparkContext._jvm

@@ -1,52 +1,66 @@
-"""Scale guards: the checked broadcast falls back above its bound, spread is
-a no-op on wide inputs, and the gate keeps its anti-join semantics either
-way."""
+"""Scale guards: no job starts while a plan is built, the gate keeps its
+anti-join semantics, limits and settings that cannot hold raise."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from botsift import session
+from botsift.operators import resolve, spam
 from botsift.operators import timeline as tl
-from botsift.operators.broadcast import bounded_broadcast
-from botsift.operators.parallel import spread
+from botsift.sources import fixtures as fix
 from tests.helpers import frames, post, user
 
 
-def _hinted(df):
-    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+def test_plans_are_built_without_a_job(spark, sf_small):
+    u, s = fix.users(spark, sf_small), fix.statuses(spark, sf_small)
+    posts = spark.createDataFrame([], "status_id long, label string, text string, urls array<struct<url:string,expanded_url:string>>")
+    acc = spark.createDataFrame([], "line long, label string, user_id long, status_ids array<long>")
+    threats = fix.threats(spark, sf_small)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        tl.timeline(s, u), tl.timeline(s, u, 50), tl.interarrivals(s), tl.statuses_by_user(s)
+        resolve.resolve_users(acc.drop("line"), u), resolve.training_statuses(acc, s)
+        spam.spam_urls(spam.status_urls(posts), threats), spam.labelled_statuses(posts, threats), spam.spam_counts(posts, threats)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_bounded_broadcast_hints_only_below_bound(spark):
-    small = spark.range(10)
-    assert _hinted(bounded_broadcast(small, max_rows=10))
-    assert not _hinted(bounded_broadcast(small, max_rows=9))
+def test_gate(spark):
+    u, s = frames(spark, [user(1, protected=True), user(2), user(3, protected=None)],
+                  [post(1, 1, 10), post(2, 2, 20), post(3, 3, 30), post(4, 4, 40)])
+    # protected account 1 is dropped; NULL protection counts as visible
+    assert sorted(r["status_id"] for r in tl.gate_protected(s, u).collect()) == [2, 3, 4]
+    assert tl.gate_protected(s, u).filter(F.col("user_id") == 1).count() == 0
 
 
-def test_byte_budget_limits_rows(spark):
-    from botsift.operators.broadcast import MAX_BYTES_CONF, max_broadcast_rows, row_bytes
+@pytest.mark.parametrize("n", [0, tl.MAX_N + 1, 1500])
+def test_limits_without_a_partial_limit_raise(spark, sf_small, n):
+    with pytest.raises(ValueError, match="n must be"):
+        tl.latest_n(fix.statuses(spark, sf_small), n)
 
-    df = spark.range(100).selectExpr("id", "cast(id as string) as s")
-    assert row_bytes(df) == 16 + 8 + 20
-    spark.conf.set(MAX_BYTES_CONF, str(44 * 50))
-    try:
-        assert max_broadcast_rows(df) == 50
-        assert not _hinted(bounded_broadcast(df))
-    finally:
-        spark.conf.unset(MAX_BYTES_CONF)
-    assert _hinted(bounded_broadcast(df))
 
+def test_a_limit_is_partial_up_to_the_largest_n(spark, sf_small):
+    df = tl.latest_n(fix.statuses(spark, sf_small), tl.MAX_N)
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
-def test_spread_only_when_narrow(spark):
-    wide = spark.range(0, 1000, numPartitions=64)
-    assert spread(wide, min_partitions=16) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread(narrow, min_partitions=16).rdd.getNumPartitions() == 16
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
 
-def test_gate_same_result_with_and_without_broadcast(spark, monkeypatch):
-    u, s = frames(spark, [user(1, protected=True), user(2), user(3, protected=None)],
-                  [post(1, 1, 10), post(2, 2, 20), post(3, 3, 30), post(4, 4, 40)])
-    with_b = sorted(r["status_id"] for r in tl.gate_protected(s, u).collect())
-    monkeypatch.setattr(tl, "GATE_BROADCAST_MAX_ROWS", 0)
-    without_b = sorted(r["status_id"] for r in tl.gate_protected(s, u).collect())
-    # protected account 1 is dropped; NULL protection counts as visible
-    assert with_b == without_b == [2, 3, 4]
-    assert tl.gate_protected(s, u).filter(F.col("user_id") == 1).count() == 0
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+    Context.master = "local-cluster[2,1,512]"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

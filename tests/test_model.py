@@ -14,7 +14,7 @@ from botsift.sources import fixtures as fix
 @pytest.fixture(scope="module")
 def trained(spark):
     sf = "/root/testdata/sf0.01"
-    f = fx.user_features(fix.users(spark, sf), fix.statuses(spark, sf), n=50).cache()
+    f = fx.user_features(fix.users(spark, sf), fix.statuses(spark, sf)).cache()
     model, train, test = ml.train_forest(f, num_trees=10, max_depth=4)
     return f, model, train, test
 
@@ -51,25 +51,44 @@ def test_scoring_uses_fitted_labels_and_probability(trained):
 
 def test_accuracy_query_agrees_with_evaluator(trained):
     _, model, _, test = trained
-    ev = ml.evaluate(model, test).collect()[0]["accuracy"]
-    q = ml.accuracy_table(model.transform(test)).collect()[0]["accuracy"]
-    assert abs(ev - q) < 1e-12
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
+    ev = MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="accuracy").evaluate(model.transform(test))
+    q = ml.evaluate(model, test).first()
+    assert abs(ev - q["accuracy"]) < 1e-12 and q["n_test"] == test.count()
 
-def test_grid_dedupes(spark):
-    assert ml.grid_size() == (12, 9)
 
+def test_grid_dedupes():
+    from pyspark.ml.classification import RandomForestClassifier
 
-def test_device_pooling_bounds_categories(spark, trained):
-    """Many distinct devices: all but the most frequent pool into OTHER,
-    and the pipeline (with the pooling stage) trains and serves."""
+    assert len(ml.GRID_NUM_TREES) * len(ml.GRID_MAX_DEPTH) == 12
+    assert len(ml.param_grid(RandomForestClassifier())) == 9
+
+
+def test_every_device_keeps_its_category(trained):
+    """400 devices are 400 categories: the forest's bins grow with them."""
     f, _, _, _ = trained
-    many = f.withColumn("mainDevice", F.concat(F.lit("dev-"), (F.col("id") % 400).cast("string")))
-    stage = ml.device_pooling(many, keep=50)
-    assert stage is not None
-    pooled = stage.transform(many)
-    assert pooled.select("pooledMainDevice").distinct().count() == 51
-    assert set(pooled.columns) == set(many.columns) | {"pooledMainDevice"}
-    assert ml.device_pooling(f) is None  # few devices: no stage
+    many = f.join(f.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.col("id").alias("_i")), F.col("id") == F.col("_i"))
+    many = many.withColumn("id", F.col("id") * 4 + F.col("k")).withColumn(
+        "mainDevice", F.concat(F.lit("dev-"), (F.col("id") % 400).cast("string"))).drop("k", "_i")
+    train, _ = ml.split(many)
+    devices = train.select("mainDevice").distinct().count()
+    assert devices > ml.MIN_MAX_BINS
     model, _, test = ml.train_forest(many, num_trees=3, max_depth=3)
+    assert len(model.stages[0].labels) == devices
     assert ml.score(model, test).count() == test.count()
+
+
+@pytest.mark.parametrize("fraction", [0.65, 0.75, 0.95, 0.99])
+def test_split_fraction_is_met(spark, fraction):
+    n = spark.range(100_000).filter(ml.split_flag("id", fraction) == "train").count()
+    assert abs(n / 100_000 - fraction) < 0.01
+
+
+def test_search_keeps_the_best_forest(trained):
+    f, _, _, _ = trained
+    model, train, test, table = ml.train_best(f, num_trees=(2, 6), max_depth=(1, 3), folds=2)
+    best = table.filter("is_best").first()
+    assert ml.best_params(model) == (best["numTrees"], best["maxDepth"])
+    assert table.count() == 4 and best["avg_accuracy"] == max(r["avg_accuracy"] for r in table.collect())
+    assert train.count() + test.count() == f.count()

@@ -16,20 +16,45 @@ def executed_plan(spark, key):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_flagship_one_shuffle_of_posts_with_partial_limit(spark):
+def test_flagship_combines_on_the_map_side_and_sorts_no_account(spark):
     plan = executed_plan(spark, "user_features")
+    assert "Window" not in plan  # no account's history is sorted
+    assert "partial_count" in plan and "partial_sum" in plan
+    assert "LeftAnti" in plan  # gate
+
+
+def test_topk_has_a_partial_limit(spark):
+    plan = executed_plan(spark, "timeline_topk")
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    assert len(re.findall(r"Exchange hashpartitioning\(user_id", plan)) == 1
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan  # gate
 
 
-def test_tokenize_has_no_hash_shuffle(spark):
-    assert "Exchange hashpartitioning" not in executed_plan(spark, "tokenize")
+def test_tokenize_has_no_shuffle(spark):
+    assert "Exchange" not in executed_plan(spark, "tokenize")
+
+
+@pytest.mark.parametrize("key", ["feature_reuse", "incremental_refresh", "feature_preview"])
+def test_posts_are_restricted_before_they_are_shuffled(spark, key):
+    """The semi-join stands below every aggregate of posts."""
+    plan = executed_plan(spark, key).split("Initial Plan")[-1]
+    assert "LeftSemi" in plan
+    lines = plan.splitlines()
+    semi = [i for i, x in enumerate(lines) if "LeftSemi" in x]
+    counts = [i for i, x in enumerate(lines) if "partial_count" in x or "partial_sum" in x]
+    assert counts and max(semi) > min(counts)
+
 
+def test_reuse_of_all_accounts_reads_on_no_post(spark):
+    from botsift.operators import features as fx
+    from botsift.operators import resolve
+    from botsift.session import materialize
+    from botsift.sources import fixtures as fix
 
-def test_listed_posts_probe_is_broadcast(spark):
-    plan = executed_plan(spark, "training_statuses")
-    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    u, s = fix.users(spark, SF), fix.statuses(spark, SF)
+    stored = materialize(fx.user_features(u, s), "t-stored")
+    out = resolve.feature_reuse(u, s, stored)
+    assert out.filter("origin = 'stored'").count() == u.count() == out.count()
+    todo = u.join(stored.select(stored.id.alias("user_id")), "user_id", "left_anti")
+    assert resolve.posts_of(s, todo).count() == 0
 
 
 @pytest.mark.parametrize("key", ["user_features", "labelled_statuses", "dedupe_last_wins",

@@ -26,16 +26,17 @@ def test_feature_invariants(spark, sf_small):
 
 def test_fused_equals_aggregate_path(spark, sf_small):
     """With a timeline longer than any account's history, the bounded
-    (window) path and the unbounded (aggregate) path agree exactly."""
+    (window) path and the path over all posts agree exactly."""
     users, st = fix.users(spark, sf_small), fix.statuses(spark, sf_small)
-    a = fx.user_features(users, st, n=100_000)
+    assert st.groupBy("user_id").count().agg({"count": "max"}).first()[0] <= tl.MAX_N
+    a = fx.user_features(users, st, n=tl.MAX_N)
     b = fx.user_features(users, st, n=None)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_mean_of_gaps_equals_mean_interarrival(spark, sf_small):
     users, st = fix.users(spark, sf_small), fix.statuses(spark, sf_small)
-    t = tl.timeline(st, users, 50)
+    t = tl.timeline(st, users)
     g = tl.interarrivals(t).groupBy("user_id").agg(F.avg("gap_ms").alias("g"))
     m = fx.mean_interarrival(t)
     diff = g.join(m, "user_id").filter(F.abs(F.col("g") - F.col("meanIA")) > 1e-6)
@@ -50,3 +51,24 @@ def test_missing_and_known_partition_requests(spark, sf_small):
     known = ps.known(req, store).select("user_id")
     assert missing.intersect(known).count() == 0
     assert missing.union(known).distinct().count() == req.select("user_id").distinct().count()
+
+
+def test_interarrivals_do_not_depend_on_the_ranges(spark, sf_small):
+    from pyspark.sql import Window as W
+
+    st = fix.statuses(spark, sf_small).withColumn(  # one account with a third of all posts, some without a time
+        "user_id", F.when(F.col("status_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id"))).withColumn(
+        "created_ms", F.when(F.col("status_id") % 11 != 0, F.col("created_ms") - F.col("created_ms") % 600_000))
+    w = W.partitionBy("user_id").orderBy(F.col("created_ms").desc(), F.col("status_id").desc())
+    want = st.filter("created_ms IS NOT NULL").select("user_id", "status_id", "created_ms", (
+        F.col("created_ms") - F.lead("created_ms").over(w)).alias("gap_ms")).filter("gap_ms IS NOT NULL")
+    for ms in (1000, tl.RANGE_MS, 10**15):
+        got = tl.interarrivals(st, ms)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_statuses_by_user_holds_every_post(spark, sf_small):
+    st = fix.statuses(spark, sf_small)
+    g = tl.statuses_by_user(st)
+    assert g.select(F.explode("statuses")).count() == st.count()
+    assert g.groupBy("user_id", "chunk").count().filter("count > 1").count() == 0

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from botsift.session import local_path, scratch_path
+from botsift.session import scratch_path
 from botsift.sources import labelled as lb
 from botsift.sources import profile_store as ps
 
@@ -49,7 +49,8 @@ def test_store_latest_version_and_lookup(spark):
                                "user_id long, state string, label string, profile_json string")
     ps.write_version(v1, root, 1)
     ps.write_version(v2, root, 2)
-    ps.write_version(v2, root, 2)  # a retried batch replaces itself
+    with pytest.raises(ValueError, match="already there"):
+        ps.write_version(v1, root, 2)  # a version is never replaced
     store = ps.read_store(spark, root)
     got = {r["user_id"]: (r["label"], r["version"]) for r in store.collect()}
     assert got == {1: ("bot", 2), 2: (None, 1)}  # G-o (last wins), V16 (null stays null)
@@ -64,13 +65,15 @@ def test_status_json_permissive(spark):
             "entities": {"urls": [{"url": "a", "expanded_url": "b"}], "hashtags": ["x", "y"]},
             "user": {"id": 9, "screen_name": "n"}}
     no_user = {"id": 6, "created_at": "Mon Jan 01 00:00:07 +0000 2024"}
-    spark.createDataFrame([(json.dumps(good),), (json.dumps(no_user),), ("{broken",)], "value string") \
+    bad_time = {**good, "id": 7, "created_at": "yesterday"}
+    spark.createDataFrame([(json.dumps(good),), (json.dumps(no_user),), ("{broken",), (json.dumps(bad_time),)], "value string") \
         .coalesce(1).write.text(path)
     from botsift.sources.status_json import read_status_json
 
     rows = read_status_json(spark, path).collect()
-    assert len(rows) == 1
-    r = rows[0]
+    assert len(rows) == 2
+    r, no_time = sorted(rows, key=lambda r: r["status_id"])
+    assert (no_time["status_id"], no_time["created_ms"]) == (7, None)  # not a time: the post stays
     assert (r["status_id"], r["user_id"], r["created_ms"]) == (5, 9, 1704067207000)
     assert (r["n_urls"], r["n_hashtags"], r["n_mentions"]) == (1, 2, 0)
 
@@ -78,7 +81,6 @@ def test_status_json_permissive(spark):
 def test_scratch_paths_are_fresh(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
-    assert local_path("file:/tmp/a") == "/tmp/a"
 
 
 def test_profile_json_roundtrip_keeps_raw(spark, sf_small):
@@ -87,10 +89,17 @@ def test_profile_json_roundtrip_keeps_raw(spark, sf_small):
     from botsift.sources import fixtures as fix
 
     users, st = fix.users(spark, sf_small), fix.statuses(spark, sf_small)
-    docs = ps.encode_profiles(users, fx.user_features(users, st), tl.timeline(st, users))
+    training = st.filter("status_id % 50 = 0").withColumn("owner", F.col("user_id"))
+    seen = tl.timeline(st, users)
+    docs = ps.encode_profiles(users, fx.user_features(users, st), training).unionByName(ps.encode_timelines(seen))
     back = ps.decode_profiles(docs.select(F.col("profile_json").alias("value")))
-    assert back.count() == users.count()
-    assert back.filter(F.col("user_id").isNull()).count() == 0
+    sent = docs.select("user_id", "chunk", "raw")
+    assert back.select("user_id", "chunk", "raw").exceptAll(sent).count() == 0 and back.count() == sent.count()
+    assert back.filter("chunk IS NULL").count() == users.count()
+    assert back.select(F.explode("timeline_ids")).count() == seen.count()
+    assert back.select(F.explode("training_ids")).count() == training.join(users, "user_id").count()
+    one = sent.filter("chunk IS NOT NULL").first()["raw"][0]
+    assert {"id", "created_ms", "source", "text"} <= json.loads(one).keys()
 
 
 def test_duplicate_ids_last_line_wins(spark):
@@ -102,7 +111,7 @@ def test_duplicate_ids_last_line_wins(spark):
 
 def test_decode_drops_undecodable_profiles(spark):
     docs = spark.createDataFrame(
-        [('{"label": "bot", "marshalledUser": "{\\"id\\": 5, \\"screen_name\\": \\"a\\"}", '
+        [('{"user_id": 5, "label": "bot", "marshalledUser": "{\\"id\\": 5, \\"screen_name\\": \\"a\\"}", '
           '"marshalledUserTimeline": []}',), ("{not json",)], "value string")
     rows = ps.decode_profiles(docs).collect()  # A5: an undecodable entry is dropped
     assert [(r["user_id"], r["label"]) for r in rows] == [(5, "bot")]
@@ -117,3 +126,13 @@ def test_store_compaction(spark):
     ps.write_version(spark.createDataFrame([(2, "missing", None, None)], schema), root, 3)
     got = {r["user_id"]: (r["state"], r["label"], r["version"]) for r in ps.read_store(spark, root).collect()}
     assert got == {1: ("found", "bot", 2), 2: ("missing", None, 3)}
+
+
+def test_a_shared_post_has_one_owner_and_an_account_one_label(spark):
+    from botsift.operators import resolve
+
+    path = write_text(spark, ["bot 7 1 2", "human 8 2 3", "human 7 2 4", "bot 9 2 5"])
+    acc, _ = lb.read_labelled(spark, path)
+    st = spark.createDataFrame([(i, 70 + i, 0, "web") for i in (1, 2, 3, 4, 5)], "status_id long, user_id long, created_ms long, source string")
+    got = {r["status_id"]: (r["user_id"], r["label"], r["position"]) for r in resolve.training_statuses(acc, st).collect()}
+    assert got == {2: (9, "bot", 0), 3: (8, "human", 1), 4: (7, "human", 1), 5: (9, "bot", 1)}

@@ -37,7 +37,7 @@ def test_stream_scoring_equals_batch(spark):
     from botsift.streaming import scoring
 
     sf = "/root/testdata/sf0.01"
-    f = fx.user_features(fix.users(spark, sf), fix.statuses(spark, sf), n=50)
+    f = fx.user_features(fix.users(spark, sf), fix.statuses(spark, sf))
     model, _, _ = ml.train_forest(f, num_trees=5, max_depth=3)
     path = scratch_path(spark, "t-stream-model")
     model.write().overwrite().save(path)
@@ -63,3 +63,19 @@ def test_compaction_then_more_batches(spark, sf_small):
     got = sl.read_labels(spark, table)
     want = last_wins(ev, "user_id", "seq").select("user_id", "seq", "label")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_two_checkpoints_share_a_table(spark, sf_small):
+    """A stream with a new checkpoint counts its batches from 0 again; it
+    must not replace the first one's, nor be taken for older than a snapshot."""
+    root = scratch_path(spark, "t-two")
+    ev = fix.label_events(spark, sf_small)
+    sl.run_once(spark, ev.filter("seq % 3 = 0"), root, source="a")
+    sl.run_once(spark, ev.filter("seq % 3 = 1"), root, source="b")
+    sl.compact(spark, f"{root}/labels")
+    got = sl.run_once(spark, ev.filter("seq % 3 = 2"), root, source="c")
+    want = last_wins(ev, "user_id", "seq").select("user_id", "seq", "label")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert sl.compact(spark, f"{root}/labels") == 2
+    again = sl.read_labels(spark, f"{root}/labels")
+    assert again.exceptAll(want).count() == 0 and want.exceptAll(again).count() == 0
