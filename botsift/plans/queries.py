@@ -524,12 +524,10 @@ def q_evaluate_forest(spark, sf_dir):
     """Accuracy on the held-out rows, checked against the confusion matrix."""
     _, model, _, test = _trained(spark, sf_dir)
     m = ml.confusion_matrix(model.transform(test)).agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right"))
-    e = ml.evaluate(model, test)
-    # both are one row; the shared constant is the key
-    j = e.withColumn("k", F.lit(1)).join(m.withColumn("k", F.lit(1)), "k")
-    return j.select("n_test", (F.abs(F.col("accuracy") - F.col("right") / F.col("all")) < 1e-12).alias("matches_matrix"),
-                    (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-12).alias("error_is_rest"))
+        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right")).first()
+    return ml.evaluate(model, test).select(
+        "n_test", (F.abs(F.col("accuracy") - F.lit(m["right"]) / F.lit(m["all"])) < 1e-12).alias("matches_matrix"),
+        (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-12).alias("error_is_rest"))
 
 
 @register("forest_confusion")
@@ -545,10 +543,10 @@ def q_forest_confusion(spark, sf_dir):
 def q_cross_validate(spark, sf_dir):
     """The reference grid (12 maps, 9 distinct) x 4 folds on the training split."""
     _, table = ml.cross_validate(_features(spark, sf_dir))
-    best = table.agg(F.max("avg_accuracy").alias("top"), F.count(F.when(F.col("is_best"), 1)).alias("n_best"))
-    j = table.withColumn("k", F.lit(1)).join(best.withColumn("k", F.lit(1)), "k")
-    return j.select("numTrees", "maxDepth", F.col("avg_accuracy").between(0, 1).alias("is_share"), "n_best",
-                    (~F.col("is_best") | (F.col("avg_accuracy") == F.col("top"))).alias("best_is_top"))
+    best = table.agg(F.max("avg_accuracy").alias("top"), F.count(F.when(F.col("is_best"), 1)).alias("n")).first()
+    return table.select("numTrees", "maxDepth", F.col("avg_accuracy").between(0, 1).alias("is_share"),
+                        F.lit(best["n"]).cast("bigint").alias("n_best"),
+                        (~F.col("is_best") | (F.col("avg_accuracy") == best["top"])).alias("best_is_top"))
 
 
 @register("best_model")
@@ -558,9 +556,9 @@ def q_best_model(spark, sf_dir):
     f = _trained(spark, sf_dir)[0]
     model, _, _, table = ml.train_best(f, materialized=True)
     trees, depth = ml.best_params(model)
-    same = table.filter("is_best").select(((F.col("numTrees") == trees) & (F.col("maxDepth") == depth)).alias("is_best_row"))
-    n = ml.score(model, f).filter(_known_label()).agg(F.count(F.lit(1)).alias("n_scored"))
-    return same.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").drop("k")
+    best = table.filter("is_best").first()
+    return ml.score(model, f).filter(_known_label()).agg(F.count(F.lit(1)).alias("n_scored")).withColumn(
+        "is_best_row", F.lit((best["numTrees"], best["maxDepth"]) == (trees, depth)))
 
 
 @register("feature_importance")
@@ -568,9 +566,8 @@ def q_feature_importance(spark, sf_dir):
     """The 13 model inputs; their importances are shares that sum to 1."""
     _, model, _, _ = _trained(spark, sf_dir)
     i = ml.feature_importance(model)
-    total = i.agg(F.sum("importance").alias("total")).withColumn("k", F.lit(1))
-    return i.withColumn("k", F.lit(1)).join(total, "k").select(
-        "feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"))
+    total = i.agg(F.sum("importance")).first()[0]
+    return i.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 def _prediction_csv(spark, sf_dir):
@@ -676,12 +673,11 @@ def q_evaluate_text_model(spark, sf_dir):
     """Held-out accuracy and confusion matrix of the text model, checked
     against each other."""
     _, pred = _text_model(spark, sf_dir)
-    acc = ml.accuracy_table(pred, "label", "prediction").withColumn("k", F.lit(1))
     m = ml.confusion_matrix(pred, "label", "prediction").agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right"))
-    j = acc.join(m.withColumn("k", F.lit(1)), "k")
-    return j.select((F.abs(F.col("accuracy") - F.col("right") / F.col("all")) < 1e-12).alias("matches_matrix"),
-                    (F.col("n") == F.col("all")).alias("covers_all"))
+        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right")).first()
+    return ml.accuracy_table(pred, "label", "prediction").select(
+        (F.abs(F.col("accuracy") - F.lit(m["right"]) / F.lit(m["all"])) < 1e-12).alias("matches_matrix"),
+        (F.col("n") == F.lit(m["all"])).alias("covers_all"))
 
 
 # ------------------------------------------------------------ streaming
