@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from botsift.operators import dedupe
 from botsift.operators import features as fx
-from botsift.sources.labelled import LISTED_USED, dedupe_accounts
+from botsift.sources.labelled import LISTED_USED, dedupe_accounts, first_listed
 
 
 def resolve_users(accounts: DataFrame, users: DataFrame) -> DataFrame:
@@ -48,13 +48,13 @@ def effective_labels(users: DataFrame, overrides: DataFrame) -> DataFrame:
 def training_statuses(accounts: DataFrame, statuses: DataFrame, n: int = LISTED_USED) -> DataFrame:
     """The first n listed posts of each labelled account, resolved to posts.
 
-    slice() before explode keeps at most n ids per account; posts that do not
-    exist drop in the inner join.  As in the reference's maps, the last line
+    At most n ids per account are exploded; posts that do not exist drop in
+    the inner join.  As in the reference's maps, the last line
     of an account counts, and a post that several accounts list belongs to
     the one that lists it last.  ``accounts`` carries ``line``, the file order.
     """
-    listed = dedupe_accounts(accounts, keep_line=True).select(
-        "user_id", "label", "line", F.posexplode(F.slice("status_ids", 1, n)).alias("position", "status_id")
+    listed = first_listed(dedupe_accounts(accounts, keep_line=True), n).select(
+        "user_id", "label", "line", F.posexplode("status_ids").alias("position", "status_id")
     ).filter(F.col("status_id").isNotNull())
     listed = dedupe.last_wins(listed.withColumn("_put", F.struct("line", "position")), "status_id", "_put")
     s = statuses.select("status_id", F.col("user_id").alias("author_id"), "created_ms", "source")
