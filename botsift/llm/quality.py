@@ -19,9 +19,8 @@ worker remembers the tokens of the words it has met.
 from __future__ import annotations
 
 import base64
-import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,20 +60,19 @@ BANDS = {
     "other": (0.3, 10.0, 0.2, 12.0, 0.90, 0.30),
 }
 
-# Letters that tell a script (fixed Unicode ranges).
+# Letters that tell a script (fixed Unicode ranges, ends included).
 _SCRIPTS = {
-    "latin": re.compile("[A-Za-zÀ-ɏ]"),
-    "cyrillic": re.compile("[Ѐ-ӿ]"),
-    "greek": re.compile("[Ͱ-Ͽ]"),
-    "han": re.compile("[぀-ヿ㐀-䶿一-鿿]"),
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)),
+    "cyrillic": ((0x400, 0x4FF),),
+    "greek": ((0x370, 0x3FF),),
+    "han": ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
 }
 
 
 def script_of(text: str) -> str:
     """The script with most letters in the text, 'other' without any."""
-    if text.isascii():
-        return "latin" if _SCRIPTS["latin"].search(text) else "other"
-    n = {k: sum(1 for _ in p.finditer(text)) for k, p in _SCRIPTS.items()}
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    n = {k: sum(int(((c >= a) & (c <= b)).sum()) for a, b in v) for k, v in _SCRIPTS.items()}
     best = max(n, key=lambda k: n[k])
     return best if n[best] else "other"
 
@@ -109,8 +107,12 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-class _Tokens(dict):
-    """word -> (piece ids, byte-fallback pieces, byte-level tokens)."""
+class _Tokens:
+    """The tokens of words under both vocabularies.
+
+    The first CACHE_WORDS words met are remembered as rows of flat arrays;
+    later ones are tokenised as they come, all of a text at once.
+    """
 
     def __init__(self, pieces: bytes, ranks: bytes):
         import sentencepiece
@@ -120,33 +122,57 @@ class _Tokens(dict):
         self.bytes_from = next(i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i))
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.level = tiktoken.Encoding("byte-level", pat_str=WORD_PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def __missing__(self, word: bytes):
-        text = word.decode("utf-8", "replace")
-        ids = np.array(self.pieces.encode(text), dtype=np.int32)
-        fallback = int(((ids >= self.bytes_from) & (ids < self.bytes_from + 256)).sum())
-        got = (ids, fallback, len(self.level.encode_ordinary(" " + text)))
-        if len(self) < CACHE_WORDS:
-            self[word] = got
-        return got
+        self.row: dict[bytes, int] = {}
+        self.start, self.n, self.n_level = (np.zeros(CACHE_WORDS, dtype=np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(4 * CACHE_WORDS, dtype=np.int32), 0
+
+    def _tokenise(self, words: list[bytes]) -> tuple[np.ndarray, int]:
+        ids, level = [], 0
+        for i in range(0, len(words), 5000):
+            text = b" ".join(words[i:i + 5000]).decode("utf-8", "replace")
+            ids += self.pieces.encode(text)
+            level += len(self.level.encode_ordinary(" " + text))
+        return np.array(ids, dtype=np.int32), level
+
+    def _remember(self, words: set[bytes]) -> None:
+        for word in words:
+            row = len(self.row)
+            if row >= CACHE_WORDS:
+                return
+            ids, level = self._tokenise([word])
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), dtype=np.int32)])
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.start[row], self.n[row], self.n_level[row] = self.used, len(ids), level
+            self.used += len(ids)
+            self.row[word] = row
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pieces of the words, how often each row of them counts, and the
+        number of byte-level tokens."""
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if (rows < 0).any() and len(self.row) < CACHE_WORDS:
+            self._remember({words[i] for i in np.flatnonzero(rows < 0)})
+            rows = np.fromiter(map(self.row.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        more, level = self._tokenise([words[i] for i in np.flatnonzero(rows < 0)])
+        u, times = np.unique(rows[rows >= 0], return_counts=True)
+        n = self.n[u]
+        at = np.arange(n.sum()) + np.repeat(self.start[u] - (np.cumsum(n) - n), n)
+        return (np.concatenate([self.ids[at], more]), np.concatenate([np.repeat(times, n), np.ones(len(more), dtype=np.int64)]),
+                level + int((self.n_level[u] * times).sum()))
 
 
 def fertility(words: list[bytes], tokens: _Tokens) -> tuple[int, int, int, float]:
     """Pieces, byte-fallback pieces, byte-level tokens, entropy of the pieces."""
     if not words:
         return 0, 0, 0, 0.0
-    counts = Counter(words)
-    got = [tokens[w] for w in counts]
-    times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    sizes = np.fromiter((len(g[0]) for g in got), dtype=np.int64, count=len(got))
-    fall = np.fromiter((g[1] for g in got), dtype=np.int64, count=len(got))
-    level = np.fromiter((g[2] for g in got), dtype=np.int64, count=len(got))
-    ids = np.concatenate([g[0] for g in got])
-    per_id = np.bincount(ids, weights=np.repeat(times, sizes))
+    ids, times, level = tokens.of(words)
+    fallback = (ids >= tokens.bytes_from) & (ids < tokens.bytes_from + 256)
+    per_id = np.bincount(ids, weights=times)
     p = per_id[per_id > 0]
     n = p.sum()
     entropy = float(np.log2(n) - (p * np.log2(p)).sum() / n) if n else 0.0
-    return int((sizes * times).sum()), int((fall * times).sum()), int((level * times).sum()), entropy
+    return int(n), int(times[fallback].sum()), level, entropy
 
 
 def measure(docs: DataFrame, vocabularies: str = VOCABULARIES, keep: list[str] | None = None) -> DataFrame:
