@@ -30,10 +30,11 @@ ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x0F0F69C3A5964B2D, 0x35C9D2B87E14C699)
 def shared_buckets(keyed: DataFrame) -> DataFrame:
     """The rows (key, node, n) of buckets with two nodes or more, with the
     bucket's centres; written to the shared folder."""
+    many = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    rows = materialize(keyed.join(many.select("key"), "key"), "bucket-rows")  # few, as most buckets have one node
     centre = lambda x: F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x))
-    low = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                   F.array(*[centre(x) for x in ORDERS]).alias("centres")).filter("lo < hi")
-    return materialize(keyed.join(low.select("key", "centres"), "key"), "buckets")
+    centres = rows.groupBy("key").agg(F.array(*[centre(x) for x in ORDERS]).alias("centres"))
+    return materialize(rows.join(centres, "key"), "buckets")
 
 
 def _prune(open_: DataFrame, elements: DataFrame, percent: int) -> DataFrame:

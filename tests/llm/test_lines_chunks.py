@@ -16,7 +16,7 @@ def brute_lines(rows):
     at = []
     for r in rows:
         for n, line in enumerate((r[1] or "").split("\n")):
-            line = re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", line)
+            line = line.strip(" \t\v\f\r")
             if line:
                 at.append((r[0], n, line))
     sets = {x[2]: line_set(x[2]) for x in at}
