@@ -79,12 +79,16 @@ def fit_text_model(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, bins: int =
     """Trigram model of every language in ``docs`` (doc_id, lang, text).
 
     The sample is the ``per_lang`` documents of each language with the
-    smallest hash; Spark limits each map task to as many before it shuffles
-    the ids.  The driver gets one count per language and bin.
+    smallest hash.  Only hashes below a bound that the language's number of
+    documents sets are ranked, so a frequent language is never sorted whole.
+    The driver gets one count per language and bin.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn(
-        "rank", rank).filter(F.col("rank") <= per_lang).select("doc_id", F.lower("lang").alias("_lang"))
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", F.lower("lang").alias("_lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    n = materialize(known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    near = known.join(n, "_lang").filter(F.col("h") < F.lit(2.0 * per_lang * (1 << 40)) / F.col("n") + F.lit(1.0))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "doc_id"))
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("doc_id", "_lang")
     ids = materialize(ids, "language-sample")
     sample = docs.select("doc_id", "text").join(ids, "doc_id").select("_lang", "text")
 
