@@ -89,9 +89,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES_
     large = F.col("bytes") * (2 * shards) > total    # is cut into pieces; at most 2 * shards groups are
     pieces = F.ceil(F.col("bytes") * n / F.lit(float(max(total, 1)))).cast("int")
 
-    # pieces of the cut groups: their rows are dealt by a hash of the row
+    # pieces of the cut groups (fewer than 2 * shards): their rows are dealt by a hash of the row
     cut = groups.filter(large & ~small).select("g1", "g2", pieces.alias("pieces"))
-    cut_rows = meta.join(cut, ["g1", "g2"]).groupBy("g1", "g2", F.pmod("r", "pieces").cast("int").alias("piece")).agg(
+    cut_rows = meta.join(F.broadcast(cut), ["g1", "g2"]).groupBy("g1", "g2", F.pmod("r", "pieces").cast("int").alias("piece")).agg(
         F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     whole = groups.filter(~large & ~small).withColumn("piece", F.lit(0))
     bundled = groups.filter(small).groupBy(F.pmod("g1", F.lit(n)).alias("g1")).agg(
