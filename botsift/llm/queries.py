@@ -252,3 +252,40 @@ def q_op8(spark, sf_dir):
     from botsift.llm.linededup import fuzzy_lines
 
     return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+h AS (
+  SELECT doc_id, t, us, CAST(len(us) AS BIGINT) AS n, CAST('0x' || substr(hx, 1, 8) AS BIGINT) AS h1,
+         CAST('0x' || substr(hx, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(hx, 17, 8) AS BIGINT) AS h3,
+         CAST('0x' || substr(hx, 25, 8) AS BIGINT) AS h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(us[1 : lo], '') AS pre, array_to_string(us[lo + 1 : hi], '') AS mid,
+         array_to_string(us[hi + 1 : n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@register("op13_fill_in_middle", OP13_SQL)
+def q_op13(spark, sf_dir):
+    """Every document as a fill-in-the-middle training text, and rebuilt from it."""
+    from pyspark.sql import functions as F
+
+    from botsift.llm.fim import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
