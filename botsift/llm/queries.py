@@ -289,3 +289,13 @@ def q_op13(spark, sf_dir):
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_conv_toxicity")
+def q_op12(spark, sf_dir):
+    """Toxicity score of every document, by a classifier fitted on labelled ones."""
+    from botsift.llm.toxicity import fit, held_out, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    s = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return s.select("_row.doc_id", held_out(s["_row.doc_id"]).alias("held_out"), "score", "predicted", "threshold", "flagged")
