@@ -299,3 +299,46 @@ def q_op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     s = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return s.select("_row.doc_id", held_out(s["_row.doc_id"]).alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM k GROUP BY lang),
+g AS (
+  SELECT x.lang, x.source, coalesce(v.v, 0) AS v, coalesce(v.n, 0) + 2 * coalesce(v.v, 0) AS lang_total,
+         coalesce(s.n, 0) + 2 * coalesce(v.v, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v ON v.lang = x.lang
+  LEFT JOIN (SELECT c.lang, c.source, CAST(sum(c.n) AS HUGEINT) AS n FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL) s
+  ON s.lang = x.lang AND s.source = x.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // g.total AS HUGEINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // g.lang_total AS HUGEINT) AS q
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def q_op11(spark, sf_dir):
+    """How far the sources of each language lie apart, and their telling terms."""
+    from botsift.llm.divergence import divergence_audit
+
+    return divergence_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
