@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from botsift import schemas
 from botsift.operators import features as fx
 from botsift.operators import model as ml
+from botsift.operators.forest import Forest
 from botsift.operators.resolve import posts_of
 
 
-def classify(model: PipelineModel, ids: DataFrame, users: DataFrame, statuses: DataFrame,
+def classify(model: PipelineModel | Forest, ids: DataFrame, users: DataFrame, statuses: DataFrame,
              stored: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """One row per requested id (column ``user_id``, repeats count once):
     id, state, predictedLabel, probability and the account's feature row.
@@ -30,6 +31,7 @@ def classify(model: PipelineModel, ids: DataFrame, users: DataFrame, statuses: D
     if stored is not None:
         old = stored.join(want.withColumnRenamed("user_id", "id"), "id", "left_semi")
         feats = feats.unionByName(old.select(*cols).withColumn("state", F.lit("stored")))
-    scored = ml.score(model, feats, keep=[c for c in feats.columns if c != "id"]).drop("prediction")
+    keep = [c for c in feats.columns if c != "id"]
+    scored = model.score(feats, keep) if isinstance(model, Forest) else ml.score(model, feats, keep).drop("prediction")
     return want.withColumnRenamed("user_id", "id").join(scored, "id", "left").withColumn(
         "state", F.coalesce("state", F.lit("missing")))

@@ -131,6 +131,18 @@ def confusion_matrix(pred: DataFrame, label_col: str = "label", pred_col: str =
     )
 
 
+def misclassified(pred: DataFrame, label_col: str = "label", pred_col: str = "predictedLabel") -> DataFrame:
+    """The labelled rows whose prediction is another label."""
+    return pred.filter(F.col(label_col) != F.col(pred_col))
+
+
+def fold(id_col: str, folds: int):
+    """The row's cross-validation fold, from an md5 of its id (independent
+    of the train/test assignment and of partitioning)."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("fold|"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return (h % folds).cast("int")
+
+
 def param_grid(rf: RandomForestClassifier, num_trees=GRID_NUM_TREES, max_depth=GRID_MAX_DEPTH):
     """The reference grid with duplicates removed (the default depth, 5,
     appears twice, so 12 maps collapse to 9)."""
@@ -140,18 +152,22 @@ def param_grid(rf: RandomForestClassifier, num_trees=GRID_NUM_TREES, max_depth=G
 
 
 def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID_MAX_DEPTH,
-                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED, materialized: bool = False):
-    """k-fold grid search on the training split; returns (cv model, table of
-    (numTrees, maxDepth, avg accuracy, is_best))."""
+                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED, materialized: bool = False,
+                   keep_models: bool = False):
+    """k-fold grid search on the training split, with folds that depend on
+    the ids alone (``fold``); returns (cv model, table of (numTrees,
+    maxDepth, avg accuracy, is_best)).  ``keep_models`` keeps every fold's
+    forests, for ``out_of_fold``."""
     if not materialized:
         features = materialize(features, "features")
     train, _ = split(features)
+    train = train.withColumn("fold", fold("id", folds))
     pipe, rf = forest_pipeline(features, train, seed=seed)
     grid = param_grid(rf, num_trees, max_depth)
     ev = MulticlassClassificationEvaluator(labelCol="indexedLabel", predictionCol="prediction",
                                            metricName="accuracy")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        parallelism=parallelism, seed=seed)
+                        foldCol="fold", parallelism=parallelism, seed=seed, collectSubModels=keep_models)
     cvm = cv.fit(train)
     best = max(range(len(grid)), key=lambda i: cvm.avgMetrics[i])
     rows = [
@@ -164,6 +180,23 @@ def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID
     return cvm, table
 
 
+def out_of_fold(cvm, train: DataFrame, folds: int = NUM_FOLDS) -> DataFrame:
+    """(id, fold, numTrees, maxDepth, label, predictedLabel): every training
+    row as the forests that were not fitted on its fold predict it, for each
+    point of the grid.  Needs a search with ``keep_models``."""
+    rows = train.withColumn("fold", fold("id", folds))
+    parts = []
+    for i, models in enumerate(cvm.subModels):
+        for m in models:
+            trees, depth = best_params(m)
+            parts.append(m.transform(rows.filter(F.col("fold") == i)).select(
+                "id", "fold", F.lit(trees).alias("numTrees"), F.lit(depth).alias("maxDepth"), "label", "predictedLabel"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def train_best(features: DataFrame, materialized: bool = False, **grid) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
     """Grid search as the reference trains: cross-validation on the training
     split, the best forest refitted on all of it.  Returns (model, train,

@@ -12,6 +12,8 @@ integer sums; decimal literals are cast to DOUBLE.
 
 from __future__ import annotations
 
+import math
+
 USERS = """
 users AS (
   SELECT c.c_custkey AS user_id,
@@ -448,38 +450,135 @@ SELECT *, CASE WHEN id IN (SELECT user_id FROM statuses
 FROM feat"""
 
 # ------------------------------------------------------------ models
-# What a model must satisfy whatever it has learnt: who is scored, which rows
-# are held out, totals, and relations between its outputs (as booleans).
 SPLIT = """
 split AS (
   SELECT user_id AS id, label,
          CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000000 >= 600000 AS test
   FROM users)"""
 
-_SCORED = with_(USERS) + "SELECT user_id AS id, true AS labelled, true AS likelier FROM users"
+
+def forest_sql(trees: int, depth: int, bins: int = 32, per_node: int = 4, seed: int = 207325481) -> list[str]:
+    """CTEs that train a forest on the training split, level by level, and
+    score every account with it: ``nodes``, ``leaf`` (account, tree, votes)
+    and ``pred`` (id, label, test, predictedLabel, probability)."""
+    poisson = [math.floor(2**52 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+    draw = f"CAST('0x' || substr(md5('{seed}|' || t || '|' || id), 1, 13) AS BIGINT)"
+    weight = " + ".join(f"CASE WHEN u >= {k} THEN 1 ELSE 0 END" for k in poisson)
+    unpivot = "\n  UNION ALL\n".join(
+        f"  SELECT id, label, test, {i} AS slot, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM fv"
+        for i, n in enumerate(MODEL_SLOTS))
+    out = [f"""
+fs AS MATERIALIZED (SELECT f.*, s.test FROM feat f JOIN split s ON s.id = f.id)""", """
+dv AS (SELECT mainDevice, CAST(row_number() OVER (ORDER BY count(*) DESC, mainDevice) - 1 AS DOUBLE) AS code
+       FROM fs WHERE NOT test GROUP BY mainDevice)""", """
+fv AS (SELECT fs.*, coalesce(dv.code, (SELECT CAST(count(*) AS DOUBLE) FROM dv)) AS indexedMainDevice
+       FROM fs LEFT JOIN dv ON dv.mainDevice = fs.mainDevice)""", f"""
+sl AS MATERIALIZED (
+{unpivot})""", f"""
+bn AS MATERIALIZED (
+  SELECT slot, value, dense_rank() OVER (PARTITION BY slot ORDER BY part) - 1 AS bin, max(value) OVER (PARTITION BY slot, part) AS edge
+  FROM (SELECT slot, value, CAST(before * {bins} // (SELECT count(*) FROM fs WHERE NOT test) AS BIGINT) AS part
+        FROM (SELECT slot, value, sum(count(*)) OVER (PARTITION BY slot ORDER BY value) - count(*) AS before
+              FROM sl WHERE NOT test GROUP BY slot, value) c) p)""", """
+tb AS MATERIALIZED (SELECT sl.id, sl.slot, bn.bin FROM sl JOIN bn ON bn.slot = sl.slot AND bn.value = sl.value WHERE NOT test)""", f"""
+r0 AS MATERIALIZED (
+  SELECT id, label = 'bot' AS y, t AS tree, CAST(1 AS BIGINT) AS node, {weight} AS w
+  FROM (SELECT id, label, t, {draw} AS u FROM fs, (SELECT unnest(range({trees})) AS t) x WHERE NOT test) d
+  WHERE {weight} > 0)"""]
+    gini = "(1.0::DOUBLE - ({0} * {0} + {1} * {1}) / ({2} * {2}))".format
+    for d in range(depth + 1):
+        out.append(f"""
+l{d} AS MATERIALIZED (SELECT tree, node, CAST(sum(CASE WHEN y THEN 0 ELSE w END) AS DOUBLE) AS h,
+              CAST(sum(CASE WHEN y THEN w ELSE 0 END) AS DOUBLE) AS b FROM r{d} GROUP BY tree, node)""")
+        if d == depth:
+            break
+        out.append(f"""
+m{d} AS (SELECT tree, node, slot FROM (
+           SELECT tree, node, slot, row_number() OVER (
+             PARTITION BY tree, node ORDER BY md5('{seed}|' || tree || '|' || node || '|' || slot)) AS k
+           FROM l{d}, (SELECT unnest(range({len(MODEL_SLOTS)})) AS slot) s WHERE h > 0 AND b > 0) x WHERE k <= {per_node})""")
+        out.append(f"""
+c{d} AS MATERIALIZED (
+  SELECT tree, node, slot, bin, h, b, CAST(sum(bh) OVER o AS DOUBLE) AS lh, CAST(sum(bb) OVER o AS DOUBLE) AS lb
+  FROM (SELECT r.tree, r.node, tb.slot, tb.bin, sum(CASE WHEN y THEN 0 ELSE w END) AS bh, sum(CASE WHEN y THEN w ELSE 0 END) AS bb
+        FROM r{d} r JOIN m{d} m ON m.tree = r.tree AND m.node = r.node JOIN tb ON tb.id = r.id AND tb.slot = m.slot
+        GROUP BY r.tree, r.node, tb.slot, tb.bin) g JOIN l{d} l USING (tree, node)
+  WINDOW o AS (PARTITION BY tree, node, slot ORDER BY bin))""")
+        out.append(f"""
+s{d} AS MATERIALIZED (
+  SELECT * FROM (SELECT tree, node, slot, bin, {gini('h', 'b', '(h + b)')} - ((lh + lb) * {gini('lh', 'lb', '(lh + lb)')}
+                        + (h - lh + (b - lb)) * {gini('(h - lh)', '(b - lb)', '(h - lh + (b - lb))')}) / (h + b) AS gain
+                 FROM c{d} WHERE h - lh + (b - lb) > 0) x
+  WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, slot, bin) = 1)""")
+        out.append(f"""
+r{d + 1} AS MATERIALIZED (
+  SELECT r.id, r.y, r.tree, 2 * r.node + CASE WHEN tb.bin > s.bin THEN 1 ELSE 0 END AS node, r.w
+  FROM r{d} r JOIN s{d} s ON s.tree = r.tree AND s.node = r.node JOIN tb ON tb.id = r.id AND tb.slot = s.slot)""")
+    out.append("\nnodes AS MATERIALIZED (\n" + "\n  UNION ALL\n".join(
+        f"  SELECT l.tree, l.node, {d} AS depth, l.h, l.b, " + (
+            f"s.slot, e.edge, s.gain FROM l{d} l LEFT JOIN s{d} s ON s.tree = l.tree AND s.node = l.node "
+            f"LEFT JOIN (SELECT DISTINCT slot, bin, edge FROM bn) e ON e.slot = s.slot AND e.bin = s.bin" if d < depth
+            else f"NULL AS slot, NULL AS edge, NULL AS gain FROM l{d} l") for d in range(depth + 1)) + ")")
+    step, last = "SELECT id, tree, CAST(1 AS BIGINT) AS node FROM fs, (SELECT DISTINCT tree FROM nodes) t", "at0"
+    out.append(f"\nat0 AS MATERIALIZED ({step})")
+    for d in range(depth):
+        last = f"at{d + 1}"
+        out.append(f"""
+{last} AS MATERIALIZED (
+  SELECT a.id, a.tree, CASE WHEN n.slot IS NULL THEN a.node WHEN sl.value <= n.edge THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
+  FROM at{d} a JOIN nodes n ON n.tree = a.tree AND n.node = a.node LEFT JOIN sl ON sl.id = a.id AND sl.slot = n.slot)""")
+    out.append(f"""
+votes AS (
+  SELECT a.id, sum(CAST(floor(h / (h + b) * 1000000000000) AS BIGINT)) AS vh, sum(CAST(floor(b / (h + b) * 1000000000000) AS BIGINT)) AS vb
+  FROM {last} a JOIN nodes n ON n.tree = a.tree AND n.node = a.node GROUP BY a.id)""")
+    out.append("""
+pred AS (
+  SELECT fs.id, fs.label, fs.test, CASE WHEN vb > vh THEN 'bot' ELSE 'human' END AS predictedLabel,
+         round(CAST(greatest(vh, vb) AS DOUBLE) / CAST(vh + vb AS DOUBLE), 9) AS probability
+  FROM fs JOIN votes ON votes.id = fs.id)""")
+    return out
+
+
+FOREST = with_(*_FEAT, SPLIT, *forest_sql(8, 4))
+_SCORED = FOREST + "SELECT id, predictedLabel, probability FROM pred"
 
 SQL.update({
     "train_forest": "SELECT CAST(unnest(range(20)) AS INTEGER) AS tree, CAST(1 AS DOUBLE) AS weight, true AS sound",
+    "grow_forest": FOREST + """
+SELECT CAST(tree AS INTEGER) AS tree, node, CAST(depth AS INTEGER) AS depth, f.feature, edge AS threshold,
+       CAST(h AS BIGINT) AS n_human, CAST(b AS BIGINT) AS n_bot, round(gain, 9) AS gain
+FROM nodes LEFT JOIN (SELECT DISTINCT slot, feature FROM sl) f ON f.slot = nodes.slot""",
+    "ml_forest_walk": with_(USERS) + "SELECT user_id AS id, true AS same FROM users",
+    "cv_folds": with_(USERS, SPLIT) + """
+SELECT id, CAST(CAST('0x' || substr(md5('fold|' || id), 1, 8) AS BIGINT) % 4 AS INTEGER) AS fold FROM split WHERE NOT test""",
     "score_users": _SCORED,
     "stream_score": _SCORED,
-    "evaluate_forest": with_(USERS, SPLIT) + """
-SELECT count(*) AS n_test, true AS matches_matrix, true AS error_is_rest FROM split WHERE test""",
-    "forest_confusion": with_(USERS, SPLIT) + """
-SELECT label, count(*) AS n, true AS labelled FROM split WHERE test GROUP BY label""",
+    "evaluate_forest": FOREST + """
+SELECT round(avg(CASE WHEN label = predictedLabel THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy,
+       round(1 - avg(CASE WHEN label = predictedLabel THEN 1.0::DOUBLE ELSE 0 END), 9) AS test_error, count(*) AS n_test
+FROM pred WHERE test""",
+    "forest_confusion": FOREST + """
+SELECT label, predictedLabel AS prediction, count(*) AS n FROM pred WHERE test GROUP BY label, predictedLabel""",
     "cross_validate": """
 SELECT t AS "numTrees", d AS "maxDepth", true AS is_share, CAST(1 AS BIGINT) AS n_best, true AS best_is_top
 FROM (SELECT unnest([10, 100, 1]) AS t) CROSS JOIN (SELECT unnest([5, 10, 1]) AS d)""",
     "best_model": with_(USERS) + "SELECT true AS is_best_row, count(*) AS n_scored FROM users",
-    "feature_importance": "SELECT unnest([" + ", ".join(f"'{x}'" for x in MODEL_SLOTS)
-    + "]) AS feature, true AS is_share, true AS sums_to_one",
-    "prediction_table": with_(USERS, SPLIT) + "SELECT id, label, true AS labelled FROM split WHERE test",
-    "misclassified": with_(USERS, SPLIT) + """
-SELECT label, count(*) AS n, count(*) AS n_ids FROM split WHERE test GROUP BY label""",
-    "classify_users": with_(*_FEAT, REQ) + """
+    "feature_importance": FOREST + """,
+g AS (SELECT tree, slot, sum(gain * (h + b)) AS g FROM nodes WHERE slot IS NOT NULL GROUP BY tree, slot),
+sh AS (SELECT slot, sum(g / a) AS share FROM (SELECT *, sum(g) OVER (PARTITION BY tree) AS a FROM g) x GROUP BY slot)
+SELECT f.feature, round(coalesce(share / (SELECT sum(share) FROM sh), 0), 9) AS importance
+FROM (SELECT DISTINCT slot, feature FROM sl) f LEFT JOIN sh ON sh.slot = f.slot""",
+    "prediction_table": FOREST + "SELECT id, predictedLabel, label FROM pred WHERE test",
+    "misclassified": FOREST + "SELECT id, label, predictedLabel, probability FROM pred WHERE test AND label <> predictedLabel",
+    "corrected_misclassified": with_(*_FEAT, SPLIT, *forest_sql(8, 4), EVENTS) + """
+SELECT p.id, coalesce(c.label, p.label) AS label, CASE WHEN c.label IS NOT NULL THEN 'override' ELSE 'file' END AS label_source,
+       predictedLabel, probability
+FROM pred p LEFT JOIN cur c ON c.user_id = p.id WHERE test AND coalesce(c.label, p.label) <> predictedLabel""",
+    "classify_users": with_(*_FEAT, SPLIT, *forest_sql(8, 4), REQ) + """
 SELECT r.user_id AS id, CASE WHEN NOT acct THEN 'missing' WHEN first_pass THEN 'stored' ELSE 'computed' END AS state,
-       CASE WHEN acct THEN true END AS labelled, f.meanIA, f.tweetRate, f.maxTweetRate, f.followerRatio, f.urlRatio,
+       p.predictedLabel, p.probability, f.meanIA, f.tweetRate, f.maxTweetRate, f.followerRatio, f.urlRatio,
        f.mainDevice, f.mainDeviceCount
-FROM reqa r LEFT JOIN feat f ON f.id = r.user_id""",
+FROM reqa r LEFT JOIN feat f ON f.id = r.user_id LEFT JOIN pred p ON p.id = r.user_id""",
     "correct_profiles": with_(USERS, REQ, EVENTS) + """,
 v2 AS (SELECT c.user_id, CASE WHEN u.user_id IS NOT NULL THEN 'found' ELSE 'missing' END AS state,
               CASE WHEN u.user_id IS NOT NULL THEN c.label END AS label, CAST(2 AS BIGINT) AS version

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from botsift import schemas
 from botsift.operators import model as ml
+from botsift.operators.forest import Forest
 
 
 def start_scoring(spark: SparkSession, model_path: str, source_dir: str, out_dir: str,
@@ -25,6 +26,26 @@ def start_scoring(spark: SparkSession, model_path: str, source_dir: str, out_dir
     return w.start()
 
 
+def start_walk(spark: SparkSession, forest: Forest, source_dir: str, out_dir: str, checkpoint: str, available_now: bool = True):
+    """Scoring by walking a forest's node table.  Its last step gathers the
+    trees' votes of an account, so every micro-batch is scored as a table
+    and written to a directory of its own, which a replay replaces."""
+    feats = spark.readStream.schema(schemas.FEATURES).option("maxFilesPerTrigger", 1).parquet(source_dir)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        forest.score(batch).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    w = feats.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def run_walk_once(spark: SparkSession, forest: Forest, features: DataFrame, root: str) -> DataFrame:
+    features.select(*schemas.FEATURES.fieldNames()).repartition(4).write.mode("overwrite").parquet(f"{root}/in")
+    start_walk(spark, forest, f"{root}/in", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
 def run_once(spark: SparkSession, model_path: str, features: DataFrame, root: str) -> DataFrame:
     src, out, ckpt = f"{root}/in", f"{root}/out", f"{root}/checkpoint"
     features.select(*schemas.FEATURES.fieldNames()).repartition(4).write.mode("overwrite").parquet(src)

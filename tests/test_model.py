@@ -92,3 +92,22 @@ def test_search_keeps_the_best_forest(trained):
     assert ml.best_params(model) == (best["numTrees"], best["maxDepth"])
     assert table.count() == 4 and best["avg_accuracy"] == max(r["avg_accuracy"] for r in table.collect())
     assert train.count() + test.count() == f.count()
+
+
+def test_folds_and_out_of_fold_predictions(trained):
+    """Metrics recomputed from the kept out-of-fold predictions equal the
+    search's own; folds do not depend on partitioning."""
+    import hashlib
+
+    f, _, _, _ = trained
+    cvm, table = ml.cross_validate(f, num_trees=(2,), max_depth=(1, 2), folds=3, keep_models=True)
+    train, _ = ml.split(f)
+    oof = ml.out_of_fold(cvm, train, folds=3)
+    rows = oof.collect()
+    want = {r["id"]: int(hashlib.md5(f"fold|{r['id']}".encode()).hexdigest()[:8], 16) % 3 for r in train.select("id").collect()}
+    assert len(rows) == 2 * len(want) and all(want[r["id"]] == r["fold"] for r in rows)
+    for t in table.collect():
+        own = [r for r in rows if (r["numTrees"], r["maxDepth"]) == (t["numTrees"], t["maxDepth"])]
+        acc = [[r["label"] == r["predictedLabel"] for r in own if r["fold"] == k] for k in range(3)]
+        assert abs(sum(sum(a) / len(a) for a in acc) / 3 - t["avg_accuracy"]) < 1e-12
+    assert sorted(map(tuple, ml.split(f.repartition(9))[0].select("id", ml.fold("id", 3)).collect())) == sorted(want.items())
