@@ -592,10 +592,50 @@ w AS (SELECT status_id, label, len(string_split_regex(regexp_replace(lower(text)
 SELECT status_id, label, CAST(n AS BIGINT) AS n_terms, CAST(20 AS INTEGER) AS n_buckets, CAST(n AS DOUBLE) AS tf_total
 FROM w""",
     "train_text_model": "SELECT label, count(*) AS n, true AS sound FROM (" + SQL["labelled_statuses"] + ") x GROUP BY label",
-    "evaluate_text_model": "SELECT true AS matches_matrix, true AS covers_all",
     "retrain_with_corrections": with_(USERS, LINES, EVENTS) + """
 SELECT l.user_id AS id, coalesce(c.label, l.label) AS label,
        CASE WHEN c.label IS NOT NULL THEN 'override' ELSE 'file' END AS label_source, true AS labelled
 FROM final_lines l JOIN users u ON u.user_id = l.user_id LEFT JOIN cur c ON c.user_id = l.user_id
 WHERE l.m NOT IN (3, 7, 9)""",
 })
+
+# Naive Bayes: terms, parameters and predictions from the same split, in one chain of aggregates.
+BAYES = ("WITH lab AS MATERIALIZED (" + SQL["labelled_statuses"] + "),\n" + f"""
+tr AS (SELECT *, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 1000000 < 600000 AS train FROM lab),
+tok AS (SELECT url, label, train, {_tokens('statusText')} AS token FROM tr),
+tb AS MATERIALIZED (SELECT url, label, train, CAST(CAST('0x' || substr(md5(token), 1, 13) AS BIGINT) % 20 AS INTEGER) AS bucket, count(*) AS n
+       FROM tok GROUP BY ALL),
+pri AS (SELECT label, ln(CAST(count(*) AS DOUBLE) + 1)
+               - ln(CAST((SELECT count(*) FROM tr WHERE train) AS DOUBLE) + (SELECT count(DISTINCT label) FROM tr WHERE train)) AS log_prior
+        FROM tr WHERE train GROUP BY label),
+bk AS (SELECT CAST(unnest(range(20)) AS INTEGER) AS bucket),
+idf AS (SELECT bk.bucket, ln((CAST((SELECT count(*) FROM tr WHERE train) AS DOUBLE) + 1) / (CAST(count(tb.url) AS DOUBLE) + 1)) AS idf
+        FROM bk LEFT JOIN tb ON tb.bucket = bk.bucket AND tb.train GROUP BY bk.bucket),
+w AS (SELECT p.label, i.bucket, i.idf, CAST(coalesce(s.tf, 0) AS DOUBLE) * i.idf AS w
+      FROM pri p CROSS JOIN idf i LEFT JOIN (SELECT label, bucket, sum(n) AS tf FROM tb WHERE train GROUP BY ALL) s
+      ON s.label = p.label AND s.bucket = i.bucket),
+par AS MATERIALIZED (
+  SELECT w.label, bucket, idf, log_prior, ln(w + 1) - ln(sum(w) OVER (PARTITION BY w.label) + 20) AS log_likelihood
+  FROM w JOIN pri ON pri.label = w.label),
+sc AS (SELECT t.url, t.label, p.label AS class, p.log_prior + coalesce(x.s, 0) AS score
+       FROM tr t CROSS JOIN pri p
+       LEFT JOIN (SELECT tb.url, tb.label, par.label AS class, sum(n * idf * log_likelihood) AS s
+                  FROM tb JOIN par ON par.bucket = tb.bucket GROUP BY ALL) x
+       ON x.url = t.url AND x.label = t.label AND x.class = p.label WHERE NOT t.train),
+pr AS (SELECT url, label, class AS prediction, 1 / sum(exp(score - top)) OVER (PARTITION BY url, label) AS probability, score, top
+       FROM (SELECT *, max(score) OVER (PARTITION BY url, label) AS top FROM sc) x
+       QUALIFY row_number() OVER (PARTITION BY url, label ORDER BY score DESC, class) = 1)
+""")
+
+SQL.update({
+    "hashed_terms": with_(TEXT) + f"""
+SELECT status_id, label, CAST(CAST('0x' || substr(md5(token), 1, 13) AS BIGINT) % 20 AS INTEGER) AS bucket, count(*) AS n
+FROM (SELECT status_id, label, {_tokens('text')} AS token FROM ts) x GROUP BY ALL""",
+    "text_model_parameters": BAYES + """
+SELECT label, bucket, round(idf, 9) AS idf, round(log_prior, 9) AS log_prior, round(log_likelihood, 9) AS log_likelihood FROM par""",
+    "text_predictions": BAYES + "SELECT url, label, prediction, round(probability, 9) AS probability FROM pr",
+    "evaluate_text_model": BAYES + """
+SELECT label, prediction, count(*) AS n,
+       (SELECT round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 9) FROM pr) AS accuracy
+FROM pr GROUP BY label, prediction""",
+})

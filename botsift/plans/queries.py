@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from botsift import schemas
 from botsift.operators import dedupe, feedback, resolve, spam, text
 from botsift.operators import features as fx
-from botsift.operators import forest
+from botsift.operators import bayes, forest
 from botsift.operators import model as ml
 from botsift.functions.columns import DAY_MS
 from botsift.operators import timeline as tl
@@ -693,10 +693,6 @@ def q_hashing_tf(spark, sf_dir):
                     F.aggregate(tf, F.lit(0.0), lambda a, x: a + x).alias("tf_total"))
 
 
-def _text_model(spark, sf_dir):
-    return text.train_text_model(spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir)))
-
-
 @register("train_text_model")
 def q_train_text_model(spark, sf_dir):
     """Naive Bayes on hashed TF-IDF of the threat-matched posts: training and
@@ -709,16 +705,47 @@ def q_train_text_model(spark, sf_dir):
     return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(sound).alias("sound"))
 
 
+_TEXT_KEYS = ["url", "label"]
+
+
+def _bayes(spark, sf_dir):
+    """Naive Bayes by aggregates on a hashed split of the threat-matched
+    posts; returns (model, held-out rows)."""
+    from botsift.session import materialize
+
+    lab = spam.labelled_statuses(fix.text_statuses(spark, sf_dir), fix.threats(spark, sf_dir))
+    lab = materialize(lab.withColumn("part", ml.split_flag("url")), "labelled-texts")
+    return bayes.fit(lab.filter("part = 'train'"), _TEXT_KEYS), lab.filter("part = 'test'")
+
+
+@register("hashed_terms")
+def q_hashed_terms(spark, sf_dir):
+    """Term occurrences of every labelled post per hash bucket."""
+    return bayes.hashed_terms(fix.labelled_texts(spark, sf_dir), ["status_id", "label"], "text")
+
+
+@register("text_model_parameters")
+def q_text_model_parameters(spark, sf_dir):
+    """All parameters of the Naive Bayes text model."""
+    m, _ = _bayes(spark, sf_dir)
+    x = m.likelihoods.join(m.idf, "bucket").join(m.priors, "label")
+    return x.select("label", "bucket", *[F.round(c, 9).alias(c) for c in ("idf", "log_prior", "log_likelihood")])
+
+
+@register("text_predictions")
+def q_text_predictions(spark, sf_dir):
+    """The text model's answer for every held-out post."""
+    m, test = _bayes(spark, sf_dir)
+    return bayes.predict(m, test, _TEXT_KEYS).select("url", "label", "prediction", F.round("probability", 9).alias("probability"))
+
+
 @register("evaluate_text_model")
 def q_evaluate_text_model(spark, sf_dir):
-    """Held-out accuracy and confusion matrix of the text model, checked
-    against each other."""
-    _, pred = _text_model(spark, sf_dir)
-    m = ml.confusion_matrix(pred, "label", "prediction").agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("right")).first()
-    return ml.accuracy_table(pred, "label", "prediction").select(
-        (F.abs(F.col("accuracy") - F.lit(m["right"]) / F.lit(m["all"])) < 1e-12).alias("matches_matrix"),
-        (F.col("n") == F.lit(m["all"])).alias("covers_all"))
+    """Held-out confusion matrix of the text model, with its accuracy."""
+    m, test = _bayes(spark, sf_dir)
+    cells = ml.confusion_matrix(bayes.predict(m, test, _TEXT_KEYS), "label", "prediction")
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    return cells.withColumn("accuracy", F.round(cells.select((right / F.sum("n"))).scalar(), 9))
 
 
 # ------------------------------------------------------------ streaming
