@@ -443,6 +443,7 @@ FROM slots s LEFT JOIN codes c ON c.slot = s.slot AND c.value = s.value""",
     "model_roundtrip": with_(USERS) + "SELECT user_id AS id, true AS same FROM users",
 })
 
+SQL["features_from_batches"] = USER_FEATURES
 SQL["incremental_refresh"] = with_(*_FEAT) + """
 SELECT *, CASE WHEN id IN (SELECT user_id FROM statuses
                            WHERE created_ms >= (SELECT max(created_ms) FROM statuses) - 86400000)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botsift import schemas
-from botsift.operators import dedupe, feedback, resolve, spam, text
+from botsift.operators import dedupe, feedback, resolve, spam, state, text
 from botsift.operators import features as fx
 from botsift.operators import bayes, forest
 from botsift.operators import model as ml
@@ -405,16 +405,31 @@ def q_feature_reuse(spark, sf_dir):
 
 @register("incremental_refresh")
 def q_incremental_refresh(spark, sf_dir):
-    """Features were stored before the last day of posts arrived; accounts
-    with posts in that day are recomputed, the rest reused."""
+    """Features and state were stored before the last day of posts arrived.
+    That day's posts are added to the state, and the accounts they belong to
+    get new rows from it; no older post is read again."""
     users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
     newest = st.agg(F.max("created_ms")).first()[0]  # computed once; a run would be given its cutoff
-    is_new = F.col("created_ms") >= F.lit(None if newest is None else newest - DAY_MS)
-    earlier = fx.user_features(users, st.filter(~is_new))
+    is_new = F.coalesce(F.col("created_ms") >= F.lit(None if newest is None else newest - DAY_MS), F.lit(False))
+    root = scratch_path(spark, "feature-state")
+    state.append(state.post_state(st.filter(~is_new)), root, 1)
     path = scratch_path(spark, "features-before")
-    earlier.write.mode("overwrite").parquet(path)
+    state.features_of(users, state.read(spark, root)).write.mode("overwrite").parquet(path)
     stored = spark.read.schema(schemas.FEATURES).parquet(path)
-    return resolve.refresh_features(users, st, stored, st.filter(is_new))
+    return state.refresh(users, stored, st.filter(is_new), root, 2)
+
+
+@register("features_from_batches")
+def q_features_from_batches(spark, sf_dir):
+    """All features from the state of posts that arrived in four batches, in
+    no order of time, compacted halfway."""
+    users, st = fix.users(spark, sf_dir), fix.statuses(spark, sf_dir)
+    root = scratch_path(spark, "feature-state")
+    for i in range(4):
+        state.append(state.post_state(st.filter(F.col("status_id") % 4 == i)), root, i + 1)
+        if i == 1:
+            state.compact(spark, root)
+    return state.features_of(users, state.read(spark, root))
 
 
 # ------------------------------------------------------------ spam and text
