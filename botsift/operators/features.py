@@ -1,15 +1,10 @@
 """Behavioural features per account (the feature table).
 
-Two execution paths, same results (a test pins their equality):
-
-* all posts (the default, ``n=None``): algebraic aggregates (count, sum, min,
-  max) with map-side partial combine; the two arg-max style features (main
-  device, busiest time bucket) are two-level aggregates whose first level is
-  keyed by (account, device) / (account, bucket), so a hot account spreads
-  over many tasks;
-* the N newest posts per account (an option): one shuffle by account after a
-  partial per-account limit, then window counts on that partitioning and a
-  single aggregate (``timeline_features``).
+Algebraic aggregates (count, sum, min, max) with map-side partial combine;
+the two arg-max style features (main device, busiest time bucket) are
+two-level aggregates whose first level is keyed by (account, device) /
+(account, bucket), so a hot account spreads over many tasks.  All posts count
+by default; with ``n`` the n newest of an account, for any n.
 
 Sentinels follow the reference exactly (fixed values):
   no posts:            urlRatio, hashtagRatio, mentionRatio, tweetRate, meanIA = -1,
@@ -205,74 +200,15 @@ def profile_features(users: DataFrame, follow_ratio: str = "code") -> DataFrame:
     )
 
 
-def timeline_features(tl_df: DataFrame, bucket: str = "exact") -> DataFrame:
-    """All post features of a *bounded* timeline in a single pass.
-
-    The timeline arrives hash-partitioned by user_id (from the latest-n
-    window).  Device and time-bucket counts are window counts over
-    (user_id, source) and (user_id, bucket) -- local sorts on the existing
-    partitioning, no extra shuffle -- and one aggregate by user_id then
-    produces every feature.  Only valid when rows per account are bounded
-    (the timeline); the unbounded component keys use the aggregates above.
-    """
-    from pyspark.sql import Window as W
-
-    b = _bucket(bucket)
-    tl_df = post_counts(tl_df)
-    w_dev = W.partitionBy("user_id", "source")
-    w_bkt = W.partitionBy("user_id", "_bucket")
-    x = (
-        tl_df.withColumn("_bucket", b)
-        .withColumn("_dev_n", F.count(F.lit(1)).over(w_dev))
-        .withColumn("_dev_first", F.col("status_id") == F.min("status_id").over(w_dev))
-        .withColumn("_bkt_n", F.count(F.lit(1)).over(w_bkt))
-        .withColumn("_bkt_first", F.col("status_id") == F.min("status_id").over(w_bkt))
-    )
-    device = F.col("source").isNotNull() & (F.col("source") != F.lit(""))
-    timed = F.col("_bucket").isNotNull()
-    g = x.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_statuses"),
-        F.sum(F.when(F.col("n_urls") > 0, 1).otherwise(0)).alias("n_url"),
-        F.sum("n_hashtags").alias("n_tags"),
-        F.sum("n_mentions").alias("n_ment"),
-        F.count("created_ms").alias("n_ms"),
-        F.min("created_ms").alias("lo"),
-        F.max("created_ms").alias("hi"),
-        F.count(F.when(timed & F.col("_bkt_first"), 1)).alias("n_buckets"),
-        F.max(F.when(timed, F.col("_bkt_n"))).alias("maxTweetRate"),
-        F.count(F.when(device & F.col("_dev_first"), 1)).alias("uniqueDevices"),
-        F.max(F.when(device, F.col("_dev_n"))).alias("mainDeviceCount"),
-        F.min_by(
-            F.when(device, F.col("source")),
-            F.when(device, F.struct((-F.col("_dev_n")).alias("k"), F.col("source").alias("s"))),
-        ).alias("mainDevice"),
-    )
-    return g.select(
-        "user_id", "n_statuses",
-        ratio("n_url", "n_statuses").alias("urlRatio"),
-        ratio("n_tags", "n_statuses").alias("hashtagRatio"),
-        ratio("n_ment", "n_statuses").alias("mentionRatio"),
-        F.when(F.col("n_buckets") > 0, ratio("n_ms", "n_buckets")).alias("tweetRate"),
-        "maxTweetRate",
-        _mean_ia("n_ms", "lo", "hi").alias("meanIA"),
-        "n_ms", (F.col("hi") - F.col("lo")).alias("span_ms"),
-        F.when(F.col("uniqueDevices") > 0, F.col("uniqueDevices")).alias("uniqueDevices"),
-        "mainDevice",
-        F.when(F.col("uniqueDevices") > 0, F.col("mainDeviceCount")).alias("mainDeviceCount"),
-    )
-
-
-def apply_sentinels(profile: DataFrame, summary: DataFrame, devices: DataFrame | None = None,
-                    precision: str = "double") -> DataFrame:
+def apply_sentinels(profile: DataFrame, summary: DataFrame, devices: DataFrame, precision: str = "double") -> DataFrame:
     """Left-join post features to every account and fill the sentinels.
 
-    ``summary`` carries the ratio/rate/time columns and, when ``devices`` is
-    None, the device columns as well.  ``precision='float'`` reproduces the
+    ``summary`` carries the ratio/rate/time columns, ``devices`` the device
+    columns.  ``precision='float'`` reproduces the
     reference's float32 arithmetic (see ``to_reference_precision``).
     """
     j = profile.join(summary.withColumnRenamed("user_id", "id"), "id", "left")
-    if devices is not None:
-        j = j.join(devices.withColumnRenamed("user_id", "id"), "id", "left")
+    j = j.join(devices.withColumnRenamed("user_id", "id"), "id", "left")
     has_posts = F.col("n_statuses").isNotNull()
     out = j.select(
         "id", "label", "isProtected", "isVerified",
@@ -343,19 +279,14 @@ def user_features(
 
     Every post counts, and the features come from partial (map-side
     combined) two-level aggregates, which tolerate hot accounts.  With ``n``
-    set only the n newest posts of an account count: latest-n (partial limit,
-    one shuffle by user_id, final limit) -> anti-join gate -> fused window
-    counts + one aggregate on that partitioning -> left join to the accounts.
+    set only the n newest posts of an account count (``latest_n``).
     """
     # entity arrays are reduced to counts before any shuffle: the features
     # only need their sizes, and the exchange then carries 7 narrow columns
     posts = post_counts(statuses).select(*COUNT_COLUMNS)
+    posts = tl.gate_protected(posts, users) if gate else posts
     if n is not None:
         posts = tl.latest_n(posts, n, rank_col=None)
-        posts = tl.gate_protected(posts, users) if gate else posts
-        return apply_sentinels(profile_features(users, follow_ratio), timeline_features(posts, bucket),
-                               precision=precision)
-    posts = tl.gate_protected(posts, users) if gate else posts
     summary = timeline_summary(posts, bucket)
     devices = main_device(device_counts(posts))
     return apply_sentinels(profile_features(users, follow_ratio), summary, devices, precision=precision)

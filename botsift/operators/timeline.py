@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from botsift.functions.columns import DAY_MS
 
-# Spark plans a partial limit before the shuffle (WindowGroupLimit) up to
-# this N; beyond it a hot account would be sorted whole in one task.
-MAX_N = 1000
 RANGE_MS = DAY_MS // 24  # posts of one account and hour are ordered by one task
+RANGE_IDS = 1 << 16      # and of those without a time, ids of such a range
 
 
 def _newest_first() -> list[Column]:
@@ -35,25 +33,44 @@ def gate_protected(statuses: DataFrame, users: DataFrame) -> DataFrame:
     return statuses.join(protected, "user_id", "left_anti")
 
 
-def latest_n(statuses: DataFrame, n: int, rank_col: str | None = "rank") -> DataFrame:
-    """The n newest posts per account (ties on time broken by larger id)."""
-    if not 1 <= n <= MAX_N:
-        raise ValueError(f"n must be 1..{MAX_N} (None, where allowed, takes all posts)")
-    w = W.partitionBy("user_id").orderBy(*_newest_first())
-    ranked = statuses.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
-    if rank_col:
-        return ranked.withColumnRenamed("_rank", rank_col)
-    return ranked.drop("_rank")
+def latest_n(statuses: DataFrame, n: int, rank_col: str | None = "rank", range_ms: int = RANGE_MS,
+             range_ids: int = RANGE_IDS) -> DataFrame:
+    """The n newest posts per account, for any n (ties on time broken by
+    larger id; posts without a time come last).
+
+    A distributed selection: posts are counted per (account, time range), the
+    counts of newer ranges tell how many posts come before a range, and a
+    range with n or more before it is left out by the join.  Only within a
+    range are posts ordered, so no task holds an account's history, and what
+    is ordered per account are its ranges' counts.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more (None, where allowed, takes all posts)")
+    # one key for both kinds of range: timed ranges are newer than all ranges of ids
+    timed = F.col("created_ms").isNotNull()
+    key = F.struct(timed.alias("t"), F.when(timed, F.floor(F.col("created_ms") / range_ms)).otherwise(
+        F.floor(F.col("status_id") / range_ids)).alias("r"))
+    s = statuses.withColumn("_range", key)
+    counts = s.groupBy("user_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    newer = W.partitionBy("user_id").orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    ranges = counts.select("user_id", "_range", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    ranges = ranges.filter(F.col("_before") < n).withColumnRenamed("user_id", "_user")
+    # accounts without an id are one account, as in a grouping
+    x = s.join(ranges.withColumnRenamed("_range", "_r"), s["user_id"].eqNullSafe(F.col("_user")) & (F.col("_range") == F.col("_r")))
+    inside = F.row_number().over(W.partitionBy("user_id", "_range").orderBy(*_newest_first()))
+    out = x.withColumn("_rank", F.col("_before") + inside).filter(F.col("_rank") <= n)
+    cols = statuses.columns if not rank_col else [*statuses.columns, F.col("_rank").cast("int").alias(rank_col)]
+    return out.select(*cols)
 
 
 def timeline(statuses: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
     """The visible posts: all of them, or the n newest per account.
 
     The gate is a per-account filter, so it commutes with the per-account
-    limit; limiting first means the partial limit bounds every account
-    before any shuffle.
+    limit and stands below it: closed posts are not counted at all.
     """
-    return gate_protected(statuses if n is None else latest_n(statuses, n), users)
+    seen = gate_protected(statuses, users)
+    return seen if n is None else latest_n(seen, n)
 
 
 def interarrivals(timeline_df: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:

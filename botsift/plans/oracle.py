@@ -177,6 +177,13 @@ SELECT status_id, user_id FROM statuses
 WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_protected)""",
     "timeline_topk": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM tl WHERE rk <= 50""",
+    "timeline_latest_5000": with_(USERS, STATUSES) + """
+SELECT user_id, status_id, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT user_id, status_id, row_number() OVER (PARTITION BY user_id ORDER BY created_ms DESC NULLS LAST, status_id DESC) AS rk
+  FROM (SELECT CASE WHEN status_id % 3 = 0 THEN 1 ELSE user_id END AS user_id, status_id,
+               CASE WHEN status_id % 11 <> 0 THEN created_ms END AS created_ms FROM statuses) s
+  WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_protected)) x
+WHERE rk <= 5000""",
     "interarrivals": with_(USERS, STATUSES, OPEN_TIMELINE) + """
 SELECT * FROM (
   SELECT user_id, status_id, created_ms,

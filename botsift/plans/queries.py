@@ -112,6 +112,16 @@ def q_timeline_topk(spark, sf_dir):
     return tl.timeline(s, u, 50).select("user_id", "status_id", "rank")
 
 
+@register("timeline_latest_5000")
+def q_timeline_latest_5000(spark, sf_dir):
+    """The 5,000 newest posts when one account has a third of all posts and
+    one post in eleven has no time."""
+    u, s = _users_statuses(spark, sf_dir)
+    s = s.withColumn("user_id", F.when(F.col("status_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")))
+    s = s.withColumn("created_ms", F.when(F.col("status_id") % 11 != 0, F.col("created_ms")))
+    return tl.timeline(s, u, 5000).select("user_id", "status_id", "rank")
+
+
 @register("interarrivals")
 def q_interarrivals(spark, sf_dir):
     u, s = _users_statuses(spark, sf_dir)

@@ -23,9 +23,13 @@ def test_flagship_combines_on_the_map_side_and_sorts_no_account(spark):
     assert "LeftAnti" in plan  # gate
 
 
-def test_topk_has_a_partial_limit(spark):
-    plan = executed_plan(spark, "timeline_topk")
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_latest_n_orders_no_account_as_a_whole(spark):
+    """Posts are ordered within (account, range); what is ordered by account
+    alone are counts of ranges."""
+    plan = executed_plan(spark, "timeline_latest_5000").split("Initial Plan")[-1]
+    ranks = [x for x in plan.splitlines() if "row_number()" in x and "Window" in x]
+    assert ranks and all("_range" in x.split("windowspecdefinition(")[1].split(",")[1] for x in ranks)
+    assert "partial_count" in plan
 
 
 def test_tokenize_has_no_shuffle(spark):
