@@ -229,13 +229,13 @@ def drop_repeats(docs: DataFrame, **params) -> DataFrame:
     keeps it.  Rows that share a doc_id and rows without one stay whole."""
     alone = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
     cut = repeated_spans(docs, **params).filter("NOT is_first").join(alone.select("doc_id"), "doc_id").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("_cut"))
-    d = docs.join(cut, "doc_id", "left").select(*docs.columns, "_cut")
+        F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
+    d = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(cut, "doc_id", "left").select("row", "row.text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_cut").to_pylist()):
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
                 if cuts:
                     data, last, keep = text.encode(), 0, []
                     for c in cuts:
@@ -243,7 +243,7 @@ def drop_repeats(docs: DataFrame, **params) -> DataFrame:
                         last = c["span_end"]
                     text = b"".join([*keep, data[last:]]).decode("utf-8", "ignore")  # a cut may fall inside a character
                 texts.append(text)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, pa.string())).drop_columns(["_cut"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return d.mapInArrow(run, T.StructType([docs.schema[c] for c in docs.columns]))
+    out = d.mapInArrow(run, T.StructType([d.schema["row"], d.schema["text"]]))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -187,7 +187,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` without the documents that are not kept; all columns stay.
-    Rows of one doc_id are kept or dropped together."""
-    lost = near_duplicates(docs, **params).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each near-duplicate group; all columns
+    stay.
+
+    Rows of one doc_id are one document, kept or dropped together, but of
+    rows with one id and one text only one stays.  A row without an id is
+    named by its text (with a number of 2^62 or more, above ids), so copies
+    without ids are one document; it is kept only if no row with an id is a
+    near duplicate of it.  Rows without an id and without text all stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # unnamed rows come after all others: the smallest id of a component is kept
+    name = F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))
+    d = docs.select(F.struct(*docs.columns).alias("row"), name.alias("doc_id"), text.alias("text"))
+    d = d.withColumn("copy", F.xxhash64("doc_id", "text", F.lit(5)))
+    lost = near_duplicates(d.select("doc_id", "text"), **params).filter(~F.col("kept")).select("doc_id").distinct()
+    lost = materialize(lost, "near-duplicates")
+    d = d.join(lost, "doc_id", "left_anti")
+    # of equal rows of one name, one stays; only names that repeat are gathered
+    known = F.col("row.doc_id").isNotNull() | (F.col("text") != "")
+    again = d.filter(known).groupBy("copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("copy")
+    again = materialize(again, "repeated-rows")
+    alone = d.join(again, "copy", "left_anti").select("row")
+    first = d.join(again, "copy", "left_semi").groupBy("doc_id", "text").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(first).select("row.*")

@@ -13,7 +13,12 @@ and only their vectors reach the driver; documents find their shard by a map
 over the rows with the small item table.
 
 ``bytes`` is the law that holds exactly: shard sizes are near equal.  Tokens
-and rows are balanced as far as the groups allow.
+and rows are balanced as far as the groups allow: a group that is a large
+share of the rows, but not of the bytes, stays in one shard.
+
+Pieces and slots follow a hash of the id.  Where so many rows have one id, or
+none, that they would pile up in one piece or bucket, the rows are written
+with numbers first, and the hash is of those too.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from botsift.session import materialize
 
 SHARDS = 16
 BUNDLES_PER_SHARD = 512   # small groups are gathered into so many bundles per shard
+LEVELLED = 768            # small items of a shard that levelling looks at
 SLOT_BUCKETS = 128        # slots of a shard are numbered in so many ordered parts
 
 _DIMS = ("bytes", "tokens", "rows")
@@ -44,20 +50,51 @@ def _group(text: Column) -> list[Column]:
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item: large to small, where the dot product of the
-    item's share with the residual capacity is highest among the shards it
-    fits into by bytes; if it fits nowhere, where most bytes are left."""
+    """Shard of each item: by largest share of any dimension first, where the
+    dot product of the item's share with the residual capacity is highest
+    among the shards it fits into in every dimension; if it fits nowhere,
+    where the scarcest dimension is least exceeded.  Then ``_level``."""
     total = vectors.sum(axis=0)
     share = vectors / np.where(total > 0, total, 1)
     left = np.full((shards, vectors.shape[1]), 1.0 / shards)
     out = np.zeros(len(vectors), dtype=np.int32)
-    for i in np.lexsort((np.arange(len(vectors)), -share[:, 0])):
-        fits = left[:, 0] >= share[i, 0]
-        out[i] = s = int(np.argmax(np.where(fits, left @ share[i], -np.inf))) if fits.any() else int(np.argmax(left[:, 0]))
+    for i in np.lexsort((np.arange(len(vectors)), -share.max(axis=1, initial=0.0))):
+        after = left - share[i]
+        fits = (after >= 0).all(axis=1)
+        out[i] = s = int(np.argmax(np.where(fits, left @ share[i], -np.inf) if fits.any() else after.min(axis=1)))
         left[s] -= share[i]
+    _level(share, out, shards)
     return out
 
 
+def _level(share: np.ndarray, out: np.ndarray, shards: int, rounds: int = 500) -> None:
+    """Even the bytes out: between the shards with most and least bytes, the
+    move or swap of (small) items that leaves both nearest to equal, bytes
+    counting ten times the other dimensions, while there is one that helps."""
+    load = np.stack([share[out == s].sum(axis=0) for s in range(shards)])
+    goal, weight = 1.0 / shards, np.array([10.0] + [1.0] * (share.shape[1] - 1))
+
+    def off(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum(np.abs(a - goal), np.abs(b - goal)) @ weight
+
+    for _ in range(rounds):
+        a, b = int(np.argmax(load[:, 0])), int(np.argmin(load[:, 0]))
+        smallest = [np.flatnonzero(out == s) for s in (a, b)]
+        ia, ib = (x[np.argsort(share[x, 0], kind="stable")[:LEVELLED]] for x in smallest)
+        if a == b or not len(ia):
+            return
+        moved = share[ia][:, None, :] - np.vstack([np.zeros(share.shape[1]), share[ib]])[None, :, :]
+        cost = off(load[a] - moved, load[b] + moved)
+        i, j = np.unravel_index(int(np.argmin(cost)), cost.shape)
+        if cost[i, j] >= off(load[a], load[b]) - 1e-12:
+            return
+        load[a] -= moved[i, j]
+        load[b] += moved[i, j]
+        out[ia[i]] = b
+        if j:
+            out[ib[j - 1]] = a
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES_PER_SHARD,
                   keep: list[str] | None = None) -> DataFrame:
     """One row per document row: ``_row`` (its columns ``keep``, all by
@@ -68,8 +105,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES_
 
     Defined results: a NULL text has size 1 and CRC 0 and is a text of its own;
     ids may be NULL or repeat, every row gets a slot; slots follow a hash of
-    the row, equal rows take neighbouring slots in any order.  An empty table
-    gives no rows.
+    the row.  An empty table gives no rows.
     """
     if shards < 1 or bundles < 1:
         raise ValueError("shards and bundles must be positive")
@@ -77,9 +113,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES_
     text = F.col("text").cast("string")
     d = docs.select(F.struct(*(keep or docs.columns)).alias("_row"), "text", "doc_id")
     g1, g2 = _group(text)
-    meta = materialize(d.select(
-        g1.alias("g1"), g2.alias("g2"), utf8_size(text).alias("bytes"), spaced_count(text).alias("tokens"),
-        F.xxhash64("doc_id", F.lit(3)).alias("r")), "sizes")
+
+    def sizes(rows: DataFrame, r: Column) -> DataFrame:
+        return materialize(rows.select(
+            g1.alias("g1"), g2.alias("g2"), utf8_size(text).alias("bytes"), spaced_count(text).alias("tokens"), r.alias("r")), "sizes")
+
+    r = F.xxhash64("doc_id", F.lit(3))
+    meta = sizes(d, r)
+    same = meta.groupBy("r").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if (same["most"] or 0) > 1 and same["most"] * shards * SLOT_BUCKETS > same["rows"]:
+        d = materialize(d.withColumn("n", F.monotonically_increasing_id()), "numbered-rows")
+        r = F.xxhash64("doc_id", "n", F.lit(3))
+        meta = sizes(d, r)
     groups = meta.groupBy("g1", "g2").agg(
         F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = materialize(groups, "groups")
@@ -107,7 +152,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES_
     own = groups.filter(~small).select("g1", "g2", F.when(large, pieces).otherwise(F.lit(1)).alias("pieces"))
     x = d.select("_row", g1.alias("g1"), g2.alias("g2"), utf8_size(text).alias("size"),
                  F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
-                 F.xxhash64("doc_id", F.lit(3)).alias("r")).join(F.broadcast(own), ["g1", "g2"], "left")
+                 r.alias("r")).join(F.broadcast(own), ["g1", "g2"], "left")
     x = x.withColumns({
         "i1": F.when(F.col("pieces").isNull(), F.pmod("g1", F.lit(n))).otherwise(F.col("g1")),
         "i2": F.when(F.col("pieces").isNotNull(), F.col("g2")),

@@ -1,15 +1,14 @@
 import itertools
 import random
-import re
 
 from botsift.llm.cdc import boundaries, drop_repeats, repeated_spans
-from botsift.llm.linededup import PIECE, SHINGLE, drop_fuzzy_lines, fuzzy_lines
+from botsift.llm.linededup import drop_fuzzy_lines, fuzzy_lines
 
 from .test_neardup import components
 
 
 def line_set(line):
-    return {line[m.start():m.start() + SHINGLE] for m in re.finditer(r"\S{1,%d}" % PIECE, line)}
+    return {line[i:i + 5] for i in range(len(line))}
 
 
 def brute_lines(rows):
@@ -70,6 +69,21 @@ def test_drop_lines(spark):
     assert drop_fuzzy_lines(d).columns == d.columns
 
 
+def test_drops_with_clashing_columns(spark):
+    """Columns of the names that the operators use inside come through."""
+    names = ["_lost", "_lines", "_cut", "_row", "lost", "lines", "cuts", "row", "n", "line"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names)
+    passage = "a passage of many words that is long enough to be found twice, " * 4
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in
+            ((1, "a shared line of text\nown one"), (2, "other\na shared line of text"), (3, None), (4, passage + "x"), (5, "y\n" + passage))]
+    d = spark.createDataFrame(rows, schema)
+    for out in (drop_fuzzy_lines(d), drop_repeats(d)):
+        assert out.columns == d.columns
+        got = {r["doc_id"]: tuple(r) for r in out.collect()}
+        assert {k: v[2:] for k, v in got.items()} == {r[0]: r[2:] for r in rows}
+    assert got[4][1] == rows[3][1] and len(got[5][1]) < 60 and got[3][1] is None
+
+
 def test_boundaries_resist_shifts():
     rng = random.Random(7)
     data = bytes(rng.choice(b"abcdefghij ") for _ in range(20000))

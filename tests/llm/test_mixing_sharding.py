@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -98,3 +99,41 @@ def test_pack_places_by_dot_product():
     v = np.array([[10.0, 1, 1], [10, 1, 1], [1, 10, 1], [1, 10, 1]])
     s = pack(v, 2)
     assert s[0] != s[1] and s[2] != s[3]
+
+
+def spread(vectors, where, shards):
+    loads = np.stack([vectors[where == s].sum(axis=0) for s in range(shards)])
+    return (loads.max(axis=0) - loads.min(axis=0)) / loads.mean(axis=0)
+
+
+def test_pack_is_near_the_best_assignment():
+    """Every assignment of a few items, by brute force: the packing's largest
+    deviation is not far from the least possible."""
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        v = rng.integers(1, 60, (9, 3)).astype(float)
+        best = min(spread(v, np.array(a), 2)[0] for a in itertools.product(range(2), repeat=9) if len(set(a)) == 2)
+        assert spread(v, pack(v, 2), 2)[0] <= best + 0.12
+    assert len(pack(np.zeros((0, 3)), 4)) == 0 and list(pack(np.ones((3, 3)), 1)) == [0, 0, 0]
+
+
+def test_pack_balances_all_dimensions():
+    rng = np.random.default_rng(6)
+    size = rng.lognormal(6, 1.2, 1500)
+    v = np.stack([size, size / rng.uniform(4, 9, 1500), np.ones(1500)], axis=1).round()
+    s = spread(v, pack(v, 16), 16)
+    assert s[0] < 0.003 and s[1] < 0.06 and s[2] < 0.05
+
+
+def test_hot_text_without_ids_is_spread(spark):
+    hot = [(None, "the very same text " * 20) for _ in range(600)] + [(7, "another repeated text " * 20) for _ in range(300)]
+    rows = hot + [(1000 + i, f"text {i} " + "word " * (i * 7 % 90)) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = assign_shards(d, shards=8, bundles=64).collect()
+    total, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        total[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert Counter(map(str, (r["_row"]["doc_id"] for r in got))) == Counter(str(r[0]) for r in rows)
+    assert max(total.values()) - min(total.values()) < 0.03 * sum(total.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

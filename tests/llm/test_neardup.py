@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 
@@ -51,11 +52,26 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert sorted((tuple(r) for r in near_duplicates(docs, shingle_words=2).collect()), key=str) == want
 
 
+def kept_rows(rows, k):
+    """One document of each group: rows without an id are named by their
+    text, after all ids; of equal rows of one name one stays."""
+    texts = sorted({r[1] or "" for r in rows})
+    names = [r[0] if r[0] is not None else 2**62 + texts.index(r[1] or "") for r in rows]
+    lost = {b[0] for b in brute([(n, *r[1:]) for n, r in zip(names, rows)], k) if not b[3]}
+    out, seen = [], set()
+    for n, r in zip(names, rows):
+        if n in lost or (n, r[1] or "") in seen:
+            continue
+        out.append(r)
+        if r[0] is not None or r[1]:
+            seen.add((n, r[1] or ""))
+    return out
+
+
 def test_drop(spark, docs, rows, no_docs):
     out = drop_near_duplicates(docs, shingle_words=2)
-    lost = {b[0] for b in brute(rows, 2) if not b[3]}
     assert out.columns == docs.columns
-    assert out.count() == sum(r[0] not in lost for r in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(r[:2] for r in kept_rows(rows, 2))
     assert near_duplicates(no_docs).count() == 0
 
 
@@ -72,3 +88,18 @@ def test_components_of_paths_stars_and_loops(spark):
     want.pop(300)
     assert got == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_drop_keeps_one_of_copies_without_ids(spark):
+    prose = lambda k: " ".join(f"word{k * 31 + i * 7 % 97}" for i in range(60))
+    near = prose(1).replace("word31", "changed", 1)
+    rows = [(None, prose(0)), (None, prose(0)), (None, prose(0)), (5, prose(1)), (None, near), (None, prose(1)), (6, prose(2)), (6, prose(2)),
+            (6, prose(3)), (8, prose(4)), (9, prose(4)), (None, None), (None, ""), (None, None), (10, None), (11, None), (-3, prose(5)), (None, prose(5))]
+    rows = [(*r, "a", "b", "c", f"x{i}") for i, r in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, row string, copy string, _row string, n string").repartition(3)
+    out = drop_near_duplicates(d)
+    assert out.columns == d.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter({(None, prose(0)): 1, (5, prose(1)): 1, (6, prose(2)): 1, (6, prose(3)): 1, (8, prose(4)): 1,
+                           (None, None): 2, (None, ""): 1, (10, None): 1, (11, None): 1, (-3, prose(5)): 1})
+    assert drop_near_duplicates(d.limit(0)).count() == 0

@@ -35,8 +35,7 @@ def kept_by_quality(text, lang):
 
 def brute(rows, items):
     rows = [r for r in rows if kept_by_quality(r[1] or "", r[2])]
-    lost = {b[0] for b in test_neardup.brute(rows, 5) if not b[3]}
-    rows = [r for r in rows if r[0] not in lost]
+    rows = test_neardup.kept_rows(rows, 5)
     rows = [r for r, b in zip(rows, test_decontam.brute(rows, items)) if not b[-1]]
     t = test_mixing_sharding.brute_targets(rows)
     out = Counter()
