@@ -27,14 +27,15 @@ BLOCK = 8192      # elements of the sets that are compared at once
 ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x0F0F69C3A5964B2D, 0x35C9D2B87E14C699)
 
 
-def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """The rows (key, node, n) of buckets with two nodes or more, with the
-    bucket's centres; written to the shared folder."""
+def shared_buckets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, n) of buckets with two nodes or more, and those
+    buckets' centres (key, centres); both written to the shared folder."""
     many = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    rows = materialize(keyed.join(many.select("key"), "key"), "bucket-rows")  # few, as most buckets have one node
+    rows = materialize(keyed.join(many.select("key"), "key"), "buckets")  # few, as most buckets have one node
+    # the rows are read from files here, so a hot bucket's centres are combined on the map side
     centre = lambda x: F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x))
-    centres = rows.groupBy("key").agg(F.array(*[centre(x) for x in ORDERS]).alias("centres"))
-    return materialize(rows.join(centres, "key"), "buckets")
+    centres = rows.groupBy("key").agg(F.array_distinct(F.array(*[centre(x) for x in ORDERS])).alias("centres"))
+    return rows, materialize(centres, "centres")
 
 
 def _prune(open_: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
@@ -98,7 +99,7 @@ def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.explode(found).alias("l")).select("l.a", "l.b")
 
 
-def bucket_links(buckets: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame],
+def bucket_links(buckets: DataFrame, centres: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame],
                  verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) that join all nodes of one component.
 
@@ -107,13 +108,13 @@ def bucket_links(buckets: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame
     that are truly linked.
     """
     near = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"  # sets of too different sizes cannot link
-    star = buckets.select("node", "n", F.explode(F.array_distinct("centres")).alias("centre")).filter("node <> centre").distinct()
+    star = buckets.join(centres, "key").select("node", "n", F.explode("centres").alias("centre")).filter("node <> centre").distinct()
     star = star.select(F.col("centre").alias("c"), F.col("node").alias("d"), F.col("n").alias("nb"))
     star = star.join(sizes.select(F.col("node").alias("c"), F.col("n").alias("na")), "c").filter(near)
     links = materialize(verify(star.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()), "star-links")
 
     comp = connected_components(links)
-    placed = buckets.drop("centres").join(comp, "node", "left").select(
+    placed = buckets.join(comp, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
     left = materialize(placed.join(split, "key"), "open-buckets")

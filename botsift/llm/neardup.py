@@ -165,14 +165,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     reps = full.join(classes, "digest").filter("doc_id = node").select("node", "n_shingles", "half")
 
-    buckets = shared_buckets(table_keys(reps, m))
+    buckets, centres = shared_buckets(table_keys(reps, m))
     ids = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = materialize(
         docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
         .select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")), "candidates")
     sizes = reps.select("node", F.col("n_shingles").alias("n"))
     links = bucket_links(
-        buckets, sizes, lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi"), shingle_words),
+        buckets, centres, sizes, lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi"), shingle_words),
         lambda pairs: verify(pairs, texts, shingle_words, percent), percent)
 
     # rows of one doc_id are one document: join the classes that they name
