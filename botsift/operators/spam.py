@@ -60,12 +60,14 @@ def labelled_statuses(posts: DataFrame, threats: DataFrame) -> DataFrame:
 
 
 def spam_counts(posts: DataFrame, threats: DataFrame) -> DataFrame:
-    """Per class: posts, distinct URLs, distinct flagged URLs."""
+    """Per class: posts, distinct URLs, distinct flagged URLs.
+
+    Two narrow groupings, by (class, URL) and by (class, post), each combined
+    on the map side; only the distinct URLs meet the threat list.
+    """
     u = status_urls(posts, with_text=False)
     t = flagged(threats).select("url").distinct().withColumn("_hit", F.lit(True))
-    j = u.join(t, "url", "left")
-    return j.groupBy("label").agg(
-        F.countDistinct("status_id").alias("n_statuses"),
-        F.countDistinct("url").alias("n_urls"),
-        F.countDistinct(F.when(F.col("_hit"), F.col("url"))).alias("n_spam_urls"),
-    )
+    urls = u.select("label", "url").distinct().join(t, "url", "left").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_urls"), F.count("_hit").alias("n_spam_urls"))
+    n = u.select("label", "status_id").distinct().groupBy("label").agg(F.count("status_id").alias("n_statuses"))
+    return n.join(urls, n["label"].eqNullSafe(urls["label"])).select(n["label"], "n_statuses", "n_urls", "n_spam_urls")

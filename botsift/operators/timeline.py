@@ -80,19 +80,21 @@ def interarrivals(timeline_df: DataFrame, range_ms: int = RANGE_MS) -> DataFrame
     reference's list, an account with n timed posts has n - 1 gaps: the
     oldest post has no successor and yields no row.
 
-    Posts are ordered within (account, time range); the oldest post of a
-    range takes its successor from the table of the ranges' newest times,
-    which has one row per account and range with posts.
+    Posts are ordered within (account, time range).  The last post of an
+    older range is the successor of a range's oldest post: the ranges' newest
+    times (one row per account and range with posts) go into the range after
+    them as the end of its order, so posts are dealt out once and not joined.
     """
     t = timeline_df.filter(F.col("created_ms").isNotNull()).select(
         "user_id", "status_id", "created_ms", F.floor(F.col("created_ms") / range_ms).alias("_range"))
     newest = t.groupBy("user_id", "_range").agg(F.max("created_ms").alias("_newest"))
-    before = newest.select("user_id", "_range", F.lag("_newest").over(
-        W.partitionBy("user_id").orderBy("_range")).alias("_before"))
-    w = W.partitionBy("user_id", "_range").orderBy(*_newest_first())
-    g = t.withColumn("_next", F.lead("created_ms").over(w)).join(before, ["user_id", "_range"])
-    g = g.withColumn("gap_ms", F.col("created_ms") - F.coalesce("_next", "_before"))
-    return g.select("user_id", "status_id", "created_ms", "gap_ms").filter(F.col("gap_ms").isNotNull())
+    ends = newest.select("user_id", F.lead("_range").over(W.partitionBy("user_id").orderBy("_range")).alias("_range"), "_newest")
+    ends = ends.filter(F.col("_range").isNotNull()).select(
+        "user_id", F.lit(None).cast("bigint").alias("status_id"), F.col("_newest").alias("created_ms"), "_range", F.lit(True).alias("_end"))
+    x = t.withColumn("_end", F.lit(False)).unionByName(ends)
+    w = W.partitionBy("user_id", "_range").orderBy(F.col("_end"), *_newest_first())
+    g = x.withColumn("gap_ms", F.col("created_ms") - F.lead("created_ms").over(w))
+    return g.filter(~F.col("_end") & F.col("gap_ms").isNotNull()).select("user_id", "status_id", "created_ms", "gap_ms")
 
 
 def statuses_by_user(timeline_df: DataFrame, fields: list[str | Column] | None = None,

@@ -411,6 +411,11 @@ FROM tok GROUP BY token""",
 })
 
 SQL["stream_label_upsert"] = SQL["dedupe_last_wins"]
+SQL["stream_label_state"] = SQL["dedupe_last_wins"]
+SQL["bucketed_lookup"] = with_(USERS, REQ) + """
+SELECT r.user_id, CASE WHEN NOT r.first_pass THEN 'unseen' WHEN r.acct THEN 'found' ELSE 'missing' END AS state,
+       r.acct AS is_account, r.acct AND NOT r.first_pass AS to_fetch, coalesce(n, 0) AS n_posts
+FROM reqa r LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = r.user_id"""
 
 # ------------------------------------------------------------ model inputs
 # The model inputs in vector order.

@@ -20,11 +20,13 @@ from botsift.operators import model as ml
 from botsift.functions.columns import DAY_MS
 from botsift.operators import timeline as tl
 from botsift.session import scratch_path
+from botsift.sources import bucketed
 from botsift.sources import fixtures as fix
 from botsift.sources import labelled as lb
 from botsift.sources import profile_store as ps
 from botsift.sources import sinks
 from botsift.sources import status_json as sj
+from botsift.streaming import label_state as stream_state
 from botsift.streaming import labels as stream_labels
 from botsift.streaming import scoring as stream_scoring
 
@@ -229,6 +231,17 @@ def q_profile_store_lookup(spark, sf_dir):
     return ps.lookup(req, ps.read_store(spark, root))
 
 
+@register("bucketed_lookup")
+def q_bucketed_lookup(spark, sf_dir):
+    """Requests looked up against store, accounts and posts in tables
+    bucketed by account."""
+    root, req = _store_pass1(spark, sf_dir)
+    put = lambda df, name: bucketed.write_bucketed(df, name)
+    return bucketed.lookup(
+        put(req.select("user_id"), "requests"), put(ps.read_store(spark, root).select("user_id", "state"), "store"),
+        put(fix.users(spark, sf_dir).select("user_id"), "users"), put(fix.statuses(spark, sf_dir).select("user_id", "status_id"), "posts"))
+
+
 @register("missing_users")
 def q_missing_users(spark, sf_dir):
     return ps.missing(fix.lookup_requests(spark, sf_dir), fix.users(spark, sf_dir))
@@ -786,6 +799,13 @@ def q_stream_label_upsert(spark, sf_dir):
     return stream_labels.run_once(spark, ev.filter(~even), root, source="b")
 
 
+@register("stream_label_state")
+def q_stream_label_state(spark, sf_dir):
+    """Label events through a streaming aggregation with state, stopped in
+    the middle and resumed; the second half arrives late."""
+    return stream_state.run_in_two(spark, fix.label_events(spark, sf_dir), scratch_path(spark, "label-state"))
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     """Feature rows streamed to predictions by walking the grown forest."""

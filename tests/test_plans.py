@@ -32,8 +32,24 @@ def test_latest_n_orders_no_account_as_a_whole(spark):
     assert "partial_count" in plan
 
 
-def test_tokenize_has_no_shuffle(spark):
-    assert "Exchange" not in executed_plan(spark, "tokenize")
+def test_tokenize_combines_before_its_shuffle(spark):
+    plan = executed_plan(spark, "tokenize").split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "partial_count" in plan and "Sort" not in plan
+
+
+def test_bucketed_tables_are_not_shuffled(spark):
+    """No exchange stands between a bucketed scan and its join or aggregate."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed_plan(spark, "bucketed_lookup").split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert plan.count("SelectedBucketsCount: 16 out of 16") >= 4 or "Bucketed: true" in plan
+
+
+def test_spam_counts_expands_no_row(spark):
+    assert "Expand" not in executed_plan(spark, "spam_counts")
 
 
 @pytest.mark.parametrize("key", ["feature_reuse", "incremental_refresh", "feature_preview"])
