@@ -134,15 +134,10 @@ def _mean_ia(n: str, lo: str, hi: str) -> Column:
     )
 
 
-def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
-    """Ratios, rates and inter-arrival of every account in one two-level
-    aggregate: level 1 by (account, time bucket), level 2 by account.
-
-    Posts with no time land in bucket NULL: they count as posts but not as a
-    bucket or a time.
-    """
-    b = _bucket(bucket)
-    lvl1 = post_counts(statuses).groupBy("user_id", b.alias("bucket")).agg(
+def bucket_counts(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
+    """The counts of every (account, time bucket).  Posts with no time land
+    in bucket NULL: they count as posts but not as a bucket or a time."""
+    return post_counts(statuses).groupBy("user_id", _bucket(bucket).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("n_urls") > 0, 1).otherwise(0)).alias("n_url"),
         F.sum("n_hashtags").alias("n_tags"),
@@ -151,8 +146,18 @@ def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
         F.min("created_ms").alias("lo"),
         F.max("created_ms").alias("hi"),
     )
+
+
+def timeline_summary(statuses: DataFrame, bucket: str = "exact") -> DataFrame:
+    """Ratios, rates and inter-arrival of every account in one two-level
+    aggregate: level 1 by (account, time bucket), level 2 by account."""
+    return summarize(bucket_counts(statuses, bucket))
+
+
+def summarize(buckets: DataFrame) -> DataFrame:
+    """Level 2: one row per account from its ``bucket_counts``."""
     timed = F.col("bucket").isNotNull()
-    lvl2 = lvl1.groupBy("user_id").agg(
+    lvl2 = buckets.groupBy("user_id").agg(
         F.sum("n").alias("n_statuses"),
         F.sum("n_url").alias("n_url"),
         F.sum("n_tags").alias("n_tags"),

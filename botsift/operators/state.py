@@ -3,9 +3,9 @@ a form that new posts add to.
 
 Feature rows do not merge (a mean of means is no mean), their ingredients do:
 
-* ``accounts``: post, link, tag, mention and time counts, first and last time;
-* ``devices``: posts per (account, source);
-* ``buckets``: posts per (account, time bucket).
+* ``buckets``: per (account, time bucket) the posts, links, tags, mentions and
+  times, first and last; untimed posts are in bucket NULL;
+* ``devices``: posts per (account, source).
 
 All are sums, minima and maxima, so states of disjoint batches of posts merge
 by one aggregate per table, in any order and grouping.  On disk a state is a
@@ -25,25 +25,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botsift import schemas
-from botsift.functions.columns import ratio
 from botsift.operators import features as fx
+from botsift.operators.timeline import gate_protected
 
 PARTS = 16  # directories that a version's accounts are dealt into; a large store wants more
 
 TABLES = {
-    "accounts": ("user_id bigint, n_statuses bigint, n_url bigint, n_tags bigint, n_ment bigint, n_ms bigint, lo bigint, hi bigint",
-                 ["user_id"]),
+    "buckets": ("user_id bigint, bucket bigint, n bigint, n_url bigint, n_tags bigint, n_ment bigint, n_ms bigint, lo bigint, hi bigint",
+                ["user_id", "bucket"]),
     "devices": ("user_id bigint, source string, n bigint", ["user_id", "source"]),
-    "buckets": ("user_id bigint, bucket bigint, n bigint", ["user_id", "bucket"]),
 }
 _MERGED_BY = {"lo": F.min, "hi": F.max}  # every other measure is a sum
 
 
 @dataclass
 class FeatureState:
-    accounts: DataFrame
-    devices: DataFrame
     buckets: DataFrame
+    devices: DataFrame
 
 
 def post_state(statuses: DataFrame, bucket: str = "exact") -> FeatureState:
@@ -51,12 +49,8 @@ def post_state(statuses: DataFrame, bucket: str = "exact") -> FeatureState:
     protected accounts are in it too: ``features_of`` leaves them out, as
     whether an account is protected may change."""
     posts = fx.post_counts(statuses)
-    accounts = posts.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_statuses"), F.count(F.when(F.col("n_urls") > 0, 1)).alias("n_url"),
-        F.sum("n_hashtags").cast("bigint").alias("n_tags"), F.sum("n_mentions").cast("bigint").alias("n_ment"),
-        F.count("created_ms").alias("n_ms"), F.min("created_ms").alias("lo"), F.max("created_ms").alias("hi"))
-    buckets = fx.tweet_buckets(posts, bucket).withColumn("bucket", F.col("bucket").cast("bigint"))
-    return FeatureState(accounts, fx.device_counts(posts), buckets)
+    buckets = fx.bucket_counts(posts, bucket).withColumn("bucket", F.col("bucket").cast("bigint"))
+    return FeatureState(buckets, fx.device_counts(posts))
 
 
 def merge(table: str, rows: DataFrame) -> DataFrame:
@@ -69,15 +63,8 @@ def merge(table: str, rows: DataFrame) -> DataFrame:
 def features_of(users: DataFrame, state: FeatureState, precision: str = "double") -> DataFrame:
     """The feature rows of ``users`` from a merged state: those that
     ``user_features`` computes from all their posts."""
-    open_ = fx.tl.gate_protected
-    rates = open_(state.buckets, users).groupBy("user_id").agg(
-        F.sum("n").alias("n_bucketed"), F.count(F.lit(1)).alias("n_buckets"), F.max("n").alias("maxTweetRate"))
-    summary = open_(state.accounts, users).join(rates, "user_id", "left").select(
-        "user_id", "n_statuses", ratio("n_url", "n_statuses").alias("urlRatio"), ratio("n_tags", "n_statuses").alias("hashtagRatio"),
-        ratio("n_ment", "n_statuses").alias("mentionRatio"),
-        F.when(F.col("n_buckets") > 0, ratio("n_bucketed", "n_buckets")).alias("tweetRate"), "maxTweetRate",
-        fx._mean_ia("n_ms", "lo", "hi").alias("meanIA"), "n_ms", (F.col("hi") - F.col("lo")).alias("span_ms"))
-    devices = fx.main_device(open_(state.devices, users))
+    summary = fx.summarize(gate_protected(state.buckets, users))
+    devices = fx.main_device(gate_protected(state.devices, users))
     return fx.apply_sentinels(fx.profile_features(users), summary, devices, precision=precision)
 
 

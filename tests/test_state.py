@@ -72,7 +72,7 @@ def test_refresh_reads_new_posts_and_touched_rows_only(spark, data):
     assert {i for i, o in origin.items() if o == "refreshed"} == {2, 6, 9}
     # rows that go into the merge are those of the touched accounts
     touched = state.read(spark, root, users.filter("user_id IN (2, 9)"), parts=8)
-    assert {r["user_id"] for r in touched.accounts.collect()} == {2, 9}
+    assert {r["user_id"] for r in touched.buckets.collect()} == {2, 9}
     plan = touched.devices._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and plan.index("HashAggregate") < plan.index("LeftSemi")  # filtered below the merge
 
