@@ -612,6 +612,27 @@ FROM final_lines l JOIN users u ON u.user_id = l.user_id LEFT JOIN cur c ON c.us
 WHERE l.m NOT IN (3, 7, 9)""",
 })
 
+# The copy-on-write store: the rows that each of its four commits writes.
+COMMITS = with_(USERS, REQ) + """,
+ev AS (SELECT o_orderkey AS seq, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'human' ELSE 'bot' END AS label,
+              CASE WHEN o_orderdate < (SELECT max(o_orderdate) FROM orders) THEN 3 ELSE 4 END AS version FROM orders),
+cur AS (SELECT version, user_id, arg_max(label, seq) AS label FROM ev GROUP BY version, user_id),
+w AS (
+  SELECT user_id, CASE WHEN acct THEN 'found' ELSE 'missing' END AS state, label, CAST(1 AS BIGINT) AS version FROM reqa WHERE first_pass
+  UNION ALL
+  SELECT user_id, CASE WHEN acct THEN 'found' ELSE 'missing' END, label, CAST(2 AS BIGINT) FROM reqa
+  WHERE NOT first_pass OR (acct AND user_id IN (SELECT user_id FROM events))
+  UNION ALL
+  SELECT c.user_id, CASE WHEN u.user_id IS NOT NULL THEN 'found' ELSE 'missing' END,
+         CASE WHEN u.user_id IS NOT NULL THEN c.label END, CAST(c.version AS BIGINT)
+  FROM cur c LEFT JOIN users u ON u.user_id = c.user_id)"""
+SQL["store_copy_on_write"] = COMMITS + """
+SELECT user_id, state, label, version FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY version DESC) = 1"""
+SQL["store_manifests"] = COMMITS + """,
+b AS (SELECT user_id, version, CAST(CAST('0x' || substr(md5('bucket|' || user_id), 1, 8) AS BIGINT) % 16 AS INTEGER) AS bucket FROM w)
+SELECT CAST(v.version AS BIGINT) AS version, b.bucket, max(b.version) AS written, count(DISTINCT b.user_id) AS n_rows
+FROM (VALUES (1), (2), (3), (4)) v(version) JOIN b ON b.version <= v.version GROUP BY v.version, b.bucket"""
+
 # Naive Bayes: terms, parameters and predictions from the same split, in one chain of aggregates.
 BAYES = ("WITH lab AS MATERIALIZED (" + SQL["labelled_statuses"] + "),\n" + f"""
 tr AS (SELECT *, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 1000000 < 600000 AS train FROM lab),

@@ -7,6 +7,7 @@ data Spark derives from them; nothing runs on fixed inputs alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from botsift.operators import model as ml
 from botsift.functions.columns import DAY_MS
 from botsift.operators import timeline as tl
 from botsift.session import scratch_path
+from botsift.sources import bucket_store as cow
 from botsift.sources import bucketed
 from botsift.sources import fixtures as fix
 from botsift.sources import labelled as lb
@@ -707,6 +709,37 @@ def q_correct_profiles(spark, sf_dir):
     return ps.read_store(spark, root).select("user_id", "state", "label", "version")
 
 
+def _copy_on_write(spark, sf_dir):
+    """A copy-on-write store after four commits: both ingests, then the label
+    corrections of all days but the last, then the last day's."""
+    root, req, users = scratch_path(spark, "cow-store"), fix.lookup_requests(spark, sf_dir), fix.users(spark, sf_dir)
+    cow.upsert(ps.resolve(req.filter("first_pass"), users), root, 1)
+    lk = ps.lookup(req, cow.read(spark, root))
+    refresh = lk.filter("state = 'found'").join(fix.statuses(spark, sf_dir).select("user_id"), "user_id", "left_semi")
+    todo = lk.filter("state = 'unseen'").select("user_id").unionByName(refresh.select("user_id"))
+    cow.upsert(ps.resolve(todo, users), root, 2)
+    for version, events in enumerate(fix.label_batches(spark, sf_dir), 3):
+        up = feedback.label_upsert(cow.read(spark, root, events), events)
+        cow.upsert(feedback.store_corrections(up, users), root, version)
+    return root
+
+
+@register("store_copy_on_write")
+def q_store_copy_on_write(spark, sf_dir):
+    """The store read back after its last commit; version: of the commit that
+    wrote the row."""
+    return cow.read(spark, _copy_on_write(spark, sf_dir)).select("user_id", "state", "label", "version")
+
+
+@register("store_manifests")
+def q_store_manifests(spark, sf_dir):
+    """What every commit rewrote: per version and bucket, the version that
+    holds the bucket and its rows."""
+    root = _copy_on_write(spark, sf_dir)
+    all_ = [cow.manifest(spark, root, v).withColumn("version", F.lit(v).cast("bigint")) for v in cow.versions(spark, root)]
+    return reduce(DataFrame.unionByName, all_).select("version", "bucket", "written", "n_rows")
+
+
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Save the fitted pipeline, load it, score every account with both

@@ -189,8 +189,11 @@ def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label corrections in arrival order: one per order (seq = order key)."""
-    o = table(spark, sf_dir, "orders")
-    return o.select(
+    return _corrections(table(spark, sf_dir, "orders"))
+
+
+def _corrections(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("seq"),
         F.col("o_custkey").alias("user_id"),
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("human")).otherwise(F.lit("bot")).alias("label"),
@@ -205,3 +208,11 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("user_id"),
         (F.col("p_size") < 20).alias("first_pass"),
     )
+
+
+def label_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The label corrections as two batches: those of all days but the last,
+    and the last day's."""
+    o = table(spark, sf_dir, "orders")
+    last = F.lit(o.agg(F.max("o_orderdate")).first()[0])
+    return _corrections(o.filter(F.col("o_orderdate") < last)), _corrections(o.filter(F.col("o_orderdate") == last))
