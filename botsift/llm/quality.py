@@ -11,7 +11,11 @@ vocabularies say how a tokeniser takes the text:
   tokens would have, ENTROPY_TOKENS at most (low: the same few tokens again).
 
 A document is rejected if a measure leaves the band of its language, or of
-its script if the language has no band.  Words are tokenised one by one,
+its script if the language has no band.  Within these fixed bands, both
+characters per token are held to fences that the table itself sets: quartiles
+over all its texts per language, or per script for languages of few texts.
+
+Words are tokenised one by one,
 which a vocabulary that never merges across white space does anyway, so each
 worker remembers the tokens of the words it has met.
 """
@@ -24,10 +28,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from botsift.session import materialize
+
 VOCABULARIES = "/opt/tokenizers"           # folder of the public vocabulary files
 PIECES = "piece_bpe_32k.model"             # byte-fallback vocabulary
 BYTE_LEVEL = "byte_bpe_multi_50k.tiktoken"  # byte-level vocabulary
@@ -60,6 +66,12 @@ BANDS = {
     "other": (0.3, 10.0, 0.2, 12.0, 0.90, 0.30),
 }
 
+# Fences: MARGIN times the distance of the quartiles beyond them, and never nearer to the median than NEAREST percent
+# of it.  A group of fewer than MIN_TEXTS texts has none.
+MARGIN = 6
+NEAREST = (15, 25)  # below, above
+MIN_TEXTS = 100
+
 # Letters that tell a script (fixed Unicode ranges, ends included).
 _SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)),
@@ -205,7 +217,42 @@ def measure(docs: DataFrame, vocabularies: str = VOCABULARIES, keep: list[str] |
     return d.mapInArrow(run, schema)
 
 
-def judge(measured: DataFrame, bands: dict[str, tuple] = BANDS) -> DataFrame:
+def _hundredths(chars: str, tokens: str) -> Column:
+    return F.floor(F.try_divide(100 * F.col(chars), F.col(tokens))).cast("bigint")
+
+
+def fences(measured: DataFrame, margin: int = MARGIN, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """Fences of characters per token: kind ('lang' or 'script'), name, and
+    ``of``: lowest and highest hundredth of both measures, four numbers.
+
+    All texts that pass the base rules count; texts equal in language, script
+    and counts count once, so that copies do not set the fences.  The numbers
+    of texts per hundredth give the quartiles, exactly and in any order.
+    """
+    texts = measured.filter(~_base_failed()).select(
+        F.lower("lang").alias("lang"), "script", "word_chars", "n_pieces", "n_byte_level").distinct()
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("lang", "script")])
+    values = F.array(*[F.named_struct(F.lit("measure"), F.lit(i), F.lit("at"), _hundredths("word_chars", c))
+                       for i, c in enumerate(("n_pieces", "n_byte_level"))])
+    rows = texts.select(F.explode(groups).alias("g"), values.alias("v")).select("g.*", F.inline("v"))
+    n = rows.filter("name IS NOT NULL AND at IS NOT NULL").groupBy("kind", "name", "measure", "at").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("kind", "name", "measure")  # as many rows as a measure has hundredths
+    n = n.withColumn("upto", F.sum("n").over(whole.orderBy("at"))).withColumn("all", F.sum("n").over(whole))
+    q = [F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("at"))).alias(f"q{k}") for k in (1, 2, 3)]
+    g = n.groupBy("kind", "name", "measure").agg(F.max("all").alias("all"), *q).filter(F.col("all") >= min_texts)
+    reach = margin * (F.col("q3") - F.col("q1"))
+    lo = F.least(F.col("q1") - reach, F.floor((100 - NEAREST[0]) * F.col("q2") / 100))
+    hi = F.greatest(F.col("q3") + reach, F.ceil((100 + NEAREST[1]) * F.col("q2") / 100))
+    ends = F.sort_array(F.collect_list(F.struct("measure", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))))  # two
+    return g.groupBy("kind", "name").agg(ends.alias("e")).select(
+        "kind", "name", F.flatten(F.transform("e", lambda x: F.array(x["lo"], x["hi"]))).alias("of"))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
+def judge(measured: DataFrame, bands: dict[str, tuple] = BANDS, fence: DataFrame | None = None) -> DataFrame:
     """Adds chars_per_piece, chars_per_byte_level, byte_share, rel_entropy,
     base_failed and kept to the measures.  A text without words fails the
     base rules; unknown languages and scripts use the bands of the script."""
@@ -220,20 +267,30 @@ def judge(measured: DataFrame, bands: dict[str, tuple] = BANDS) -> DataFrame:
     b = F.col("_band")
     within = (F.col("chars_per_piece").between(b[0], b[1]) & F.col("chars_per_byte_level").between(b[2], b[3])
               & (F.col("byte_share") <= b[4]) & (F.col("rel_entropy") >= b[5]))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return m.withColumn("base_failed", base).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).drop("_band")
+    if fence is not None:
+        for kind, key in (("lang", F.lower("lang")), ("script", F.col("script"))):
+            f = fence.filter(F.col("kind") == kind).select(F.col("name").alias(f"_{kind}"), F.col("of").alias(f"_of_{kind}"))
+            m = m.join(f, key == F.col(f"_{kind}"), "left")
+        f = F.coalesce("_of_lang", "_of_script")
+        inside = (_hundredths("word_chars", "n_pieces").between(f[0], f[1])
+                  & _hundredths("word_chars", "n_byte_level").between(f[2], f[3]))
+        within = within & F.coalesce(inside, F.lit(True))
+    return m.withColumn("base_failed", _base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).drop("_band", "_lang", "_script", "_of_lang", "_of_script")
 
 
 def quality(docs: DataFrame, vocabularies: str = VOCABULARIES, bands: dict[str, tuple] = BANDS,
-            keep: list[str] | None = None) -> DataFrame:
+            keep: list[str] | None = None, margin: int = MARGIN, min_texts: int = MIN_TEXTS) -> DataFrame:
     """One row per document row: ``_row``, the measures and the verdict.
 
-    Defined results: NULL, empty and wordless texts have zero counts and are
-    not kept; ids may be NULL or repeat, every row is judged by itself; a
-    NULL or unknown lang falls back to the script; a table without lang too.
+    Texts are measured once, into a table in the shared folder; the fences
+    are set from all of it.  Defined results: NULL, empty and wordless texts
+    have zero counts and are not kept; ids may be NULL or repeat, every row
+    is judged by itself; a NULL or unknown lang falls back to the script; a
+    table without lang too.
     """
-    return judge(measure(docs, vocabularies, keep), bands)
+    measured = materialize(measure(docs, vocabularies, keep), "quality-measures")
+    return judge(measured, bands, materialize(fences(measured, margin, min_texts), "quality-fences"))
 
 
 def drop_low_quality(docs: DataFrame, **params) -> DataFrame:

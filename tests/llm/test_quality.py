@@ -4,7 +4,7 @@ from math import log2
 
 import sentencepiece
 
-from botsift.llm.quality import BANDS, PIECES, VOCABULARIES, drop_low_quality, quality, repeated_words
+from botsift.llm.quality import BANDS, PIECES, VOCABULARIES, drop_low_quality, fences, quality, repeated_words
 
 
 def words(text):
@@ -70,3 +70,60 @@ def test_drop_and_empty(docs, no_docs):
     assert out.columns == docs.columns
     assert out.count() == quality(docs).filter("kept").count() > 0
     assert quality(no_docs).count() == 0
+
+
+def brute_fences(rows, margin, min_texts):
+    """Quartiles by sorting, over texts that differ in group or counts."""
+    texts = {((r["lang"] or "").lower() or None, r["script"], r["word_chars"], r["n_pieces"], r["n_byte_level"])
+             for r in rows if not r["base_failed"]}
+    out = {}
+    for kind, at in (("lang", 0), ("script", 1)):
+        for name in {t[at] for t in texts} - {None}:
+            ends = []
+            for of in (3, 4):
+                v = sorted(100 * t[2] // t[of] for t in texts if t[at] == name)
+                q1, q2, q3 = (v[-(-k * len(v) // 4) - 1] for k in (1, 2, 3))
+                ends += [min(q1 - margin * (q3 - q1), 85 * q2 // 100), max(q3 + margin * (q3 - q1), -(-125 * q2 // 100))]
+                enough = len(v) >= min_texts
+            if enough:
+                out[kind, name] = ends
+    return out
+
+
+def test_fences_match_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for margin, min_texts in ((6, 100), (1, 30)):
+        rows = quality(d, margin=margin, min_texts=min_texts).collect()
+        want = brute_fences(rows, margin, min_texts)
+        got = fences(spark.createDataFrame(rows), margin, min_texts)
+        assert {(r["kind"], r["name"]): list(r["of"]) for r in got.collect()} == want and ("lang", "en") in want
+        rejected = 0
+        for r in rows:
+            b = BANDS[r["lang"] or r["script"]]
+            fixed = not r["base_failed"] and (
+                b[0] <= r["chars_per_piece"] <= b[1] and b[2] <= r["chars_per_byte_level"] <= b[3]
+                and r["byte_share"] <= b[4] and r["rel_entropy"] >= b[5])
+            f = want.get(("lang", r["lang"])) or want.get(("script", r["script"]))
+            inside = fixed and (f is None or all(
+                lo <= 100 * r["word_chars"] // r[c] <= hi for c, lo, hi in (("n_pieces", *f[:2]), ("n_byte_level", *f[2:]))))
+            assert r["kept"] == inside, r
+            rejected += fixed and not inside
+        assert rejected
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    q = [(label.get(r["doc_id"]), r["kept"]) for r in quality(spark.read.parquet(f"{sf}/documents.parquet")).filter(
+        "NOT base_failed").select("_row.doc_id", "kept").collect()]
+    assert all(kept for good, kept in q if good == 1)
+    junk = [kept for good, kept in q if good == 0]
+    assert sum(junk) <= len(junk) * 0.35  # 15 of 28 under the fixed bands alone
+
+
+def test_copies_do_not_set_the_fences(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    one = d.filter("lang = 'en' AND length(text) BETWEEN 500 AND 2000").orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(600)).drop("id")
+    keep = lambda x: {(r["_row"]["doc_id"], r["kept"]) for r in quality(x).collect()}
+    assert keep(d.unionByName(copies)) == keep(d)
