@@ -12,8 +12,9 @@ A search for exact phrases goes from rare to frequent:
   3. the postings of the rarest terms, shifted by the term's offset in the
      passage, give the places ("alignments") where the passage could lie;
      they are intersected with the shifted postings of the second term;
-  4. the alignments left are few; they go to their documents' words, where
-     each window is compared in full.
+  4. the alignments left are few; those of a document and a passage meet the
+     document's words, where each window is compared in full, and hit words
+     and items are counted from the rows that come of it.
 
 Only DataFrame functions are used.  Postings of a very frequent token are
 spread by the scan that reads them; they are only ever joined to the small
@@ -25,17 +26,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from botsift.llm.bitmap import maybe_in
 from botsift.llm.words import alnum_words
 from botsift.session import materialize
 
 WINDOW = 10        # words of a phrase that count as a leak
 NEAR_TERMS = 3     # rarest terms of a passage that a proximity match needs
 NEAR_SLOP = 20     # ... within so many words of the rarest
-NO_ID = -(2**63)   # index key of documents without an id
+NO_ID = -(2**63)   # sign of the names of documents without an id
 
 
-def _key(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("bigint"), F.lit(NO_ID))
+def _text_name() -> Column:
+    return F.xxhash64("text")
+
+
+def _key() -> Column:
+    """A document's name in the index: its id, or without one a negative
+    number from its text.  Names may meet; occurrences are found on the
+    words of each text, so that only adds alignments to look at."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), _text_name().bitwiseOR(F.lit(NO_ID)))
 
 
 def passages(items: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def build_index(docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Postings (token, d, pos) of every document, whole texts; ``tokens``
     (column token) restricts the index to the terms that can be searched."""
     # explode_outer: a plain explode adds a size(...) > 0 filter that would split every text twice
-    p = docs.select(_key("doc_id").alias("d"), F.posexplode_outer(alnum_words(F.col("text"))).alias("pos", "token"))
+    p = docs.select(_key().alias("d"), F.posexplode_outer(alnum_words(F.col("text"))).alias("pos", "token"))
     if tokens is not None:
         p = p.join(tokens.select("token").distinct(), "token", "left_semi")
     return p.filter(F.col("token").isNotNull()).select("token", "d", "pos")
@@ -121,6 +130,29 @@ def near_passages(index: DataFrame, terms: DataFrame, k: int = NEAR_TERMS, slop:
     return met.select("pid", "d").unionByName(alone).distinct()
 
 
+def _occurrences(docs: DataFrame, found: DataFrame, pas: DataFrame, window: int) -> DataFrame:
+    """Per text and passage with an occurrence: d, t (name of the text),
+    item_ids, hit (positions of the words inside any occurrence).
+
+    Only texts with an alignment are shuffled.  A row is one document and one
+    passage, with the passage's words once and a position per alignment, so
+    it is bounded by the document, however often a passage occurs in it.
+    """
+    al = materialize(found.groupBy("d", "pid").agg(F.collect_list("diag").alias("diags")), "alignments")
+    texts = maybe_in(docs.select(_key().alias("d"), _text_name().alias("t"), "text"), "d", al.select("d"))
+    x = al.join(pas, "pid").join(texts.select("d", "t", alnum_words(F.col("text")).alias("w")), "d")
+    width = F.least(F.size("words"), F.lit(window))
+
+    def inside(diag: Column) -> Column:
+        """Positions of the words of all windows that occur in full here."""
+        at = F.filter(F.sequence(F.lit(0), F.size("words") - width), lambda s: (diag + s >= 0) & (
+            F.slice("w", diag + s + 1, width) == F.slice("words", s + 1, width)))
+        return F.flatten(F.transform(at, lambda s: F.sequence(diag + s, diag + s + width - 1)))
+
+    hit = F.array_distinct(F.flatten(F.transform("diags", lambda g: F.array_distinct(inside(g)))))
+    return x.select("d", "t", "item_ids", hit.alias("hit")).filter(F.size("hit") > 0)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
     """One row per document row: ``_row`` (the input row as a struct), doc_id,
     n_words, n_hit, n_items, items_sha256, contaminated, near_items.
@@ -139,36 +171,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     vocabulary = materialize(pas.select(F.explode("words").alias("token")).distinct(), "vocabulary")
     index = materialize(build_index(docs, vocabulary), "postings")
     terms = _term_counts(index, pas)
-    found = alignments(index, terms, window).join(pas, "pid").groupBy("d").agg(
-        F.collect_list(F.struct("diag", "words", "item_ids")).alias("al"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key("doc_id").alias("d")).join(found, "d", "left")
+    found = materialize(_occurrences(docs, alignments(index, terms, window), pas, window), "occurrences")
+    hits = found.select("d", "t", F.explode("hit").alias("pos")).distinct().groupBy("d", "t").agg(F.count(F.lit(1)).alias("n_hit"))
+    ids = found.select("d", "t", F.explode("item_ids").alias("id")).groupBy("d", "t").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _key().alias("d"), _text_name().alias("t"),
+                       F.size(alnum_words(F.col("text"))).cast("bigint").alias("n_words"))
+    rows = rows.join(hits.join(ids, ["d", "t"], "left"), ["d", "t"], "left")
     if near:
         close = near_passages(index, terms).join(pas.select("pid", F.explode("item_ids").alias("item_id")), "pid")
         rows = rows.join(close.groupBy("d").agg(F.countDistinct("item_id").alias("near_items")), "d", "left")
     else:
         rows = rows.withColumn("near_items", F.lit(0))
-    rows = rows.withColumn("w", alnum_words(F.col("_row")["text"])).withColumn("n_words", F.size("w").cast("bigint"))
-
-    def windows(a: Column) -> Column:
-        """Word positions at which a window of this alignment occurs in full."""
-        width = F.least(F.size(a["words"]), F.lit(window))
-        at = F.filter(F.sequence(F.lit(0), F.size(a["words"]) - width), lambda s: (a["diag"] + s >= 0) & (
-            F.slice(F.col("w"), a["diag"] + s + 1, width) == F.slice(a["words"], s + 1, width)))
-        return F.struct(F.transform(at, lambda s: a["diag"] + s).alias("at"), width.alias("width"),
-                        a["item_ids"].alias("item_ids"))
-
-    rows = rows.withColumn("occ", F.filter(F.transform("al", windows), lambda o: F.size(o["at"]) > 0))
-    span = lambda o: F.flatten(F.transform(o["at"], lambda s: F.sequence(s, s + o["width"] - 1)))
-    rows = rows.withColumn("hit", F.array_distinct(F.flatten(F.transform("occ", span)))).withColumn(
-        "ids", F.array_sort(F.array_distinct(F.flatten(F.transform("occ", lambda o: o["item_ids"])))))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    none = F.array().cast("array<string>")
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
     return rows.select(
         "_row", F.col("_row")["doc_id"].alias("doc_id"), "n_words",
-        F.when(F.col("hit").isNull(), F.lit(0)).otherwise(n("hit")).cast("bigint").alias("n_hit"),
-        F.when(F.col("ids").isNull(), F.lit(0)).otherwise(n("ids")).cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.coalesce("ids", none)), 256).alias("items_sha256"),
-        F.coalesce(F.size("hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
         F.coalesce("near_items", F.lit(0)).cast("bigint").alias("near_items"),
     )
 

@@ -28,6 +28,7 @@ from botsift.session import scratch_path
 
 MIN_REVISIT = 1000        # payloads of fewer bytes are always stored
 SPLIT_BYTES = 8 << 20     # byte range of a reading task's unit
+RANGES_PER_TASK = 4       # units of a reading task
 CHUNK = 1 << 18           # bytes read at once
 OUT_BYTES = 16 << 20      # payload bytes gathered before a batch is handed on
 
@@ -201,7 +202,8 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All records of the ``*.warc.gz`` files in a folder (RECORD).  The files
     are listed by Spark with their lengths, cut into byte ranges, and the
-    ranges are dealt out to the tasks."""
+    ranges are dealt out to the tasks, a few to each, so that tasks grow in
+    number with the bytes and not in size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
     cuts = files.filter("length > 0").select("path", "length", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"))
@@ -227,7 +229,8 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYT
                             out, held = [], 0
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    return cuts.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, RECORD)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-cuts.count() // RANGES_PER_TASK))
+    return cuts.repartition(tasks).mapInArrow(run, RECORD)
 
 
 def page_id_of(col: str):

@@ -56,6 +56,17 @@ def test_periodic_texts(spark):
     assert sorted(tuple(r) for r in got.select(COLS).collect()) == sorted(brute(rows, items))
 
 
+def test_rows_without_id_are_judged_by_their_own_text(spark):
+    rows = [(None, "plain words only", 0), (None, "the leak the leak the end", 0), (None, "the " * 500, 0), (None, None, 0),
+            (7, "the leak", 0), (7, "no such thing", 0), (7, "the leak", 0)]
+    items = [(1, "the", "x"), (2, "leak the", "x"), (None, "plain words", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, t int").withColumnRenamed("t", "pid")
+    got = contamination(docs.selectExpr("*", "1 AS d", "2 AS w"), spark.createDataFrame(items, ITEMS))
+    assert sorted(map(str, map(tuple, got.select(COLS).collect()))) == sorted(map(str, brute(rows, items)))
+    near = {r["n_words"]: r["near_items"] for r in got.filter("doc_id IS NULL").collect()}
+    assert near == {3: 0, 6: 2, 500: 1, 0: 0}
+
+
 def test_drop_keeps_columns_and_clean_rows(spark, docs, rows):
     items = items_of(rows)
     out = drop_contaminated(docs, spark.createDataFrame(items, ITEMS))
