@@ -134,3 +134,62 @@ def test_odd_labels(spark):
     for m in (none, one):
         s = {r["score"] for r in tx.toxicity(d, m).collect()}
         assert len(s) == 1 and s.pop() < 0.5 and m.thresholds == {}
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """Texts of any length teach: all toxic rows here are longer than a
+    sample took, and one word at their end tells."""
+    rng = random.Random(5)
+    words = [f"{a}{b}o" for a in "bcdfgh" for b in "aeiou"]
+    long = " ".join(rng.choice(words) for _ in range(tx.SAMPLE_CHARS // 4 + 10))
+    rows = [(i, (long if i % 4 == 0 else " ".join(rng.choice(words) for _ in range(30))) + (" zagnub" if i % 4 == 0 else ""),
+             "en", "a", "b", "c") for i in range(80)]
+    docs = spark.createDataFrame(rows, COLS).repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    sc = tx.Scorer(tx.fit(docs, labels).net)
+    assert len(long) > tx.SAMPLE_CHARS and sc.score("bao zagnub beo") > sc.score("bao beo") + 0.2
+    x = tx.labelled_rows(docs, labels).collect()
+    assert {r["doc_id"] for r in x} == {i for i in range(80) if zlib.crc32(str(i).encode()) % 5}
+    assert all(r["calibrates"] == (zlib.crc32(f"c{r['doc_id']}".encode()) % 4 == 0) for r in x)
+
+
+def test_counts_and_shards_take_every_row_and_reruns_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i // 2, " ".join(rng.choice(words) for _ in range(12)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    rows += [(500, "", 0), (501, " \n", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    ws = tx.Words()
+    texts = [ws.of(r[1]) for r in rows]
+    want = np.zeros((2, tx.BINS))
+    for r, t in zip(rows, texts):
+        want[r[2], np.unique(ws.bins[t])] += 1
+    assert (tx.bin_counts(d.repartition(5)) == want).all()
+
+    monkeypatch.setattr(tx, "VISITS", 400)
+    n = {1: sum(r[2] for r in rows), 0: sum(1 - r[2] for r in rows)}
+    a = tx.train_rows(d.repartition(3), n, shard_rows=50)
+    b = tx.train_rows(d.repartition(7), n, shard_rows=50)
+    assert all((x == y).all() for x, y in zip(tx.Descent(a).params, tx.Descent(b).params)) and a.out_bias == b.out_bias
+    sc = tx.Scorer(a)
+    assert sc.margin("w1 vile w2") > sc.margin("w1 w2")
+
+
+def test_calibration_and_thresholds_of_tables_equal_those_in_memory(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang in ("en", "de", "fr", None):
+        for _ in range(15 if lang == "fr" else 200):
+            m = round(float(rng.normal(0, 2)), 1)
+            rows.append((lang, int(rng.random() < 1 / (1 + np.exp(-m + 1))), m))
+    d = spark.createDataFrame(rows, "lang string, toxic int, margin double")
+    m, t = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    a, b = some_net(), some_net()
+    tx.calibrate(a, m, t, 0.1)
+    tx.calibrate_rows(b, d, 0.1)
+    assert abs(a.scale - b.scale) < 1e-6 and abs(a.shift - b.shift) < 1e-6
+    got = tx.language_thresholds(d.select("lang", "toxic", tx._calibrated(b.scale, b.shift).alias("score")))
+    assert set(got) == {"en", "de"}
+    for lang, cut in got.items():
+        at = np.array([r[0] == lang for r in rows])
+        assert abs(cut - tx.best_threshold(tx._sigmoid(b.scale * m[at] + b.shift), t[at])) < 1e-9
