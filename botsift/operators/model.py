@@ -12,14 +12,17 @@ The label indexer is skipped at scoring time when rows carry no label.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from botsift.schemas import MODEL_INPUTS
 from botsift.session import materialize
@@ -32,6 +35,7 @@ MAX_CATEGORIES = 4
 NUM_FOLDS = 4
 GRID_NUM_TREES = (10, 100, 1)
 GRID_MAX_DEPTH = (None, 5, 10, 1)  # None = the forest's default depth
+PREPARED = ("indexedFeatures", "indexedLabel")   # a forest's inputs
 
 
 def device_indexer(features: DataFrame, input_col: str = "mainDevice"):
@@ -151,13 +155,24 @@ def param_grid(rf: RandomForestClassifier, num_trees=GRID_NUM_TREES, max_depth=G
     return b.build()
 
 
+def prepared(indexer: VectorIndexer, rows: DataFrame):
+    """The vector indexer fitted on ``rows``, and the forest's own inputs,
+    persisted: every forest of a search reads these."""
+    model = indexer.fit(rows)
+    return model, model.transform(rows).select(*PREPARED).persist()
+
+
 def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID_MAX_DEPTH,
                    folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED, materialized: bool = False,
                    keep_models: bool = False):
     """k-fold grid search on the training split, with folds that depend on
     the ids alone (``fold``); returns (cv model, table of (numTrees,
     maxDepth, avg accuracy, is_best)).  ``keep_models`` keeps every fold's
-    forests, for ``out_of_fold``."""
+    forests, for ``out_of_fold``.
+
+    The grid only varies the forest: devices, labels and vectors are made
+    once, and the vector indexer is fitted once per fold, not once per point
+    of the grid."""
     if not materialized:
         features = materialize(features, "features")
     train, _ = split(features)
@@ -166,13 +181,35 @@ def cross_validate(features: DataFrame, num_trees=GRID_NUM_TREES, max_depth=GRID
     grid = param_grid(rf, num_trees, max_depth)
     ev = MulticlassClassificationEvaluator(labelCol="indexedLabel", predictionCol="prediction",
                                            metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        foldCol="fold", parallelism=parallelism, seed=seed, collectSubModels=keep_models)
-    cvm = cv.fit(train)
-    best = max(range(len(grid)), key=lambda i: cvm.avgMetrics[i])
+    *before, indexer, _, after = pipe.getStages()
+    before = Pipeline(stages=before).fit(train)  # these are fitted already, on all rows
+    rows = before.transform(train).select("features", "indexedLabel", "fold").persist()
+    metrics, kept = [[0.0] * folds for _ in grid], [[None] * len(grid) for _ in range(folds)]
+    for k in range(folds):
+        vec, seen = prepared(indexer, rows.filter(F.col("fold") != k))
+        unseen = vec.transform(rows.filter(F.col("fold") == k)).select(*PREPARED).persist()
+        models = rf.fitMultiple(seen, grid)
+
+        def one(_):
+            i, model = next(models)
+            metrics[i][k] = ev.evaluate(model.transform(unseen).select("indexedLabel", "prediction"))
+            if keep_models:
+                kept[k][i] = PipelineModel([*before.stages, vec, model, after])
+
+        with ThreadPool(parallelism) as pool:
+            pool.map(inheritable_thread_target(features.sparkSession)(one), range(len(grid)), chunksize=1)
+        seen.unpersist()
+        unseen.unpersist()
+    average = [sum(m) / folds for m in metrics]
+    best = max(range(len(grid)), key=lambda i: average[i])
+    vec, seen = prepared(indexer, rows)
+    cvm = CrossValidatorModel(PipelineModel([*before.stages, vec, rf.fit(seen, grid[best]), after]), average,
+                              kept if keep_models else None)
+    seen.unpersist()
+    rows.unpersist()
     rows = [
         (int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(m), i == best)
-        for i, (pm, m) in enumerate(zip(grid, cvm.avgMetrics))
+        for i, (pm, m) in enumerate(zip(grid, average))
     ]
     table = features.sparkSession.createDataFrame(
         rows, "numTrees int, maxDepth int, avg_accuracy double, is_best boolean"

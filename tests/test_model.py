@@ -111,3 +111,25 @@ def test_folds_and_out_of_fold_predictions(trained):
         acc = [[r["label"] == r["predictedLabel"] for r in own if r["fold"] == k] for k in range(3)]
         assert abs(sum(sum(a) / len(a) for a in acc) / 3 - t["avg_accuracy"]) < 1e-12
     assert sorted(map(tuple, ml.split(f.repartition(9))[0].select("id", ml.fold("id", 3)).collect())) == sorted(want.items())
+
+
+def test_stages_before_the_forest_are_fitted_once_per_fold(trained, monkeypatch):
+    """A grid of four points fits the vector indexer once for each fold and
+    once for the best forest; the averages equal those of Spark's own search."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorIndexer
+    from pyspark.ml.tuning import CrossValidator
+
+    f, _, _, _ = trained
+    f = ml.materialize(f, "t-features")
+    fits, fit = [], VectorIndexer._fit
+    monkeypatch.setattr(VectorIndexer, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    cvm, _ = ml.cross_validate(f, num_trees=(2, 5), max_depth=(1, 3), folds=2, materialized=True)
+    assert len(fits) == 3
+    train = ml.split(f)[0].withColumn("fold", ml.fold("id", 2))
+    pipe, rf = ml.forest_pipeline(f, train)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ml.param_grid(rf, (2, 5), (1, 3)), numFolds=2, foldCol="fold",
+                        evaluator=MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="accuracy"))
+    want = cv.fit(train)
+    assert all(abs(a - b) < 1e-12 for a, b in zip(cvm.avgMetrics, want.avgMetrics))
+    assert ml.best_params(cvm.bestModel) == ml.best_params(want.bestModel)
