@@ -329,6 +329,7 @@ def logistic_fit(net: Network, n: int, n_toxic: int, share: float, sums: Callabl
     for _ in range(50):
         ga, gb, haa, hab, hbb = sums(a, b, weights)
         da, db = np.linalg.solve(np.array([[haa + 1.0, hab], [hab, hbb + 1e-6]]), np.array([ga + (a - 1.0), gb]))
+        da, db = np.clip([da, db], -1.0, 1.0)  # a full step from afar can overshoot without end
         before, a, b = (a, b), max(a - da, 0.05), b - db
         if abs(a - before[0]) + abs(b - before[1]) < 1e-11:
             break

@@ -193,3 +193,14 @@ def test_calibration_and_thresholds_of_tables_equal_those_in_memory(spark):
     for lang, cut in got.items():
         at = np.array([r[0] == lang for r in rows])
         assert abs(cut - tx.best_threshold(tx._sigmoid(b.scale * m[at] + b.shift), t[at])) < 1e-9
+
+
+def test_calibration_does_not_overshoot():
+    """Few margins far from 0: the fit ends where its gradient is 0."""
+    m = np.concatenate([np.linspace(-9, -1, 70), np.linspace(-6, 6, 8)])
+    t = np.repeat([0, 1], [70, 8])
+    net = some_net()
+    tx.calibrate(net, m, t, 0.12)
+    w = np.where(t > 0, 0.12 / t.mean(), 0.88 / (1 - t.mean()))
+    r = w * (tx._sigmoid(net.scale * m + net.shift) - t)
+    assert abs(r.sum()) < 1e-6 and abs((r * m).sum() + net.scale - 1.0) < 1e-6
